@@ -46,4 +46,33 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, (count(*) OVER (PARTITION
   doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 
-ORACLES = {"op1_license_scan": _op1(), "op5_exact_dedup": _OP5}
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT sum(len(w)) AS total FROM d),
+t AS (SELECT doc_id, len(w) AS m, i, w[i] AS a, w[i - 1] || ' ' || w[i] AS b, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, m, i,
+  count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, doc_id) AS c1,
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY b, doc_id) END AS c2,
+  CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, doc_id) END AS c3 FROM t),
+l AS (SELECT *, lag(c1) OVER o AS p1, lag(c2) OVER o AS p2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id,
+  CASE WHEN c3 > 0 THEN ln(c3 / p2)
+       WHEN c2 > 0 THEN ln(c2 / p1) + (i > 2)::INT * ln(0.4)
+       WHEN c1 > 0 THEN ln(c1 / (total - m)) + least(i - 1, 2) * ln(0.4)
+       ELSE ln(1 / (total - m + 1)) + least(i - 1, 2) * ln(0.4) END AS v,
+  NOT (coalesce(c3, 0) > 0 OR (i = 2 AND c2 > 0) OR i = 1) AS backed FROM l, n)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(x.b, 0)::BIGINT AS n_backed_off, round(coalesce(x.v, 0), 4) AS logscore, round(x.v / len(d.w), 7) AS mean_logscore
+FROM d LEFT JOIN (SELECT doc_id, sum(backed::INT) AS b, sum(v) AS v FROM s GROUP BY doc_id) x USING (doc_id)"""
+
+_OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM p) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, range(13) r(k)),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op1_license_scan": _op1(), "op2_lm_scoring": _OP2, "op5_exact_dedup": _OP5, "op9_substring_dedup": _OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import exact_dedup, license_scan, packing, sharding
+from lexispan.llm import exact_dedup, license_scan, lm_scoring, packing, sharding, substring_dedup
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -16,6 +16,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scoring.score_documents(documents(spark, sf_dir))
+    return scores.withColumns({"logscore": F.round("logscore", 4), "mean_logscore": F.round("mean_logscore", 7)})
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -24,12 +29,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir), keep_text=False).drop("spans")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op5_exact_dedup, op8_sharding, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op5_exact_dedup, op8_sharding, op9_substring_dedup, op10_best_fit_packing)
 }
 
 
