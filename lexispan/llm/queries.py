@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import exact_dedup, license_scan, lm_scoring, packing, sharding, substring_dedup, toxicity
+from lexispan.llm import exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sharding, substring_dedup, toxicity
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -25,6 +25,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -45,7 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op5_exact_dedup, op7_toxicity, op8_sharding, op9_substring_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op5_exact_dedup, op6_minhash_dedup, op7_toxicity, op8_sharding, op9_substring_dedup, op10_best_fit_packing)
 }
 
 
