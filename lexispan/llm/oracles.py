@@ -75,4 +75,12 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FRO
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op1_license_scan": _op1(), "op2_lm_scoring": _OP2, "op5_exact_dedup": _OP5, "op9_substring_dedup": _OP9}
+_OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT reach.u, l.w FROM reach JOIN l ON l.u = reach.w),
+c AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c"""
+
+ORACLES = {"op1_license_scan": _op1(), "op2_lm_scoring": _OP2, "op3_embedding_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_substring_dedup": _OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sharding, substring_dedup, toxicity
+from lexispan.llm import embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -21,6 +21,16 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns({"logscore": F.round("logscore", 4), "mean_logscore": F.round("mean_logscore", 7)})
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = sentencepiece_codec.MODEL_PATH) -> DataFrame:
+    with open(model_path, "rb") as f:  # the driver's own file; the model travels with the tasks
+        model = sentencepiece_codec.load_model(f.read())
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), model, digest_only=True)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -49,7 +59,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op5_exact_dedup, op6_minhash_dedup, op7_toxicity, op8_sharding, op9_substring_dedup, op10_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_lm_scoring,
+        op3_embedding_dedup,
+        op4_sentencepiece,
+        op5_exact_dedup,
+        op6_minhash_dedup,
+        op7_toxicity,
+        op8_sharding,
+        op9_substring_dedup,
+        op10_best_fit_packing,
+    )
 }
 
 

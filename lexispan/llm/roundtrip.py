@@ -54,10 +54,13 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(limits, U)), [len(hashes)]]).astype(np.int64)
 
 
-def pack(df: DataFrame, batches: int, id_col: str, text_col: str) -> DataFrame:
-    """``batch, payload``: texts as compressed Arrow streams (id, text), dealt by hash
-    of id and text, so null and repeated ids spread as well."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def pack(df: DataFrame, batches: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``batch, payload``: texts as compressed Arrow streams (id, text and, with
+    ``carry``, the whole row's other columns as a struct), dealt by hash of id and
+    text, so null and repeated ids spread as well."""
+    names = ["doc_id", "text"] + ["row"] * carry
+    others = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row")] * carry
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +73,7 @@ def pack(df: DataFrame, batches: int, id_col: str, text_col: str) -> DataFrame:
             cuts = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 sink = pa.BufferOutputStream()
-                piece = table.slice(a, b - a).select(["doc_id", "text"])
+                piece = table.slice(a, b - a).select(names)
                 with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
                     writer.write_table(piece)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
@@ -81,7 +84,7 @@ def pack(df: DataFrame, batches: int, id_col: str, text_col: str) -> DataFrame:
 def unpack(table: pa.Table) -> pa.Table:
     """The texts of a batch, in one fixed order: rows may arrive in any order."""
     texts = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for c in table["payload"].chunks for x in c])
-    columns = texts.select(["doc_id"]).append_column("text", texts["text"].cast(pa.large_string())).combine_chunks()
+    columns = texts.set_column(1, "text", texts["text"].cast(pa.large_string())).combine_chunks()
     return columns.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 

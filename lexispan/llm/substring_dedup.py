@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from lexispan.llm import words as W
 from lexispan.llm.common import cells_for, text_volume
@@ -42,9 +43,10 @@ def factors(known: np.ndarray, n_words: int, window: int) -> list[tuple[int, int
     return [(int(a), min(int(b) + window, n_words)) for a, b in zip(first, last, strict=True)]
 
 
-def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, spans`` and, if asked for,
-    ``kept_text`` (the kept words joined by one space) for every row.
+    ``kept_text`` (the whole text where nothing goes, else the kept words joined by
+    one space) and ``row`` (all other input columns) for every row.
 
     Words are runs without white space. A word goes if a window of ``window``
     consecutive words that covers it also starts in a document with a smaller id;
@@ -56,7 +58,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n_rows, n_bytes = text_volume(df, text_col)
     batches = cells_for(n_bytes + 64 * n_rows, BATCH_BYTES, 12)
     buckets = cells_for(n_bytes // _BYTES_PER_WORD, BUCKET_HASHES, 12)
-    packed = pack(df, batches, id_col, text_col)
+    packed = pack(df, batches, id_col, text_col, carry)
     top = np.iinfo(np.int64).max
 
     def seeds(texts: pa.Table):
@@ -99,7 +101,8 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         text_at = W.text_buffer(texts["text"])[1]
         for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
             found = factors(known[a:b], b - a, window)
-            kept = raw[text_at[d] : text_at[d + 1]].split()
+            whole = raw[text_at[d] : text_at[d + 1]]
+            kept = whole.split()
             gone = 0
             for x, y in reversed(found):
                 del kept[x:y]
@@ -109,11 +112,16 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             shas.append(hashlib.sha256(kept).hexdigest())
             spans.append([{"from_word": x, "to_word": y} for x, y in found])
             if keep_text:
-                kept_texts.append(kept.decode())
+                kept_texts.append((kept if gone else whole).decode())
         columns = {"doc_id": texts["doc_id"], "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         columns["spans"] = pa.array(spans, pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())])))
-        return pa.table(columns | ({"kept_text": pa.array(kept_texts, pa.string())} if keep_text else {}))
+        if keep_text:
+            columns["kept_text"] = pa.array(kept_texts, pa.string())
+        return pa.table(columns | ({"row": texts["row"]} if carry else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<from_word:long,to_word:long>>"
-    return round_trip(packed, buckets, ask, answer, finish, schema + ", kept_text string" * keep_text)
+    if carry:
+        others = StructType([f for f in df.schema.fields if f.name != text_col])
+        more = f", row {others.simpleString()}"
+    return round_trip(packed, buckets, ask, answer, finish, schema + ", kept_text string" * keep_text + (more if carry else ""))

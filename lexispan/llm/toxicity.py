@@ -216,6 +216,24 @@ def tag_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     return rows.mapInArrow(tag, f"doc_id {kind}, score double, predicted int, n_toxic_tokens long, spans array<struct<start:long,end:long>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text the model doesn't predict to be toxic, all columns kept;
+    nothing shuffles. Rows are judged as by :func:`tag_toxicity`."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = model.lexicon.get
+        for b in batches:
+            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
+            coded = [np.array([get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
+            good = np.ones(len(texts), bool)
+            for which, features, _ in _scored(coded, model):
+                good[which] = 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30))) < 0.5
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _offsets(text: str, over: np.ndarray) -> list[dict[str, int]]:
     out: list[dict[str, int]] = []
     previous = False
