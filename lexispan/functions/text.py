@@ -29,7 +29,6 @@ OWN_TITLE = r"^제\s*\d+\s*조(?:\s*의\s*\d+)?\s*\(([^)]*)\)"
 TABLE_MARKER = "[표 - 별표 참조]"
 INTERPUNCTS = r"\x{00B7}\x{2024}\x{2027}\x{2219}\x{30FB}"
 ELIDED = r"\(생략\)|\(현행과 같음\)|\(현행과 동일\)|\(현행과같음\)|\(변동\s*(없음|사항 없음)\)|\(현행\s*과\s*같음\)|~|\(항 삭제\)|\(호 삭제\)"
-INSTITUTION_PREFIX = "^아신대학교"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -79,9 +78,11 @@ def normalize_title(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s·․,()]", "")
 
 
-def archive_key(c: Column) -> Column:
+def archive_key(c: Column, institution: str = "") -> Column:
     """Titles without white space, the institution's name in front and interpuncts."""
-    bare = F.regexp_replace(without_ws(c), INSTITUTION_PREFIX, "")
+    bare = without_ws(c)
+    if institution:
+        bare = F.when(bare.startswith(institution), F.substring(bare, len(institution) + 1, 1 << 30)).otherwise(bare)
     return F.regexp_replace(bare, f"[{INTERPUNCTS}]", "")
 
 

@@ -92,11 +92,11 @@ def next_edition(events: DataFrame, editions: DataFrame, at: str, edition: str,
     return rows.withColumn("next", F.when(near, F.col("next"))).drop("_t", "_e", "_is")
 
 
-def crosscheck(committee: DataFrame, regulations: DataFrame, revisions: DataFrame, months: int = 9) -> DataFrame:
+def crosscheck(committee: DataFrame, regulations: DataFrame, revisions: DataFrame, months: int = 9, institution: str = "") -> DataFrame:
     """Committee records (``record_id, session_date, title``) against the revisions in
     the months after their meeting: unmatched, covered or gap."""
     regs = regulations.where(F.col("status") == T.IN_FORCE)
-    out = unique_match(committee, regs, T.archive_key(F.col("title")), T.archive_key(F.col("title")), "id")
+    out = unique_match(committee, regs, T.archive_key(F.col("title"), institution), T.archive_key(F.col("title"), institution), "id")
     out = out.withColumnRenamed("match_id", "regulation_id").drop("match_status")
     dated = revisions.select("regulation_id", T.text_date(F.col("revised_at")).alias("at"))
     out = covered_by(out, dated, "regulation_id", "session_date", T.add_months_28(F.col("session_date"), months), "at", "record_id")

@@ -76,7 +76,7 @@ def _archive_title(x: str) -> str:
 
 
 def _archive_key(x: str) -> str:
-    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '\s+', '', 'g'), '^아신대학교', ''), '[\x{{00B7}}\x{{2024}}\x{{2027}}\x{{2219}}\x{{30FB}}]', '', 'g')"
+    return rf"regexp_replace(regexp_replace({x}, '\s+', '', 'g'), '[\x{{00B7}}\x{{2024}}\x{{2027}}\x{{2219}}\x{{30FB}}]', '', 'g')"
 
 
 def _months(d: str, n: int) -> str:

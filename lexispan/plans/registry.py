@@ -262,10 +262,10 @@ def stage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def committee_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    records = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("record_id"), F.make_date(F.lit(1995), (F.col("c_custkey") % 12 + 1).cast("int"), (F.col("c_custkey") % 28 + 1).cast("int")).alias("session_date"), F.concat(F.lit("아신대학교 "), F.col("c_name"), F.lit(" ・")).alias("title"))
+    records = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("record_id"), F.make_date(F.lit(1995), (F.col("c_custkey") % 12 + 1).cast("int"), (F.col("c_custkey") % 28 + 1).cast("int")).alias("session_date"), F.concat(F.lit("우리대학교 "), F.col("c_name"), F.lit(" ・")).alias("title"))
     del part
     b = book(spark, sf_dir)
-    out = reconcile.crosscheck(records, b.regulations, b.revisions, 9)
+    out = reconcile.crosscheck(records, b.regulations, b.revisions, 9, "우리대학교")
     return out.select("record_id", "regulation_id", "status", F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).alias("n_hits"))
 
 

@@ -128,14 +128,14 @@ def test_history(spark):
 
 def test_reconcile(spark):
     b = book(spark)
-    rec = spark.createDataFrame([(1, dt.date(2019, 5, 1), "아신대학교 Alpha ・rules"), (2, dt.date(2019, 1, 1), "Alpha rules"), (3, dt.date(2019, 1, 1), "Gone")], "record_id long, session_date date, title string")
-    got = {r["record_id"]: (r["regulation_id"], r["status"]) for r in reconcile.crosscheck(rec, b.regulations, b.revisions).collect()}
+    rec = spark.createDataFrame([(1, dt.date(2019, 5, 1), "우리대학교 Alpha ・rules"), (2, dt.date(2019, 1, 1), "Alpha rules"), (3, dt.date(2019, 1, 1), "Gone")], "record_id long, session_date date, title string")
+    got = {r["record_id"]: (r["regulation_id"], r["status"]) for r in reconcile.crosscheck(rec, b.regulations, b.revisions, institution="우리대학교").collect()}
     assert got == {1: (1, "covered"), 2: (1, "gap"), 3: (None, "unmatched")}
     block = "| 현행규정 | 개정(안) | 비고 |\n|---|---|---|\n| 제1조(목적) a | 제1조(목적) **b**<br>c | |\n| (신설) | 제2조의 3 n | |\n| 제4조 x | 삭제 | |\n| | | |\n| no | number |\n| one |"
     changes = reconcile.comparison_changes(spark.createDataFrame([(2, block)], "record_id long, content string")).orderBy("line_no").collect()
     assert [(r["article_no"], r["article_sub_no"], r["article_title"], r["old_body"], r["new_body"]) for r in changes] == [
         (1, None, "목적", "제1조(목적) a", "제1조(목적) b c"), (2, 3, None, None, "제2조의 3 n"), (4, None, None, "제4조 x", None)]
-    checked = reconcile.crosscheck(rec, b.regulations, b.revisions)
+    checked = reconcile.crosscheck(rec, b.regulations, b.revisions, institution="우리대학교")
     editions = spark.createDataFrame([(dt.date(2018, 1, 1),), (dt.date(2019, 10, 3),)], "edition date")
     existing = spark.createDataFrame([], "regulation_seq long, revised_at string")
     fill = lambda days, ex=existing: reconcile.fill_gaps(checked, reconcile.comparison_changes(spark.createDataFrame([(2, block)], "record_id long, content string")), editions, ex, "s", days).collect()
