@@ -96,6 +96,17 @@ def save_revision(book: Book, regulation_id: int, revised_at: str, edits: DataFr
     return new, changes
 
 
+def numbered(df: DataFrame, key: str, order: list[str], cells: int = 256) -> DataFrame:
+    """Adds gapless ``number`` from 1: rows are numbered inside hash cells of their key,
+    and a running sum over the cells' counts (one row a cell) gives each cell's start,
+    so no task sees all rows."""
+    df = df.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"))
+    counts = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_start"))
+    df = df.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy(key, *order)))
+    return df.join(F.broadcast(starts), "_cell").withColumn("number", F.col("_start") + F.col("_at")).drop("_cell", "_at", "_start")
+
+
 def seed_entries(book: Book) -> DataFrame:
     """Export: revisions with their regulation's number and ordered changes."""
     fields = ["article_no", "article_sub_no", "article_title", "old_body", "new_body", "ordinal"]
@@ -115,9 +126,8 @@ def load_seed(book: Book, seed: DataFrame | None, created_at: str) -> Book:
     rows = seed.join(regs, "regulation_seq")
     fresh = upsert_new(book.revisions, rows, ["regulation_id", "revised_at"], ["summary"])
     last = book.revisions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    # ids by regulation and date, in one small table of new revisions
-    number = F.row_number().over(Window.orderBy("regulation_id", "revised_at"))
-    fresh = fresh.crossJoin(F.broadcast(last)).withColumn("id", (F.col("_last") + number).cast("long"))
+    fresh = numbered(fresh, "regulation_id", ["revised_at"]).crossJoin(F.broadcast(last))
+    fresh = fresh.withColumn("id", (F.col("_last") + F.col("number")).cast("long"))
     revisions = fresh.select("id", "regulation_id", "revised_at", "summary", F.lit(created_at).alias("created_at"))
     changes = fresh.select(F.col("id").alias("revision_id"), F.explode("changes").alias("c")).select("revision_id", "c.*")
     dates = fresh.select("regulation_id", F.col("revised_at").alias("amend_date"))

@@ -17,6 +17,8 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.ui.enabled": "false",
+        # whole texts travel to Python in batches of so many rows: bounds their memory
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)

@@ -1 +1 @@
-
+"""No operator of the engine consumes an unbounded stream; dated snapshots are batches."""

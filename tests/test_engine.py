@@ -195,6 +195,12 @@ def test_save_and_seed(spark):
     assert dml.load_seed(b, None, "now") is b
 
 
+def test_numbers_are_gapless(spark):
+    df = spark.createDataFrame([(k % 17, str(k)) for k in range(90)], "k int, v string")
+    rows = dml.numbered(df, "k", ["v"], cells=5).collect()
+    assert sorted(r["number"] for r in rows) == list(range(1, 91))
+
+
 def test_merge_and_renumber(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     u = spark.createDataFrame([(2, "B"), (3, "C"), (1, None)], "k int, v string")
