@@ -267,3 +267,63 @@ def file_date(c: Column) -> Column:
     got = lambda n: F.regexp_extract(c, r"(\d{4})[.\-_ ]?(\d{1,2})(?:[.\-_ ]?(\d{1,2}))?", n)
     day = F.coalesce(F.nullif(got(3), F.lit("")), F.lit("1"))
     return F.when(got(1) != "", F.try_to_date(F.concat_ws("-", got(1), got(2), day), "yyyy-M-d"))
+
+
+def edition_date(c: Column) -> Column:
+    """Edition date in a file name: the one in parentheses that says so, else any in
+    parentheses, else the first in the name."""
+    named = F.regexp_extract(c, r"\(개정일\s*(20\d{2}[^)]*)\)", 1)
+    bracketed = F.regexp_extract(c, r"\((20\d{2}[^)]*)\)", 1)
+    raw = F.coalesce(F.nullif(named, F.lit("")), F.nullif(bracketed, F.lit("")), c)
+    got = lambda n: F.regexp_extract(raw, r"(20\d{2})\D{0,3}(\d{1,2})\D{1,2}(\d{1,2})", n)
+    return F.when(got(1) != "", F.try_to_date(F.concat_ws("-", got(1), got(2), got(3)), "yyyy-M-d"))
+
+
+def tighten(c: Column) -> Column:
+    """``제 3 조 의 2`` -> ``제3조의2`` (articles, chapters, sections and items alike)."""
+    out = F.regexp_replace(c, r"(?U)제\s+(?=\d+\s*[조장절관항호])", "제")
+    out = F.regexp_replace(out, r"(?U)(제\d+)\s+(?=[조장절관항호])", "$1")
+    return F.regexp_replace(out, r"(?U)(제\d+[조장절관항호])(?:\s*(의))?(?:\s*(\d+))", "$1$2$3")
+
+
+def page_range_label(start: Column, end: Column) -> Column:
+    """``p.3~5``, ``p.3`` or ``-``."""
+    more = F.when((end != 0) & (end != start), F.concat(F.lit("~"), end.cast("string"))).otherwise("")
+    return F.when(F.coalesce(start != 0, F.lit(False)), F.concat(F.lit("p."), start.cast("string"), F.coalesce(more, F.lit("")))).otherwise("-")
+
+
+def breadcrumb(title: Column, *categories: Column, sep: str = " › ") -> Column:
+    return F.concat_ws(sep, F.lit("홈"), *[F.nullif(c, F.lit("")) for c in categories], title)
+
+
+def anchor_id(no: Column, sub_no: Column) -> Column:
+    return F.concat_ws("-", F.lit("art"), no.cast("string"), F.nullif(sub_no, F.lit(0)).cast("string"))
+
+
+def append_to_last_row(markup: Column, extra: Column) -> Column:
+    """Put text at the end of the first cell of the last table row; without such a cell
+    the markup stays as it is."""
+    at = F.length(markup) - F.locate(">rt<", F.reverse(markup)) - 2  # 1-based start of the last <tr>
+    has_row = F.locate(">rt<", F.reverse(markup)) > 0
+    tail = F.substring(markup, at, F.length(markup))
+    end = F.locate("</td>", tail)
+    text = F.concat(F.lit("<br>"), F.replace(html_escape(extra), F.lit("\n"), F.lit("<br>")))
+    put = F.concat(F.substring(markup, F.lit(1), at - 1), F.substring(tail, F.lit(1), end - 1), text, F.substring(tail, end, F.length(tail)))
+    return F.when(has_row & (end > 0), put).otherwise(markup)
+
+
+def page_noise_removed(c: Column, titles: list[str]) -> Column:
+    """Take running headers ``N. title`` (known titles, longest first) and page footers
+    out of a body. The titles are a catalog's: a bounded list."""
+    names = "|".join("\\Q" + t + "\\E" for t in sorted(set(titles), key=lambda t: (-len(t), t)))
+    out = F.regexp_replace(c, rf"(?U)\s?\d{{1,3}}\.\s*(?:{names})\s?", " ") if names else c
+    return strip(F.regexp_replace(out, r"(?U)-\s*\d{1,3}\s*-", ""))
+
+
+def clean_title(front: Column) -> Column:
+    """Title among front-matter lines: the last that is neither a date line nor a table
+    row (or just the last), without its list number; '' if there is none."""
+    plain = F.filter(front, lambda x: ~strip(x).rlike(r"(?U)^(신설|개정|제정|폐지|전면\s*개정)\s*[\d년월일.\s,]+$") & ~strip(x).rlike(r"^\|.*\|$"))
+    chosen = F.when(F.size(plain) > 0, plain).otherwise(front)
+    bare = F.filter(F.transform(chosen, lambda x: strip(F.regexp_replace(x, r"(?U)^\d+[.\)]\s*", ""))), lambda x: x != "")
+    return F.coalesce(F.try_element_at(bare, F.lit(-1)), F.lit(""))

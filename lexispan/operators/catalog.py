@@ -215,3 +215,10 @@ def nested_tree(book: Book, order: list[str] | None = None) -> DataFrame:
 def title_filter(df: DataFrame, q: str | None) -> DataFrame:
     """The editor's filter: lower-case contains; an empty query keeps all."""
     return df.where(F.contains(F.lower("title"), F.lit(q.strip().lower()))) if q and q.strip() else df
+
+
+def amendment_links(book: Book) -> DataFrame:
+    """Amendment dates with the revision that documents each, if there is one."""
+    revs = revisions_by_date(book).select("regulation_id", F.col("revised_at").alias("amend_date"), F.col("id").alias("revision_id"))
+    out = book.amendments.join(revs, ["regulation_id", "amend_date"], "left")
+    return out.withColumn("has_revision", F.col("revision_id").isNotNull())

@@ -330,3 +330,52 @@ def heading_changes(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     rows = rows.withColumn("show_chapter", differs("chapter")).withColumn("_mc", moved("chapter"))
     rows = rows.withColumn("show_section", F.col("section").isNotNull() & (F.col("_mc") | moved("section"))).withColumn("_ms", F.col("_mc") | moved("section"))
     return rows.withColumn("show_gwan", F.col("gwan").isNotNull() & (F.col("_ms") | moved("gwan"))).drop("_mc", "_ms")
+
+
+def sample_groups(groups: DataFrame, names: list[str], limit: int = 5) -> DataFrame:
+    """The first groups (by document and island) whose header holds one of the names."""
+    hit = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.col("header"), n))
+    return groups.where(hit).orderBy("doc", "island").limit(limit)
+
+
+def markdown_tables(rows: DataFrame, order: list[str], addenda: str = r"^부\s*칙$", addenda_name: str = "부칙") -> DataFrame:
+    """Pipe tables among lines -> one line of HTML each; other lines stay. A table whose
+    first row only says "addenda" is no table: it becomes that word and its cells' text,
+    line by line, without page numbers and dividers. Result: ``doc``, the order columns
+    of each line's place, ``line``."""
+    is_row = T.matches(F.col("line"), r"^\s*\|(.+)\|\s*$")
+    rows = rows.withColumn("_row", is_row)
+    starts = F.col("_row") & ~F.coalesce(F.lag("_row").over(Window.partitionBy("doc").orderBy(*order)), F.lit(False))
+    rows = rows.withColumn("_table", F.sum(starts.cast("int")).over(_running(["doc"], order)))
+    other = rows.where("NOT _row").select("doc", *order, "line")
+    cells = T.split_row(F.col("line"))
+    block = F.array_sort(F.collect_list(F.struct(*order, cells.alias("cells"))))
+    tables = rows.where("_row").groupBy("doc", "_table").agg(block.alias("b"))
+    tables = tables.withColumn("rows", F.transform("b", lambda x: x["cells"])).withColumn("first", F.col("b")[0])
+    divider = lambda c: c.rlike(r"^:?-{2,}:?$")
+    second = F.get("rows", F.lit(1))
+    has_divider = F.coalesce(F.forall(second, lambda c: divider(c) | (c == "")), F.lit(False))
+    heading = T.matches(F.array_join(F.col("rows")[0], ""), addenda)
+    body = F.slice("rows", F.when(has_divider, 3).otherwise(2), F.size("rows"))
+    tag = lambda name: lambda c: F.concat(F.lit(f"<{name}>"), T.html_escape(c), F.lit(f"</{name}>"))
+    tr = lambda cs, name: F.concat(F.lit("<tr>"), F.array_join(F.transform(cs, tag(name)), ""), F.lit("</tr>"))
+    html = F.concat(F.lit('<table class="inline-table">'), tr(F.col("rows")[0], "th"), F.array_join(F.transform(body, lambda r: tr(r, "td")), ""), F.lit("</table>"))
+    made = tables.where(~heading).select("doc", *[F.col(f"first.{c}").alias(c) for c in order], html.alias("line"))
+    kept = lambda cs: F.filter(cs, lambda c: (c != "") & ~c.rlike(T.PAGE_FOOTER) & ~divider(c))
+    texts = F.transform("b", lambda x, i: F.struct(*[x[c].alias(c) for c in order], F.when(i == 0, F.lit(addenda_name)).otherwise(F.array_join(kept(x["cells"]), " ")).alias("line")))
+    flat = tables.where(heading).select("doc", F.explode(texts).alias("x")).select("doc", "x.*").where("line <> ''")
+    return other.unionByName(made).unionByName(flat)
+
+
+def relocate(rows: DataFrame, order: str, moving: Column, anchor: Column, structural: Column) -> DataFrame:
+    """Move the lines that ``moving`` marks to the end of the segment that the first
+    ``anchor`` line opens (before the next structural line); without an anchor they are
+    dropped. ``order`` is one numeric column; a sort key ``place`` is returned."""
+    rows = rows.withColumn("_m", F.coalesce(moving, F.lit(False))).withColumn("_a", F.coalesce(anchor, F.lit(False)) & ~F.col("_m")).withColumn("_s", F.coalesce(structural, F.lit(False)) & ~F.col("_m"))
+    start = F.min(F.when(F.col("_a"), F.col(order))).over(Window.partitionBy("doc"))
+    rows = rows.withColumn("_from", start)
+    end = F.min(F.when(F.col("_s") & (F.col(order) > F.col("_from")), F.col(order))).over(Window.partitionBy("doc"))
+    rows = rows.withColumn("_to", end).where(~F.col("_m") | F.col("_from").isNotNull())
+    place = F.when(F.col("_m"), F.struct(F.coalesce(F.col("_to").cast("double"), F.lit(float("inf"))).alias("at"), F.lit(0).alias("side"), F.col(order).alias("n")))
+    place = place.otherwise(F.struct(F.col(order).cast("double").alias("at"), F.lit(1).alias("side"), F.col(order).alias("n")))
+    return rows.withColumn("place", place).drop("_m", "_a", "_s", "_from", "_to")

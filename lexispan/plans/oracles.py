@@ -235,6 +235,24 @@ SELECT CASE WHEN k % 5 = 0 THEN -k ELSE k END AS p_partkey, p_name, p_size::INT
 SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS revision_id, p_size AS article_no, p_brand AS article_title, p_name AS old_body, upper(p_name) AS new_body, (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS ordinal FROM p""",
     "dq_flags": r"""WITH d AS (SELECT doc_id, regexp_replace(lang, '\s+', '', 'g') AS a, left(text, 40) AS t FROM documents)
 SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM labels) AS zero_articles, regexp_matches(t, '\d') AS glued_dates, a <> '' AND NOT contains(regexp_replace(t, '\s+', '', 'g'), a) AND NOT contains(a, regexp_replace(t, '\s+', '', 'g')) AS title_mismatch FROM d""",
+    "amendment_links": f"""WITH {_REVS}, m AS (SELECT regulation_id, revised_at, max(id) AS revision_id FROM revs WHERE id % 2 = 0 GROUP BY ALL)
+SELECT r.regulation_id, r.revised_at AS amend_date, r.id::INT AS ordinal, revision_id, revision_id IS NOT NULL AS has_revision FROM revs r LEFT JOIN m USING (regulation_id, revised_at)""",
+    "page_noise": "SELECT o_orderkey, '제1조 ' || o_orderpriority || CASE WHEN EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA') THEN '  ' ELSE ' 12. ASIA  ' END || o_orderstatus AS body FROM orders",
+    "markdown_tables": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_returnflag) AS a, min(l_linestatus) AS b FROM lineitem GROUP BY ALL),
+p AS (SELECT *, n - row_number() OVER (PARTITION BY doc ORDER BY n) AS g0 FROM l WHERE n <> 1), t AS (SELECT doc, n, a, b FROM p),
+q AS (SELECT doc, min(n) AS n, string_agg('<tr><X>' || CASE WHEN n = 3 THEN '---' ELSE a END || '</X><X>' || CASE WHEN n = 3 THEN '---' ELSE '&lt;' || b || '&gt;' END || '</X></tr>', '' ORDER BY n) FILTER (true) AS h, list(n ORDER BY n) AS ns FROM t GROUP BY doc),
+c AS (SELECT doc, n, string_split(h, '</tr>') AS rs, ns FROM q)
+SELECT doc, n, '<table class="inline-table">' || replace(rs[1], 'X>', 'th>') || '</tr>' || array_to_string(list_transform(list_filter(list_zip(rs[2:], ns[2:]), lambda z: z[1] <> '' AND z[2] IS NOT NULL AND NOT (z[2] = 3 AND ns[2] = 3)), lambda z: replace(z[1], 'X>', 'td>') || '</tr>'), '') || '</table>' AS line FROM c
+UNION ALL SELECT doc, n, 'before' FROM l WHERE n = 1""",
+    "labels_of_parts": """SELECT p_partkey, '제' || p_size || '조의2 및 제3항' AS tight, CASE WHEN p_size % 3 = 0 THEN '-' WHEN p_size % 2 = 0 THEN 'p.' || p_size ELSE 'p.' || p_size || '~' || (p_size + 1) END AS pages,
+  '홈 › ' || p_type || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' › ' || p_brand END || ' › ' || p_name AS path, 'art-' || p_size || CASE WHEN p_size % 3 = 0 THEN '' ELSE '-' || (p_size % 3) END AS anchor,
+  '<tr><td>x</td></tr><tr><td>' || p_brand || '<br>' || p_type || '</td><td>y</td></tr>' AS row FROM part""",
+    "sampled_groups": f"""SELECT DISTINCT doc, island, first_header AS header FROM (WITH {_PAGES}, a AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS py FROM pg WHERE header <> ''),
+b AS (SELECT *, coalesce(y IS NOT NULL AND (py IS NULL OR (y = 1 AND py <> 1)), false) AS restart FROM a),
+c AS (SELECT *, sum(restart::INT) OVER (PARTITION BY doc ORDER BY page_idx) AS seg FROM b),
+d AS (SELECT *, max(y) OVER (PARTITION BY doc, seg ORDER BY page_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM c),
+e AS (SELECT *, sum((y IS NOT NULL AND (restart OR coalesce(y > m, false)))::INT) OVER (PARTITION BY doc ORDER BY page_idx)::BIGINT AS island FROM d)
+SELECT doc, page_idx, island, first_value(y) OVER w AS index_no, {_ws("first_value(header) OVER w")} AS first_header FROM e WHERE island > 0 WINDOW w AS (PARTITION BY doc, island ORDER BY page_idx)) WHERE contains(first_header, 'purchase') OR contains(first_header, 'signup') ORDER BY doc, island LIMIT 5""",
     "owner_pages": "SELECT p_partkey AS page, min(l_suppkey) AS seq FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "words_in_tables": """WITH w AS (SELECT l_orderkey AS doc, l_linenumber::DOUBLE AS x0, l_quantity AS y0, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL)
 SELECT doc, x0, y0, n, CASE WHEN doc % 2 <> 0 OR doc NOT IN (SELECT o_orderkey FROM orders) OR y0 + 1 NOT BETWEEN -0.25 AND 30.25 THEN NULL WHEN x0 + 0.5 BETWEEN -0.25 AND 3.25 THEN 0 WHEN x0 + 0.5 BETWEEN 1.75 AND 5.25 THEN 1 END AS tbl FROM w""",

@@ -628,3 +628,50 @@ def words_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = boxes.select("doc", "page", "tbl", (F.col("tbl") * 2.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("tbl") * 2.0 + 3).alias("x1"), F.lit(30.0).alias("y1"))
     out = layout.words_in_tables(words, boxes, 0.25)
     return out.select("doc", "x0", "y0", "n", "tbl")
+
+
+# --- smaller pieces -------------------------------------------------------------------
+
+
+@query
+def amendment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = book(spark, sf_dir)
+    out = catalog.amendment_links(b._replace(revisions=b.revisions.where("id % 2 = 0")))
+    return out.select("regulation_id", "amend_date", "ordinal", "revision_id", "has_revision")
+
+
+@query
+def page_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # five rows
+    body = F.concat(F.lit("제1조 "), F.col("o_orderpriority"), F.lit(" 12. ASIA - 3 - "), F.col("o_orderstatus"))
+    return orders.select("o_orderkey", T.page_noise_removed(body, names).alias("body"))
+
+
+@query
+def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as table rows between text lines of their order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"))
+    text = F.when(F.col("n") == 1, "before").when(F.col("n") == 3, "| --- | --- |").otherwise(F.concat(F.lit("| "), "a", F.lit(" | <"), "b", F.lit("> |")))
+    return segment.markdown_tables(lines.select("doc", "n", text.alias("line")), ["n"])
+
+
+@query
+def labels_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    return part.select(
+        "p_partkey",
+        T.tighten(F.concat(F.lit("제 "), size.cast("string"), F.lit(" 조 의 2 및 제 3 항"))).alias("tight"),
+        T.page_range_label(F.when(size % 3 != 0, size), size + size % 2).alias("pages"),
+        T.breadcrumb(F.col("p_name"), F.col("p_type"), F.when(size % 2 == 0, "").otherwise(F.col("p_brand"))).alias("path"),
+        T.anchor_id(size, size % 3).alias("anchor"),
+        T.append_to_last_row(F.concat(F.lit("<tr><td>x</td></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>y</td></tr>")), F.col("p_type")).alias("row"),
+    )
+
+
+@query
+def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five islands whose header names a purchase or a signup."""
+    groups = segment.islands(_event_pages(spark, sf_dir)).select("doc", "island", "header").distinct()
+    return segment.sample_groups(groups, ["purchase", "signup"]).select("doc", "island", "header")

@@ -106,3 +106,18 @@ def write_report(df: DataFrame, path: str, section: str) -> None:
 def write_table(df: DataFrame, path: str) -> None:
     """Full reload of a table."""
     df.write.mode("overwrite").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str, sessions: str = "202", suffix: str = ".md") -> DataFrame:
+    """Converted committee files below ``session/stage/file``: ``session, stage, rank,
+    file, content``. Sessions begin with a year, folders of published output are left
+    out, and files that stand in the session itself have the empty stage."""
+    from lexispan.operators.reconcile import stage_rank
+
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col(_PATH).alias("p"), "value")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getName()
+    below = F.split(F.regexp_replace(F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B"))), rf"^.*?/\Q{root}\E/", ""), "/")
+    rows = text.select(F.get(below, F.lit(0)).alias("session"), F.when(F.size(below) > 2, F.get(below, F.lit(1))).otherwise("").alias("stage"), F.element_at(below, -1).alias("file"), F.col("value").alias("content"))
+    rows = rows.where(F.col("session").startswith(sessions) & F.lower("file").endswith(suffix))
+    rank = F.when(F.col("stage") == "", F.struct(F.lit(0).alias("major"), F.lit(0).alias("minor"))).otherwise(stage_rank(F.col("stage")))
+    return rows.withColumn("rank", rank).where("rank IS NOT NULL")
