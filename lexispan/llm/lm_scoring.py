@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 
 from lexispan.llm import words as W
 from lexispan.llm.common import WORD, cells_for
-from lexispan.llm.roundtrip import BATCH_BYTES, BUCKET_HASHES, pack, round_trip
+from lexispan.llm.roundtrip import BUCKET_HASHES, pack, round_trip
+
+U = np.uint64
 
 ORDER = 3
 ALPHA = 0.4
+BATCH_BYTES = 6 << 20  # larger batches name fewer n-grams twice
+HASH_BITS = 58  # of 10**13 distinct n-grams, about one in 30,000 shares its hash
 
 
 def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +43,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     no words, logscore 0 and a null mean. Rows that share an id are separate
     documents (each is among the others' counts), as are rows with a null id. Extra
     columns are ignored; an empty table gives an empty result. Counts are exact up
-    to collisions of 64-bit n-gram hashes.
+    to collisions of ``HASH_BITS``-bit n-gram hashes.
     """
     text = F.col(text_col)
     size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(WORD)))).first()
@@ -47,35 +51,48 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     packed = pack(df, cells_for(n_bytes + 64 * n_rows, BATCH_BYTES, 12), id_col, text_col)
     buckets = cells_for(n_words * order, BUCKET_HASHES, 12)
 
-    def all_grams(texts: pa.Table):
-        buf, offsets = W.text_buffer(texts["text"])
-        w = W.words(buf, offsets, W.spaced_words())
-        return w, [W.grams(w, n) for n in range(1, order + 1)]
+    spare = U(64 - HASH_BITS)
+
+    def read(texts: pa.Table) -> W.Words:
+        return W.words(*W.text_buffer(texts["text"]), W.spaced_words())
+
+    def grams(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+        h, at = W.grams(w, n)
+        return h >> spare << spare, at
 
     def ask(texts: pa.Table):
-        _, by_order = all_grams(texts)
-        hashes, counts = np.unique(np.concatenate([h for h, _ in by_order]), return_counts=True)
-        return hashes, [counts.astype(np.uint32)]
+        w = read(texts)
+        hashes = np.concatenate([grams(w, n)[0] for n in range(1, order + 1)])
+        hashes.sort()
+        head = _heads(hashes[1:] != hashes[:-1], len(hashes))
+        return hashes[head], [_sizes(head, len(hashes)).astype(np.uint32)]
 
     def answer(hashes: np.ndarray, beside: list[np.ndarray], sender: np.ndarray) -> np.ndarray:
         keys = np.argsort(hashes, kind="stable")
         h = hashes[keys]
-        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        total = np.add.reduceat(beside[0][keys].astype(np.int64), head)
+        head = _heads(h[1:] != h[:-1], len(h))
+        total = np.add.reduceat(beside[0][keys].astype(np.int64), head) if len(h) else np.zeros(0, np.int64)
         out = np.empty(len(h), np.int64)
-        out[keys] = np.repeat(total, np.diff(np.append(head, len(h))))
+        out[keys] = np.repeat(total, _sizes(head, len(h)))
         return out
 
     def finish(texts: pa.Table, asked: np.ndarray, total: np.ndarray) -> pa.Table:
-        w, by_order = all_grams(texts)
+        w = read(texts)
         n_docs, m = len(w.first) - 1, len(w.hash)
         doc = w.doc()
         length = np.diff(w.first)
         others = n_words - length  # N without the document itself
         counts = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word
-        for n, (h, at) in enumerate(by_order, 1):
-            if len(h):
-                counts[n, at] = total[np.searchsorted(asked, h)] - _within(h, doc[at])
+        for n in range(1, order + 1):
+            h, at = grams(w, n)
+            # equal n-grams stand together, and those of one document: positions ascend
+            keys = np.argsort(h, kind="stable")
+            h, at = h[keys], at[keys]
+            change, d = h[1:] != h[:-1], doc[at]
+            head, own = _heads(change, len(h)), _heads(change | (d[1:] != d[:-1]), len(h))
+            everywhere = total[np.searchsorted(asked, h[head])]
+            within = _sizes(own, len(h))
+            counts[n, at] = np.repeat(everywhere, _sizes(head, len(h))) - np.repeat(within, within)
         place = np.arange(m) - w.first[doc]
         logs = np.empty(m)
         done = np.zeros(m, bool)
@@ -92,21 +109,19 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
             back[now[~hit]] += n > 1
         logs[~done] = -np.log(others[doc[~done]] + 1.0)
         logs += back * np.log(alpha)
-        sums = np.bincount(doc, weights=logs, minlength=n_docs)
+        sums = np.bincount(doc, weights=logs, minlength=n_docs).astype(np.float64)
         backed = np.bincount(doc, weights=back > 0, minlength=n_docs).astype(np.int64)
         mean = pa.array(sums / np.maximum(length, 1), mask=length == 0)
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(length, pa.int64()), "n_backed_off": backed, "logscore": sums, "mean_logscore": mean})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return round_trip(packed, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
-
-
-def _within(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs in its own document."""
-    keys = np.lexsort((h, doc))
-    a, b = h[keys], doc[keys]
-    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    size = np.diff(np.append(head, len(a)))
-    out = np.empty(len(a), np.int64)
-    out[keys] = np.repeat(size, size)
-    return out
+    return round_trip(packed, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double", HASH_BITS)
+
+
+def _heads(change: np.ndarray, n: int) -> np.ndarray:
+    """Where runs of n equal sorted values begin, given where neighbours differ."""
+    return np.append(0, np.flatnonzero(change) + 1)[:n]
+
+
+def _sizes(head: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(head, n)) if n else np.zeros(0, np.int64)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_HASHES = 2_000_000
 U = np.uint64
 
@@ -40,12 +40,13 @@ def unsqueeze(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def squeeze_sorted(values: np.ndarray) -> bytes:
-    return squeeze(np.diff(values, prepend=U(0)))
+def squeeze_sorted(values: np.ndarray, spare: int = 0) -> bytes:
+    """``spare``: low bits that are zero in all values."""
+    return squeeze(np.diff(values >> U(spare), prepend=U(0)))
 
 
-def unsqueeze_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unsqueeze(data, U), dtype=U)
+def unsqueeze_sorted(data: bytes, spare: int = 0) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, U), dtype=U) << U(spare)
 
 
 def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -92,13 +93,15 @@ def _rows(keys: dict[str, list[int]], payloads: list[bytes]) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int32()) for k, v in keys.items()} | {"payload": pa.array(payloads, pa.binary())})
 
 
-def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str, hash_bits: int = 64) -> DataFrame:
     """ask(texts) -> (sorted distinct hashes, [arrays beside them]);
     answer(hashes, [arrays], sender) -> an array of one value for each hash, given
     all senders' hashes of a bucket concatenated; finish(texts, hashes, values) -> table.
 
     ``ask`` is computed again when the answers are back: cheaper than keeping it.
+    ``hash_bits``: leading bits that hashes use; the others are zero and not sent.
     """
+    spare = 64 - hash_bits
 
     def send(table: pa.Table) -> pa.Table:
         batch = table["batch"][0].as_py()
@@ -109,9 +112,10 @@ def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable,
             part = slice(edge[k], edge[k + 1])
             keys["bucket"].append(int(k))
             keys["batch"].append(batch)
-            fields = [squeeze_sorted(hashes[part]), *(squeeze(x[part]) for x in beside)]
+            fields = [squeeze_sorted(hashes[part], spare), *(squeeze(x[part]) for x in beside)]
             kinds = [x.dtype.str for x in beside]
             payloads.append(_frame(fields, kinds))
+        pa.default_memory_pool().release_unused()
         return _rows(keys, payloads)
 
     def reply(table: pa.Table) -> pa.Table:
@@ -121,7 +125,7 @@ def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable,
         for c in table["payload"].chunks:
             for x in c:
                 fields, kinds = _unframe(x.as_py())
-                hashes.append(unsqueeze_sorted(fields[0]))
+                hashes.append(unsqueeze_sorted(fields[0], spare))
                 beside.append([unsqueeze(f, np.dtype(k)) for f, k in zip(fields[1:], kinds, strict=True)])
         counts = [len(h) for h in hashes]
         sender = np.repeat(np.arange(len(hashes)), counts)
@@ -137,6 +141,7 @@ def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable,
             for x in replies.sort_by("bucket")["payload"].to_pylist():
                 fields, kinds = _unframe(x)
                 values.append(unsqueeze(fields[0], np.dtype(kinds[0])))
+        pa.default_memory_pool().release_unused()
         return finish(texts, hashes, np.concatenate(values) if values else np.zeros(0, np.int64))
 
     asked = packed.groupBy("batch").applyInArrow(send, "bucket int, batch int, payload binary")

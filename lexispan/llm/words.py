@@ -12,9 +12,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
-_BLOCK = 2 << 20  # bytes hashed at a time
+_BLOCK = 512 << 10  # bytes hashed at a time
 
 
 class WordClass(NamedTuple):
@@ -88,6 +89,18 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def slices(column: pa.Array, budget: int) -> list[tuple[int, int]]:
+    """(start, length) of runs of rows with about ``budget`` bytes of text each; a longer
+    text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    out, at = [], 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + budget, "right")))
+        out.append((at, end - at))
+        at = end
+    return out
+
+
 class Words(NamedTuple):
     hash: np.ndarray  # uint64, one a word, in text order
     start: np.ndarray  # byte offsets into the batch's buffer
