@@ -97,8 +97,8 @@ def _containment(needles: str, text: str) -> str:
 
 
 _BARE = lambda x: rf"regexp_replace({x}, '\s+', '', 'g')"
-_DATED = "SELECT DISTINCT o_custkey AS regulation_id, strftime(o_orderdate, '%Y.%m.%d') AS amend_date FROM orders WHERE o_orderkey % 3"
-_OLD_NEW = f"o AS ({_DATED} <> 0), n AS (SELECT * FROM ({_DATED} = 0) ANTI JOIN o USING (regulation_id, amend_date))"
+_DATED = "SELECT DISTINCT o_custkey AS regulation_id, strftime(o_orderdate, '%Y.%m.%d') AS amend_date FROM orders WHERE o_orderstatus"
+_OLD_NEW = f"o AS ({_DATED} <> 'O'), n AS (SELECT * FROM ({_DATED} = 'O') ANTI JOIN o USING (regulation_id, amend_date))"
 _PAIRS = """runs AS (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS r FROM documents),
 jp AS (SELECT substring(r, i, 2) AS pair, count(*)::BIGINT AS joined FROM (SELECT r, unnest(range(1, length(r))) AS i FROM runs) GROUP BY 1),
 sp AS (SELECT right(string_split(m, ' ')[1], 1) || left(string_split(m, ' ')[2], 1) AS pair, count(*)::BIGINT AS split FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+ [a-z]+')) AS m FROM documents) GROUP BY 1)"""
@@ -133,7 +133,7 @@ g AS (SELECT l0, l1, min(seq) AS first FROM r GROUP BY ALL), t AS (SELECT l0, mi
 t2 AS (SELECT l0, row_number() OVER (ORDER BY CASE l0 WHEN 'EUROPE' THEN 1 WHEN 'AFRICA' THEN 2 ELSE 3 END, f, l0)::INT AS l0_rank FROM t),
 g2 AS (SELECT l0, l1, row_number() OVER (PARTITION BY l0 ORDER BY l1 <> '__direct__', first, l1)::INT AS l1_rank FROM g)
 SELECT l0_rank, l0, l1_rank, l1, seq, id, title FROM r JOIN g2 USING (l0, l1) JOIN t2 USING (l0)""",
-    "title_norm_match": r"""WITH l AS (SELECT p_partkey, p_brand || ' ·(' || p_size || ')' AS raw FROM part), r AS (SELECT p_partkey AS id, p_brand || ', ' || p_size AS title FROM part WHERE p_partkey % 7 = 0),
+    "title_norm_match": r"""WITH l AS (SELECT p_partkey, p_brand || ' ·(' || p_size || ')' AS raw FROM part), r AS (SELECT p_partkey AS id, p_brand || ', ' || p_size AS title FROM part WHERE p_type = 'PROMO'),
 g AS (SELECT regexp_replace(title, '[\s·․,()]', '', 'g') AS k, count(*) AS n, min(id) AS one, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM r GROUP BY 1)
 SELECT p_partkey, raw, CASE WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS: ' || ids ELSE 'NO MATCH' END AS match_status, CASE WHEN n = 1 THEN one END AS match_id
 FROM l LEFT JOIN g ON regexp_replace(raw, '[\s·․,()]', '', 'g') = k""",
@@ -152,15 +152,15 @@ FROM e LEFT JOIN b ON e.user_id = b.user_id AND bought BETWEEN day AND {_months(
     "asof_forward": """WITH e AS (SELECT *, ts::DATE AS day FROM events), b AS (SELECT user_id, day AS bought FROM e WHERE event_type = 'purchase'),
 n AS (SELECT event_id, e.user_id, day, min(bought) AS nxt FROM e LEFT JOIN b ON e.user_id = b.user_id AND bought >= day WHERE event_type = 'view' GROUP BY ALL)
 SELECT event_id, user_id, CASE WHEN nxt - day <= 5 THEN strftime(nxt, '%Y-%m-%d') END AS next FROM n""",
-    "anti_upsert": """WITH o AS (SELECT o_custkey AS regulation_id, strftime(o_orderdate, '%Y.%m.%d') AS revised_at, o_orderkey FROM orders),
-f AS (SELECT * FROM o WHERE o_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM o x WHERE x.o_orderkey % 2 = 0 AND x.regulation_id = o.regulation_id AND x.revised_at = o.revised_at))
+    "anti_upsert": """WITH o AS (SELECT o_custkey AS regulation_id, strftime(o_orderdate, '%Y.%m.%d') AS revised_at, o_orderkey, o_orderstatus FROM orders),
+f AS (SELECT * FROM o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM o x WHERE x.o_orderstatus = 'F' AND x.regulation_id = o.regulation_id AND x.revised_at = o.revised_at))
 SELECT regulation_id, revised_at, min(o_orderkey) AS o_orderkey FROM f GROUP BY ALL""",
     "semi_exists": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "orphan_check": "SELECT l_orderkey, count(*)::BIGINT AS n_lines FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F') GROUP BY 1",
     "first_writer": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) = 1",
     "last_writer": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id DESC) = 1",
     "stage_ranks": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 9999 ELSE o_orderkey % 9 END::INT AS major, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE o_orderkey % 4 END::INT AS minor FROM orders""",
-    "committee_crosscheck": f"""WITH {_REGS}, c AS (SELECT c_custkey AS record_id, make_date(1995, (c_custkey % 12 + 1)::INT, (c_custkey % 28 + 1)::INT) AS d, c_name FROM customer WHERE c_custkey % 3 = 0),
+    "committee_crosscheck": f"""WITH {_REGS}, c AS (SELECT c_custkey AS record_id, make_date(1995, (c_custkey % 12 + 1)::INT, (c_custkey % 28 + 1)::INT) AS d, c_name FROM customer),
 g AS (SELECT title, count(*) AS n, min(id) AS id FROM regs WHERE live GROUP BY 1), m AS (SELECT record_id, d, CASE WHEN n = 1 THEN id END AS regulation_id FROM c LEFT JOIN g ON title = c_name)
 SELECT record_id, regulation_id, CASE WHEN regulation_id IS NULL THEN 'unmatched' WHEN count(o_orderkey) > 0 THEN 'covered' ELSE 'gap' END AS status, count(o_orderkey)::INT AS n_hits
 FROM m LEFT JOIN orders ON o_custkey = regulation_id AND o_orderdate::DATE BETWEEN d AND {_months("d", 9)} GROUP BY record_id, regulation_id""",
@@ -169,7 +169,7 @@ FROM m LEFT JOIN orders ON o_custkey = regulation_id AND o_orderdate::DATE BETWE
     "full_text_filter": "SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 AND turn % 5 <> 0 AND role <> '' AND text <> '' AND NOT contains(text, '~') AND NOT contains(role, '~')",
     "override_coalesce": """SELECT s_suppkey, CASE WHEN regexp_matches(n, '^A.*A$') THEN 'A-A' WHEN regexp_matches(n, '^NATION_1') THEN 'one' ELSE n END AS name
 FROM (SELECT s_suppkey, coalesce(r_name, n_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_nationkey)""",
-    "exclude_tuple": """SELECT l_orderkey, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem l WHERE NOT (l_linenumber = 1 AND l_returnflag = 'N' AND l_quantity > 10 AND l_orderkey % 10 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) GROUP BY 1""",
+    "exclude_tuple": """SELECT l_orderkey, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem l WHERE NOT (l_linenumber = 1 AND l_returnflag = 'N' AND l_quantity > 10 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')) GROUP BY 1""",
     "islands": f"""WITH {_PAGES}, a AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS py FROM pg WHERE header <> ''),
 b AS (SELECT *, coalesce(y IS NOT NULL AND (py IS NULL OR (y = 1 AND py <> 1)), false) AS restart FROM a),
 c AS (SELECT *, sum(restart::INT) OVER (PARTITION BY doc ORDER BY page_idx) AS seg FROM b),
@@ -228,14 +228,14 @@ SELECT conv_id, md5('<div class="article-table-wrap"><table class="inline-table"
     "text_dates": f"""SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-01') AS file_date, strftime(o_orderdate, '%Y.%m.%d') AS worded, strftime(o_orderdate, '%Y-%m-%d') AS parsed, strftime({_months("o_orderdate", 9)}, '%Y-%m-%d') AS later FROM orders""",
     "chronological_reorder": f"WITH {_OLD_NEW} SELECT regulation_id, amend_date, (row_number() OVER (PARTITION BY regulation_id ORDER BY amend_date) - 1)::INT AS ordinal FROM (SELECT * FROM o UNION ALL SELECT * FROM n)",
     "append_dates": f"""WITH {_OLD_NEW} SELECT regulation_id, amend_date, (row_number() OVER (PARTITION BY regulation_id ORDER BY late, amend_date) - 1)::INT AS ordinal FROM (SELECT *, 0 AS late FROM o UNION ALL SELECT *, 1 FROM n)""",
-    "merge_update_append": """WITH m AS (SELECT coalesce(c.p_partkey, u.p_partkey) AS k, coalesce(upper(u.p_name), c.p_name) AS p_name, CASE WHEN u.p_partkey % 12 <> 0 THEN 0 ELSE c.p_size END AS p_size
-  FROM (SELECT * FROM part WHERE p_partkey % 4 <> 0 AND p_partkey NOT IN (3, 5, 7)) c FULL JOIN (SELECT * FROM part WHERE p_partkey % 6 = 0) u USING (p_partkey))
-SELECT CASE WHEN k % 5 = 0 THEN -k ELSE k END AS p_partkey, p_name, p_size::INT AS p_size FROM m""",
+    "merge_update_append": """WITH m AS (SELECT coalesce(c.p_partkey, u.p_partkey) AS k, coalesce(upper(u.p_name), c.p_name) AS p_name, CASE WHEN u.p_size > 20 THEN 0 ELSE c.p_size END AS p_size, coalesce(c.p_type, u.p_type) AS t
+  FROM (SELECT * FROM part WHERE p_type <> 'SMALL' AND p_partkey NOT IN (3, 5, 7)) c FULL JOIN (SELECT * FROM part WHERE p_type IN ('SMALL', 'ECONOMY')) u USING (p_partkey))
+SELECT CASE WHEN t = 'LARGE' THEN -k ELSE k END AS p_partkey, p_name, p_size::INT AS p_size FROM m""",
     "save_revision_effect": """WITH l AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1), p AS (SELECT * FROM part JOIN l ON p_partkey = l_partkey WHERE s = 1 AND p_partkey % 2 = 0 AND upper(p_name) <> p_name)
 SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS revision_id, p_size AS article_no, p_brand AS article_title, p_name AS old_body, upper(p_name) AS new_body, (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS ordinal FROM p""",
-    "dq_flags": r"""WITH d AS (SELECT doc_id, regexp_replace(lang, '\s+', '', 'g') AS a, left(text, 40) AS t FROM documents)
+    "dq_flags": r"""WITH d AS (SELECT doc_id, regexp_replace(lang, '\s+', '', 'g') AS a, text AS t FROM documents)
 SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM labels) AS zero_articles, regexp_matches(t, '\d') AS glued_dates, a <> '' AND NOT contains(regexp_replace(t, '\s+', '', 'g'), a) AND NOT contains(a, regexp_replace(t, '\s+', '', 'g')) AS title_mismatch FROM d""",
-    "amendment_links": f"""WITH {_REVS}, m AS (SELECT regulation_id, revised_at, max(id) AS revision_id FROM revs WHERE id % 2 = 0 GROUP BY ALL)
+    "amendment_links": f"""WITH {_REVS}, m AS (SELECT regulation_id, revised_at, max(id) AS revision_id FROM revs WHERE created_at = 'F' GROUP BY ALL)
 SELECT r.regulation_id, r.revised_at AS amend_date, r.id::INT AS ordinal, revision_id, revision_id IS NOT NULL AS has_revision FROM revs r LEFT JOIN m USING (regulation_id, revised_at)""",
     "page_noise": "SELECT o_orderkey, '제1조 ' || o_orderpriority || CASE WHEN EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA') THEN '  ' ELSE ' 12. ASIA  ' END || o_orderstatus AS body FROM orders",
     "markdown_tables": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_returnflag) AS a, min(l_linestatus) AS b FROM lineitem GROUP BY ALL),
@@ -255,5 +255,5 @@ e AS (SELECT *, sum((y IS NOT NULL AND (restart OR coalesce(y > m, false)))::INT
 SELECT doc, page_idx, island, first_value(y) OVER w AS index_no, {_ws("first_value(header) OVER w")} AS first_header FROM e WHERE island > 0 WINDOW w AS (PARTITION BY doc, island ORDER BY page_idx)) WHERE contains(first_header, 'purchase') OR contains(first_header, 'signup') ORDER BY doc, island LIMIT 5""",
     "owner_pages": "SELECT p_partkey AS page, min(l_suppkey) AS seq FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "words_in_tables": """WITH w AS (SELECT l_orderkey AS doc, l_linenumber::DOUBLE AS x0, l_quantity AS y0, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL)
-SELECT doc, x0, y0, n, CASE WHEN doc % 2 <> 0 OR doc NOT IN (SELECT o_orderkey FROM orders) OR y0 + 1 NOT BETWEEN -0.25 AND 30.25 THEN NULL WHEN x0 + 0.5 BETWEEN -0.25 AND 3.25 THEN 0 WHEN x0 + 0.5 BETWEEN 1.75 AND 5.25 THEN 1 END AS tbl FROM w""",
+SELECT doc, x0, y0, n, CASE WHEN doc NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') OR y0 + 1 NOT BETWEEN -0.25 AND 30.25 THEN NULL WHEN x0 + 0.5 BETWEEN -0.25 AND 3.25 THEN 0 WHEN x0 + 0.5 BETWEEN 1.75 AND 5.25 THEN 1 END AS tbl FROM w""",
 }

@@ -154,7 +154,7 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_norm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     left = part.select("p_partkey", F.concat(F.col("p_brand"), F.lit(" ·("), F.col("p_size").cast("string"), F.lit(")")).alias("raw"))
-    right = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_brand"), F.lit(", "), F.col("p_size").cast("string")).alias("title"))
+    right = part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_brand"), F.lit(", "), F.col("p_size").cast("string")).alias("title"))
     return reconcile.unique_match(left, right, T.normalize_title(F.col("raw")), T.normalize_title(F.col("title")), "id")
 
 
@@ -221,10 +221,10 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def anti_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("revised_at"), "o_orderkey")
-    existing = orders.where("o_orderkey % 2 = 0")
-    incoming = orders.where("o_orderkey % 2 = 1")
-    return dml.upsert_new(existing, incoming, ["regulation_id", "revised_at"], ["o_orderkey"])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("revised_at"), "o_orderkey", "o_orderstatus")
+    existing = orders.where("o_orderstatus = 'F'")
+    incoming = orders.where("o_orderstatus <> 'F'")
+    return dml.upsert_new(existing, incoming, ["regulation_id", "revised_at"], ["o_orderkey"]).drop("o_orderstatus")
 
 
 @query
@@ -261,9 +261,8 @@ def stage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def committee_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    records = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("record_id"), F.make_date(F.lit(1995), (F.col("c_custkey") % 12 + 1).cast("int"), (F.col("c_custkey") % 28 + 1).cast("int")).alias("session_date"), F.concat(F.lit("우리대학교 "), F.col("c_name"), F.lit(" ・")).alias("title"))
-    del part
+    customer = table(spark, sf_dir, "customer")
+    records = customer.select(F.col("c_custkey").alias("record_id"), F.make_date(F.lit(1995), (F.col("c_custkey") % 12 + 1).cast("int"), (F.col("c_custkey") % 28 + 1).cast("int")).alias("session_date"), F.concat(F.lit("우리대학교 "), F.col("c_name"), F.lit(" ・")).alias("title"))
     b = book(spark, sf_dir)
     out = reconcile.crosscheck(records, b.regulations, b.revisions, 9, "우리대학교")
     return out.select("record_id", "regulation_id", "status", F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).alias("n_hits"))
@@ -301,7 +300,7 @@ def override_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def exclude_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "l_quantity")
-    reviewed = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(None).cast("string").alias("flag"))
+    reviewed = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(None).cast("string").alias("flag"))
     out = history.excluded(lines, reviewed, ["l_orderkey", "l_linenumber", "flag"], lines["l_quantity"] > 10)
     return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
@@ -555,27 +554,27 @@ def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chronological_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("amend_date"), "o_orderkey")
-    old = history.first_wins(orders.where("o_orderkey % 3 <> 0"), ["regulation_id", "amend_date"], ["o_orderkey"]).drop("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("amend_date"), "o_orderkey", "o_orderstatus")
+    old = history.first_wins(orders.where("o_orderstatus <> 'O'"), ["regulation_id", "amend_date"], ["o_orderkey"]).drop("o_orderkey", "o_orderstatus")
     old = old.withColumn("ordinal", F.row_number().over(Window.partitionBy("regulation_id").orderBy("amend_date")) - 1)
-    return dml.insert_chronologically(old, orders.where("o_orderkey % 3 = 0"), "regulation_id", "amend_date")
+    return dml.insert_chronologically(old, orders.where("o_orderstatus = 'O'"), "regulation_id", "amend_date")
 
 
 @query
 def append_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("amend_date"), "o_orderkey")
-    old = history.first_wins(orders.where("o_orderkey % 3 <> 0"), ["regulation_id", "amend_date"], ["o_orderkey"]).drop("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("regulation_id"), dotted("o_orderdate").alias("amend_date"), "o_orderkey", "o_orderstatus")
+    old = history.first_wins(orders.where("o_orderstatus <> 'O'"), ["regulation_id", "amend_date"], ["o_orderkey"]).drop("o_orderkey", "o_orderstatus")
     old = old.withColumn("ordinal", F.row_number().over(Window.partitionBy("regulation_id").orderBy("amend_date")) - 1)
-    return dml.append(old, orders.where("o_orderkey % 3 = 0"), "regulation_id", "amend_date")
+    return dml.append(old, orders.where("o_orderstatus = 'O'"), "regulation_id", "amend_date")
 
 
 @query
 def merge_update_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    current = dml.without_keys(part.where("p_partkey % 4 <> 0"), "p_partkey", [3, 5, 7])
-    updates = part.where("p_partkey % 6 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.when(F.col("p_partkey") % 12 != 0, F.lit(0)).alias("p_size"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type")
+    current = dml.without_keys(part.where("p_type <> 'SMALL'").drop("p_type"), "p_partkey", [3, 5, 7])
+    updates = part.where("p_type IN ('SMALL', 'ECONOMY')").select("p_partkey", F.upper("p_name").alias("p_name"), F.when(F.col("p_size") > 20, F.lit(0)).alias("p_size"))
     merged = dml.merge(current, updates, ["p_partkey"], ["p_name", "p_size"])
-    mapping = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("old"), (-F.col("p_partkey")).alias("new"))
+    mapping = part.where("p_type = 'LARGE'").select(F.col("p_partkey").alias("old"), (-F.col("p_partkey")).alias("new"))
     return dml.renumber(merged, mapping, "p_partkey")
 
 
@@ -597,7 +596,7 @@ def dq_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(1))
     rows = docs.join(labels, "doc_id", "left").select(
-        "doc_id", F.coalesce("labelled", F.lit(0)).alias("article_count"), F.col("lang").alias("toc_title"), F.left("text", F.lit(40)).alias("parsed_title"), F.array().cast("array<string>").alias("amend_dates")
+        "doc_id", F.coalesce("labelled", F.lit(0)).alias("article_count"), F.col("lang").alias("toc_title"), F.col("text").alias("parsed_title"), F.array().cast("array<string>").alias("amend_dates")
     )
     out = segment.quality_flags(rows)
     return out.select("doc_id", "zero_articles", "glued_dates", "title_mismatch")
@@ -623,7 +622,7 @@ def words_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     words = lines.groupBy(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page"), F.col("l_linenumber").cast("double").alias("x0"), F.col("l_quantity").alias("y0")).agg(F.count(F.lit(1)).alias("n"))
     words = words.withColumn("x1", F.col("x0") + 1).withColumn("y1", F.col("y0") + 2)
-    boxes = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    boxes = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     boxes = boxes.select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("page"), F.explode(F.array(F.lit(0), F.lit(1))).alias("tbl"))
     boxes = boxes.select("doc", "page", "tbl", (F.col("tbl") * 2.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("tbl") * 2.0 + 3).alias("x1"), F.lit(30.0).alias("y1"))
     out = layout.words_in_tables(words, boxes, 0.25)
@@ -636,7 +635,7 @@ def words_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def amendment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = book(spark, sf_dir)
-    out = catalog.amendment_links(b._replace(revisions=b.revisions.where("id % 2 = 0")))
+    out = catalog.amendment_links(b._replace(revisions=b.revisions.where("created_at = 'F'")))
     return out.select("regulation_id", "amend_date", "ordinal", "revision_id", "has_revision")
 
 
