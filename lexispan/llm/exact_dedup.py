@@ -21,6 +21,7 @@ from lexispan.llm.common import checkpointed
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
 HASHES = 2
+HOT_GROUPS = 1000
 _CHUNK = 32768  # bits of one bitmap row (bitmap_construct_agg's fixed size)
 
 
@@ -85,7 +86,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives an empty result.
     """
     digests = checkpointed(digest(df, id_col, text_col))
-    bitmap, bits = repeat_filter(digests, digests.count())
+    rows = digests.count()
+    bitmap, bits = repeat_filter(digests, rows)
     probed = _probe(digests, bitmap, bits)
     alone = probed.where(~F.col("maybe_repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -95,8 +97,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.max(F.struct("n_points", F.col("doc_id").isNotNull(), (-F.col("doc_id")).alias("neg"))).alias("best")
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), best)
     groups = groups.select("text_sha256", "group_size", (-F.col("best.neg")).alias("keep_id"))
-    # a digest that holds a third of the rows is split by the adaptive skew join
-    joined = maybe.join(groups.hint("merge"), "text_sha256")
+    groups = checkpointed(groups)
+    # fewer than HOT_GROUPS groups can hold a HOT_GROUPS-th of all rows: those few are
+    # broadcast, so no digest's rows meet in one task; the others shuffle
+    hot = F.col("group_size") > rows / HOT_GROUPS
+    met = maybe.join(F.broadcast(groups.where(hot)), "text_sha256", "left")
+    columns = ["doc_id", "text_sha256", "group_size", "keep_id"]
+    rest = met.where("group_size IS NULL").select("doc_id", "text_sha256").join(groups.where(~hot).hint("merge"), "text_sha256")
+    joined = met.where("group_size IS NOT NULL").select(*columns).unionByName(rest.select(*columns))
     grouped = joined.select("doc_id", "keep_id", F.col("group_size").cast("long"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)
 
@@ -108,11 +116,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     only digests, lengths and ids are compared. One row stays of each group: the
     longest original, then the smallest id, then the smallest hash of the whole row.
     """
-    taken = set(df.columns)
-    name = lambda base: next(c for k in range(len(taken) + 1) if (c := f"_{base}{k}") not in taken)
-    sha, points, maybe = name("sha"), name("points"), name("maybe")
     digests = checkpointed(digest(df, id_col, text_col).select("text_sha256"))
     bitmap, bits = repeat_filter(digests, digests.count())
+    # the row travels as one struct, so its column names can't clash with ours
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     row = row.withColumn("text_sha256", F.sha2(normalised(F.col(f"row.`{text_col}`")), 256))
     probed = _probe(row, bitmap, bits)
@@ -125,5 +131,4 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     # partial aggregation keeps one row of each digest in every task before the shuffle
     best = again.groupBy("text_sha256").agg(F.max_by("row", rank).alias("row"))
-    del sha, points, maybe
     return through.unionByName(best.select("row")).select("row.*")
