@@ -72,3 +72,30 @@ def test_run_applies_all_stages(spark, tmp_path):
     tables(spark, folder)
     out = corpus_pipeline.run(spark, folder).toPandas()
     assert len(out) and (np.sort(out["bin_id"].dropna().unique()) == np.arange(out["bin_id"].nunique())).all()
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids, null and empty texts, a long text, repeated rows and columns with the
+    operators' own names pass through every stage."""
+    schema = "doc_id long, text string, row string, batch int, payload binary, score double, text_sha256 string, n_words int, kept boolean"
+    extra = ("r", 1, b"p", None, "s", None, True)
+    passage = " ".join(f"q{k}" for k in range(30))
+    texts = [(None, None), (None, "null id"), (1, None), (2, ""), (3, "same row"), (3, "same row"), (4, "w " * 30_000), (5, f"a {passage}"), (6, f"{passage} b c d e f g h i j k l"), (7, "other text")]
+    spark.createDataFrame([(i, t, *extra) for i, t in texts], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for part in "ab":
+        rows = [(1, None, 1), (5, 1, None), (None, 1, 1)] if part == "a" else []
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        folder = f"{tmp_path}/{part}"
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            out.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        if part == "b":
+            assert docs.isEmpty()
+    kept = spark.read.parquet(f"{tmp_path}/a/3")
+    assert kept.columns == [f.split(" ")[0] for f in schema.split(", ")]
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert {(None, "null id"), (3, "same row"), (5, f"a {passage}"), (6, "b c d e f g h i j k l"), (7, "other text"), (4, "w " * 30_000)} <= got
+    assert len(got) == 7  # one of the three texts without words stays
