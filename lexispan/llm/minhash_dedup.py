@@ -35,6 +35,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5  # a pair at the threshold is missed with probability 5e-5
 BLOCK_WORDS = 500_000  # words of a candidate component verified at once
 BROADCAST_ROWS = 500_000  # ids (8 bytes each) that may be broadcast
+SLICE_BYTES = 2 << 20  # text sketched at a time
 U = np.uint64
 
 
@@ -127,7 +128,7 @@ def _sketch(bands: int, rows: int, shingle: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "f1", "f2", "n_words", "bands"]
         for b in batches:
-            for at, n in _slices(b.column(1)):
+            for at, n in W.slices(b.column(1), SLICE_BYTES):
                 texts = b.column(1).slice(at, n)
                 h, d, occurrence, w = shingles(texts, shingle)
                 sign = dart_minhash(h, d, occurrence, n, bands * rows)
@@ -141,19 +142,6 @@ def _sketch(bands: int, rows: int, shingle: int):
     return sketch
 
 
-def _slices(column: pa.Array, budget: int = 2 << 20) -> list[tuple[int, int]]:
-    """Runs of rows with about ``budget`` bytes of text each; a long text is alone."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-    out, at = [], 0
-    while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + budget, "right")))
-        out.append((at, end - at))
-        at = end
-    return out
-
-
 def _fingerprint(w: W.Words, salt: int) -> np.ndarray:
     """A hash of each text's word sequence."""
     place = (np.arange(len(w.hash)) - w.first[w.doc()]).astype(U)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispan.llm.words import slices
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK = 256 << 10  # bytes of distinct chunks indexed at once
@@ -115,11 +117,8 @@ class Encoder:
         self.keys = np.array([model.pieces[k] for k in used], f"S{self.depth}")
         self.limits = np.array([model.pieces[k].ljust(self.depth, b"\xff") for k in used], f"S{self.depth}")
         self.lengths = np.array([len(model.pieces[k]) for k in used])
-        # rank of a piece when merging: higher scores first
-        order = np.argsort(-model.scores[self.ids], kind="stable")
-        rank_of_score = np.unique(-model.scores[self.ids], return_inverse=True)[1]
-        del order
-        self.rank = rank_of_score.astype(np.int32)
+        # rank of a piece when merging: higher scores first, equal scores alike
+        self.rank = np.unique(-model.scores[self.ids], return_inverse=True)[1].astype(np.int32)
         self.chunk = re.compile(r" *[^ ]+| +\Z") if model.apart else re.compile(r".+", re.S)
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
@@ -359,14 +358,12 @@ def encode_documents(df: DataFrame, model: PieceModel, id_col: str = "doc_id", t
     table gives an empty result. No shuffle; a worker holds one slice of texts, its
     chunks and a bounded memory of chunks.
     """
-    from lexispan.llm.minhash_dedup import _slices
-
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for b in batches:
-            for at, n in _slices(b.column(1), 4 << 20):
+            for at, n in slices(b.column(1), 4 << 20):
                 texts = [t or "" for t in b.column(1).slice(at, n).to_pylist()]
                 ids = encoder.encode(texts)
                 same = [decode(model, x) == t for x, t in zip(ids, texts, strict=True)]
