@@ -24,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispan.llm.words import slices
+
 TOKEN = re.compile(r"\w+")
 SAMPLE_ROWS = 4000  # most labelled documents that the model is fitted on
 SAMPLE_WORDS = 50_000  # documents with more words are not used for fitting
 LEXICON = 5000  # most words with a weight of their own
 SEGMENT = 128  # tokens of a training sequence
+SEQUENCES = 4096  # training sequences worked on at a time
+SLICE_BYTES = 16 << 20  # text scored at a time
 CELLS = 1 << 20  # padded tokens scored at a time
 
 
@@ -88,18 +92,23 @@ def _document_features(p: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _train_chain(ids: np.ndarray, length: np.ndarray, tags: np.ndarray, features: int, rounds: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
     """Adam on the likelihood of the tag sequences, with a weak Gaussian prior."""
     live = np.arange(len(ids))[:, None] < length[None, :]
-    tagged = tags * live
-    seen_e = np.bincount(ids.ravel(), weights=tagged.ravel(), minlength=features)
+    seen_e = np.bincount(ids[live & (tags > 0)], minlength=features).astype(float)
     follow = live[1:]
     seen_t = np.array([[np.sum((tags[:-1] == i) & (tags[1:] == j) & follow) for j in (0, 1)] for i in (0, 1)], float)
-    seen_s = float(tagged[0].sum())
+    seen_s = float((tags[0] * live[0]).sum())
+    del live, follow
+    parts = [slice(k, k + SEQUENCES) for k in range(0, len(length), SEQUENCES)]
     w, low, high = np.zeros(features + 5), np.zeros(features + 5), np.zeros(features + 5)
     w[0], w[features] = -2.0, -2.0
     n = len(length)
     for k in range(1, rounds + 1):
         e, s, t = w[:features], w[features], w[features + 1 :].reshape(2, 2)
-        p, pairs, _ = marginals(ids, length, e, s, t)
-        g = np.concatenate([seen_e - np.bincount(ids.ravel(), weights=p.ravel(), minlength=features), [seen_s - p[0].sum()], (seen_t - pairs).ravel()])
+        g = np.concatenate([seen_e, [seen_s], seen_t.ravel()])
+        for part in parts:
+            p, pairs, _ = marginals(ids[:, part], length[part], e, s, t)
+            g[:features] -= np.bincount(ids[:, part].ravel(), weights=p.ravel(), minlength=features)
+            g[features] -= p[0].sum()
+            g[features + 1 :] -= pairs.ravel()
         g = (g - 0.05 * w) / n
         low = 0.9 * low + 0.1 * g
         high = 0.98 * high + 0.02 * g * g
@@ -118,12 +127,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on a bounded list of texts and 0/1 labels held by the driver."""
-    words = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
+    """Fit on a bounded list of texts and 0/1 labels held by the driver. Without words, or
+    without both labels, nothing can be learnt: every text then scores below one half."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     by = (Counter(), Counter())
-    for w, y in zip(words, toxic, strict=True):
-        by[int(y)].update(set(w))
+    for t, y in zip(texts, toxic, strict=True):
+        by[int(y)].update({w.lower() for w in TOKEN.findall(t)})
     strength = {}
     for w in by[1].keys() | by[0].keys():
         a, b = by[1][w], by[0][w]
@@ -133,15 +142,17 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     chosen = sorted((w for w, x in strength.items() if abs(x[0]) > 1.5), key=lambda w: (-abs(strength[w][0]), w))[:LEXICON]
     lexicon = {w: k for k, w in enumerate(chosen, 1)}
     strong = np.zeros(len(chosen) + 1, bool)
-    strong[[lexicon[w] for w in chosen if strength[w][0] > 2.5 and strength[w][1] > 1.5 and strength[w][2] >= 6]] = True
-    coded = [np.array([lexicon.get(w, 0) for w in ws], np.int32) for ws in words]
+    often = max(6, n1 // 100)  # toxic documents that a strong word occurs in, at least
+    strong[[lexicon[w] for w in chosen if strength[w][0] > 2.5 and strength[w][1] > 1.5 and strength[w][2] >= often]] = True
+    del by, strength
+    coded = [np.array([lexicon.get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
     parts, tags = [], []
     for ids, y in zip(coded, toxic, strict=True):
         for at in range(0, len(ids), SEGMENT):
             parts.append(ids[at : at + SEGMENT])
             tags.append(strong[parts[-1]] * int(y))
-    if not parts:
-        return Model({}, np.zeros(1), -2.0, np.zeros((2, 2)), np.array([np.log((n1 + 1) / (n0 + 1)), 0, 0, 0]))
+    if not parts or toxic.min() == toxic.max():
+        return Model({}, np.zeros(1), -2.0, np.zeros((2, 2)), np.array([-1.0, 0, 0, 0]))
     length = np.array([len(x) for x in parts])
     emission, start, transition = _train_chain(_pad(parts, 0), length, _pad(tags, 0), len(chosen) + 1)
     model = Model(lexicon, emission, start, transition, np.zeros(4))
@@ -169,6 +180,20 @@ def _scored(coded: list[np.ndarray], model: Model) -> Iterator[tuple[np.ndarray,
         at = end
 
 
+def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of bounded text, by the column ``at``."""
+    for b in batches:
+        for start, n in slices(b.column(at), SLICE_BYTES):
+            yield b.slice(start, n)
+
+
+def _coded(column: pa.Array, model: Model) -> tuple[list[str], list[np.ndarray]]:
+    """Texts (null: empty) and the features of their tokens."""
+    get = model.lexicon.get
+    texts = ["" if t is None else t for t in column.to_pylist()]
+    return texts, [np.array([get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
+
+
 def held_out(doc_id: F.Column, folds: int = 5) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 0, F.lit(False))
 
@@ -197,10 +222,8 @@ def tag_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = model.lexicon.get
-        for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            coded = [np.array([get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
+        for b in _cut(batches, 1):
+            texts, coded = _coded(b.column(1), model)
             score, count, spans = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[] for _ in texts]
             for which, features, p in _scored(coded, model):
                 score[which] = 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30)))
@@ -222,11 +245,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = model.lexicon.get
-        for b in batches:
-            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
-            coded = [np.array([get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
-            good = np.ones(len(texts), bool)
+        for b in _cut(batches, at):
+            _, coded = _coded(b.column(at), model)
+            good = np.ones(len(coded), bool)
             for which, features, _ in _scored(coded, model):
                 good[which] = 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30))) < 0.5
             yield b.filter(pa.array(good))
