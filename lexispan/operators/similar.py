@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
 
+BROADCAST_ROWS = 500_000  # shingles of attachments that may be broadcast
+
 
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct n-character shingles; none for shorter texts. One pass of overlapping
@@ -43,6 +45,25 @@ def best_match(attachments: DataFrame, tables: DataFrame, threshold: float = 0.5
     return attachments.select("doc", "attachment").join(best, ["doc", "attachment"], "left").select("doc", "attachment", "b.page", "b.tbl", "b.score")
 
 
+def best_match_anywhere(attachments: DataFrame, tables: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
+    """For each attachment (``attachment, text``) the table (``tbl, text``) with the
+    largest overlap among all tables; ties go to the first table. Below the threshold
+    the match is null.
+
+    The shared shingles are counted by an equi-join on the shingle, so every pair that
+    shares one gets its exact score. Rows that repeat a key are scored on their own.
+    """
+    needles = attachments.select("attachment", shingles(T.without_ws(F.col("text")), n).alias("needles")).withColumn("a_row", F.monotonically_increasing_id())
+    wanted = needles.select("attachment", "a_row", F.size("needles").alias("size"), F.explode("needles").alias("gram"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    held = tables.select("tbl", F.monotonically_increasing_id().alias("t_row"), shingles(T.without_ws(F.col("text")), n).alias("grams")).select("tbl", "t_row", F.explode("grams").alias("gram"))
+    hits = held.join(wanted, "gram").groupBy("attachment", "a_row", "tbl", "t_row", "size").agg(F.count(F.lit(1)).alias("hits"))
+    scored = hits.select("attachment", "tbl", (F.col("hits") / F.col("size")).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("attachment").agg(F.min_by(F.struct("tbl", "score"), F.struct(-F.col("score"), "tbl")).alias("b"))
+    return attachments.select("attachment").join(best, "attachment", "left").select("attachment", "b.tbl", "b.score")
+
+
 def trigram_index(df: DataFrame, key: str, text_col: str = "text", n: int = 3) -> DataFrame:
     """Inverted index: ``gram, key``, one row for each document that holds the gram."""
     return df.select(F.explode(shingles(F.col(text_col), n)).alias("gram"), key)

@@ -214,6 +214,10 @@ SELECT l_orderkey AS doc, CASE WHEN bool_or(l_linenumber = 1) THEN 'name of ' ||
 s AS (SELECT item_id, page, doc_id AS tbl, {_containment("n", _BARE("text"))} AS score FROM p JOIN documents ON doc_id % 200 = page),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page, tbl) = 1)
 SELECT a.item_id AS attachment, page, tbl, round(score, 6) AS score FROM a LEFT JOIN (SELECT * FROM b WHERE score >= 0.5) b USING (item_id)""",
+    "best_match_all": f"""WITH a AS (SELECT item_id, {_shingles(_BARE("text"))} AS n FROM benchmark), d AS (SELECT doc_id AS tbl, {_BARE("text")} AS t FROM documents),
+s AS (SELECT item_id, tbl, {_containment("n", "t")} AS score FROM a CROSS JOIN d),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, tbl) = 1)
+SELECT a.item_id AS attachment, tbl, round(score, 6) AS score FROM a LEFT JOIN (SELECT * FROM b WHERE score >= 0.5) b USING (item_id)""",
     "shingle_overlap": f"""WITH a AS (SELECT conv_id, turn, {_shingles(_BARE("text"))} AS n, {_BARE("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")} AS old FROM conversations)
 SELECT conv_id, turn, round({_containment("n", "old")}, 6) AS score FROM a WHERE old IS NOT NULL""",
     "trigram_index": f"SELECT gram, count(*)::BIGINT AS n_docs FROM (SELECT unnest({_shingles('text')}) AS gram FROM documents) GROUP BY 1",

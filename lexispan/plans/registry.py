@@ -463,6 +463,14 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("attachment", "page", "tbl", F.round("score", 6).alias("score"))
 
 
+@query
+def best_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against every document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("attachment"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tbl"), "text")
+    return similar.best_match_anywhere(items, docs).withColumn("score", F.round("score", 6))
+
+
 @query
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")

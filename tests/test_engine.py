@@ -96,6 +96,13 @@ def test_shingles_and_best_match(spark):
     assert got == {0: (1, 1, 1.0), 1: (None, None, None), 2: (None, None, None)}
 
 
+def test_best_match_anywhere(spark):
+    atts = spark.createDataFrame([(250, "abcdef"), (251, "zzzzzz"), (252, "a"), (253, None), (254, "uvwxyz")], "attachment int, text string")
+    tabs = spark.createDataFrame([(7, "abc"), (901, "a b c d e f"), (902, "abcdef"), (3, "uvwx"), (3, "uv"), (4, None)], "tbl int, text string")
+    got = {r["attachment"]: (r["tbl"], r["score"]) for r in similar.best_match_anywhere(atts, tabs).collect()}
+    assert got == {250: (901, 1.0), 251: (None, None), 252: (None, None), 253: (None, None), 254: (3, 0.5)}
+
+
 def test_history(spark):
     def snap(date, *regs):
         return (date, "f", [(t, len(a), [("c", None, None, *x) for x in a]) for t, a in regs])
