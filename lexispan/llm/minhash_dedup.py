@@ -14,7 +14,8 @@ least document of the band's bucket, and the components of these candidate links
 are verified with exact weighted Jaccard similarities, so no link below the
 threshold joins documents. Equal word sequences are collapsed before, and inside a
 candidate component only the pairs that can still connect classes are compared.
-Large components are verified in blocks by many tasks.
+Large components are verified in blocks by many tasks. A vertex is a word sequence,
+so texts that share an id are different vertices.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.llm import words as W
@@ -126,10 +127,10 @@ def _earliest(sign: np.ndarray, rank: np.ndarray, doc: np.ndarray, coordinate: n
 
 def _sketch(bands: int, rows: int, shingle: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "f1", "f2", "n_words", "bands"]
+        names = ["doc_id", "row_key", "f1", "f2", "n_words", "bands"]
         for b in batches:
-            for at, n in W.slices(b.column(1), SLICE_BYTES):
-                texts = b.column(1).slice(at, n)
+            for at, n in W.slices(b.column(2), SLICE_BYTES):
+                texts = b.column(2).slice(at, n)
                 h, d, occurrence, w = shingles(texts, shingle)
                 sign = dart_minhash(h, d, occurrence, n, bands * rows)
                 base = np.arange(1, rows + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(1)
@@ -137,7 +138,7 @@ def _sketch(bands: int, rows: int, shingle: int):
                 length = np.diff(w.first)
                 f = [_fingerprint(w, salt) for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *(pa.array(x.view(np.int64)) for x in f), pa.array(length, pa.int64()), lists], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), *(pa.array(x.view(np.int64)) for x in f), pa.array(length, pa.int64()), lists], names)
 
     return sketch
 
@@ -281,46 +282,72 @@ def _verify_large(members: DataFrame, shingle: int, threshold: float) -> DataFra
     return star.where("u <> v").unionByName(tasks.mapInArrow(verify, _LINKS))
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, class_size, kept, n_words`` for every row.
+def _numbered(same: DataFrame) -> DataFrame:
+    """Adds ``vertex``: the least document of a word sequence. Of several word sequences
+    with the same one, all but the first get a hash as their number."""
+    shared = same.groupBy("rep").agg(F.min(F.struct("f1", "f2", "n_words")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", "owner")
+    shared = checkpointed(shared)
+    n_shared = shared.count()
+    if not n_shared:
+        return same.withColumn("vertex", F.col("rep"))
+    if n_shared <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    number = F.when(F.col("owner").isNull() | (F.col("owner") == F.struct("f1", "f2", "n_words")), F.col("rep")).otherwise(F.xxhash64("f1", "f2", "n_words"))
+    return checkpointed(same.join(shared, "rep", "left").withColumn("vertex", number).drop("owner"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """One key for the rows with an id and a text; a null text counts as an empty one."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``doc_id, class_id, class_size, kept, n_words`` for every row and, if asked for,
+    its ``row_key``.
 
     A class is a connected component of the links with weighted Jaccard similarity
     of at least ``threshold`` over word shingles; its id is its least ``doc_id``, the
     one document that is kept. Words are runs of 0-9, a-z and non-ASCII characters,
     lower-cased A-Z. Texts without words (null and empty ones too) and rows with a
-    null id are alone in their class. Rows that repeat an id are one vertex, so all of
-    them carry its class. Extra columns are ignored; an empty table gives an empty
-    result.
+    null id are alone in their class. The vertices are word sequences, so different
+    texts that share an id have each their own class; classes may then share an id,
+    and of near copies with the least id one word sequence is kept. Extra columns are
+    ignored; an empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = checkpointed(docs.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, f1 long, f2 long, n_words long, bands array<long>"))
+    docs = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    sketches = checkpointed(docs.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, row_key long, f1 long, f2 long, n_words long, bands array<long>"))
     usable = sketches.where("n_words > 0 AND doc_id IS NOT NULL")
     # equal word sequences meet first; partial aggregation keeps one row a task
-    same = usable.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    same = checkpointed(same)
-    banded = same.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = banded.join(hubs, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = checkpointed(components(candidates).withColumnRenamed("vertex", "doc_id"))
-    words = same.select(F.col("rep").alias("doc_id"), "n_words").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
+    same = usable.groupBy("f1", "f2", "n_words").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("bands").alias("bands"))
+    same = checkpointed(same.select("f1", "f2", "n_words", F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("row_key"), "bands"))
+    same = _numbered(same)
+    banded = same.select("vertex", F.posexplode("bands").alias("band", "key"))
+    hubs = banded.groupBy("band", "key").agg(F.min("vertex").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    candidates = banded.join(hubs, ["band", "key"]).where("vertex <> hub").select(F.col("vertex").alias("u"), F.col("hub").alias("v")).distinct()
+    groups = checkpointed(components(candidates))
     n_members = groups.count()
     small_side = F.broadcast if n_members <= BROADCAST_ROWS else (lambda x: x)
-    sized = groups.join(words, "doc_id")
+    sized = groups.join(same.select("vertex", "row_key", "n_words"), "vertex")
     weight = sized.groupBy("component").agg(F.sum("n_words").alias("component_words"))
     sized = checkpointed(sized.join(weight, "component"))
-    members = docs.join(small_side(sized), "doc_id").dropDuplicates(["doc_id"])
+    # the text of each vertex's first row; the checks below know a vertex as doc_id
+    members = docs.drop("doc_id").join(small_side(sized), "row_key").drop("row_key").withColumnRenamed("vertex", "doc_id").dropDuplicates(["doc_id"])
     small = members.where(F.col("component_words") <= BLOCK_WORDS)
     links = _verify_small(small, shingle, threshold)
     if not sized.where(F.col("component_words") > BLOCK_WORDS).isEmpty():
         large = members.where(F.col("component_words") > BLOCK_WORDS)
         links = links.unionByName(_verify_large(large, shingle, threshold))
-    classes = components(links).withColumnRenamed("vertex", "rep")
+    classes = checkpointed(components(links))
+    # the least document of each class, and the vertex that holds it
+    firsts = classes.join(same.select("vertex", "rep"), "vertex").groupBy("component").agg(F.min(F.struct("rep", "vertex")).alias("first"))
+    classes = classes.join(firsts, "component").select("vertex", "component", F.col("first.rep").alias("class_id"), (F.col("first.vertex") == F.col("vertex")).alias("first"))
     # every representative's class; then its copies' (hot copies: adaptive skew join)
-    reps = same.join(classes, "rep", "left").select("f1", "f2", "n_words", F.coalesce("component", "rep").alias("class_id"))
-    placed = usable.select("doc_id", "f1", "f2", "n_words").join(checkpointed(reps).hint("merge"), ["f1", "f2", "n_words"]).select("doc_id", "class_id", "n_words")
-    placed = checkpointed(placed)
-    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = placed.join(checkpointed(sizes).hint("merge"), "class_id")
-    alone = sketches.where("n_words = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), "n_words", F.lit(1).cast("long").alias("class_size"))
+    reps = same.join(classes, "vertex", "left").select("f1", "f2", "n_words", F.coalesce("component", "vertex").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    placed = usable.select("doc_id", "row_key", "f1", "f2", "n_words").join(checkpointed(reps).hint("merge"), ["f1", "f2", "n_words"])
+    placed = checkpointed(placed.select("doc_id", "row_key", "class", "class_id", "n_words", (F.col("first") & (F.col("doc_id") == F.col("class_id"))).alias("kept")))
+    sizes = placed.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
+    out = placed.join(checkpointed(sizes).hint("merge"), "class").drop("class")
+    alone = sketches.where("n_words = 0 OR doc_id IS NULL").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), "n_words", F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     out = out.unionByName(alone)
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words")
+    return out.select("doc_id", "class_id", "class_size", "kept", "n_words", *["row_key"] * keyed)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from lexispan.llm import lm_scoring, minhash_dedup, roundtrip, substring_dedup, toxicity
 from lexispan.llm import words as W
 
@@ -227,6 +228,18 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in rows) == [(-1, -1), (-1, -1), (1, 1), (4, 4), (4, 4)]
 
 
+def test_texts_that_share_an_id_are_judged_alone(spark):
+    words = [f"w{k}" for k in range(40)]
+    copy, clean = " ".join(words), " ".join(f"c{k}" for k in range(40))
+    other = [f"v{k}" for k in range(40)]
+    texts = [" ".join(words + ["end"]), copy, clean, " ".join(other), " ".join(other + ["end"]), clean + " more"]
+    data = docs(spark, texts, [1, 7, 7, 7, 9, 7])
+    got = sorted((r["doc_id"], texts.index(r["text"])) for r in corpus_pipeline.drop_near_copies(spark, data, "").collect())
+    assert len(got) == 3 and got[0] == (1, 0) and (7, 3) in got and {(7, 2), (7, 5)} & set(got)
+    rows = minhash_dedup.near_duplicates(data).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in rows) == Counter({(1, 1, 2): 1, (7, 1, 2): 1, (7, 7, 2): 3, (9, 7, 2): 1})
+
+
 def test_components(spark):
     from lexispan.llm.components import components
 
