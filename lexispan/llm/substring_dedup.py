@@ -1,15 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against the earlier documents.
+"""Substring dedup by the windows that earlier documents hold.
 
 The reference of a document is every document with a smaller id. Its index is cut
 into blocks: each block holds one range of 13-word seed hashes of the whole corpus
-and knows the first document of every seed. A document is factored greedily against
-all blocks: at a word whose seed starts in the reference a factor opens and runs on
-as long as the next word's seed does too (its source may change, as a parse against
-the concatenated blocks may); where no seed matches, a literal of one word is
-emitted. A factor covers its last seed to the end, so it is at least a window long;
-every seed that straddles a factor's boundary has been looked up as well, so no
-window that crosses from one source to the next is missed. Factors become the
-duplicate spans.
+and knows the first document of every seed. This is a reduced form of a relative
+Lempel-Ziv parse: every window of a document is looked up, and the duplicate spans
+are the union of the windows that start in the reference. No reference text is
+parsed, and spans have no source position and are not extended beyond their windows.
 
 Seeds are 64-bit hashes of whole words; two different windows agree by accident
 with probability 2**-64 a pair.
@@ -33,8 +29,8 @@ _BYTES_PER_WORD = 5  # a cautious guess, for the number of blocks only
 
 
 def factors(known: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
-    """Greedy parse of one document: [from, to) word ranges of its factors, given
-    which of its seeds start in the reference. Ranges that touch or overlap merge."""
+    """Union of one document's known windows as [from, to) word ranges, given which of
+    its seeds start in the reference. Ranges that touch or overlap merge."""
     at = np.flatnonzero(known)
     if not len(at):
         return []
