@@ -246,7 +246,8 @@ def merge_headers(rows: DataFrame, order: list[str], start: str, structural: str
     rows = rows.withColumn("_headed", F.first("_head").over(by)).withColumn("_n", F.row_number().over(by))
     rows = rows.withColumn("_key", F.when(F.col("_headed"), 0).otherwise(F.col("_n")))
     first = F.min(F.struct(*order)).alias("_at")
-    joined = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(*order, "s"))), 2, 10_000), lambda x: x["s"]), "")
+    lines = F.array_sort(F.collect_list(F.struct(*order, "s")))
+    joined = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x["s"]), "")
     head = F.min_by("s", F.struct(*order))
     title = F.concat(F.lit("제"), F.regexp_extract(head, T.unicode_re(start), 1), F.lit(word + " "), joined)
     out = rows.groupBy("doc", "_part", "_key").agg(first, F.when(F.first("_headed"), title).otherwise(head).alias("line"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lexispan.functions import text as T
 from lexispan.operators import history, layout, segment
 
@@ -147,6 +149,12 @@ def test_blocks_units_headers_toc(spark):
     assert [(r["l0"], r["l1"], r["index_no"], r["title"], r["page_display"]) for r in got] == [("정관", None, "1", "정관", 3), ("행정", "인사", "2", "교원 규정", 14)]
 
 
+def test_merge_headers_keeps_every_line(spark):
+    df = spark.range(10_006).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 0, "제1장").otherwise("x").alias("line"))
+    got = segment.merge_headers(df, ["line_no"], r"^제\s*(\d+)\s*장$", T.ARTICLE, "장").collect()
+    assert [r["line"] for r in got] == ["제1장 " + "x" * 10_005]
+
+
 def test_version_pairs_equal_the_carry_forward(spark):
     rng = random.Random(5)
     rows, want = [], set()
