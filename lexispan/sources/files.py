@@ -14,6 +14,7 @@ from lexispan.functions import text as T
 
 _NAME = "_metadata.file_name"
 _PATH = "_metadata.file_path"
+ARRAY_ROWS = 100_000  # rows that one JSON array may have
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -22,9 +23,14 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One JSON document that is an array of all rows, for small reports."""
-    rows = df.orderBy(*order) if order else df
-    one = rows.agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select(F.to_json("rows").alias("value"))
+    """One JSON document that is an array of all rows; more than ARRAY_ROWS rows are
+    refused, since one task makes the document."""
+    if df.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        raise ValueError(f"more than {ARRAY_ROWS} rows: write them as JSON lines")
+    rows = F.collect_list(F.struct(F.struct(*order or [F.lit(0)]).alias("at"), F.struct(*df.columns).alias("row")))
+    if order:
+        rows = F.array_sort(rows, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    one = df.agg(F.transform(rows, lambda x: x["row"]).alias("rows")).select(F.to_json("rows").alias("value"))
     one.coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -270,6 +270,16 @@ def test_files(spark, tmp_path):
     assert [r["line"] for r in files.read_plain_lines(spark, str(p)).collect()][-1] == "y"
 
 
+def test_json_array_is_ordered_and_bounded(spark, tmp_path, monkeypatch):
+    df = spark.range(3).select((2 - F.col("id")).alias("i"), F.when(F.col("id") != 1, "s").alias("s"))
+    files.write_json_array(df, str(tmp_path / "a"), ["i"])
+    assert [r["i"] for r in files.read_json_array(spark, str(tmp_path / "a"), df.schema).collect()] == [0, 1, 2]
+    monkeypatch.setattr(files, "ARRAY_ROWS", 2, raising=False)
+    with pytest.raises(ValueError):
+        files.write_json_array(df, str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
+
+
 def test_records_to_tables(spark):
     from lexispan.schemas import REGULATION_RECORD
 
