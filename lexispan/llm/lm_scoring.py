@@ -25,14 +25,11 @@ from pyspark.sql import functions as F
 
 from lexispan.llm import words as W
 from lexispan.llm.common import WORD, cells_for
-from lexispan.llm.roundtrip import BUCKET_HASHES, pack, round_trip
-
-U = np.uint64
+from lexispan.llm.roundtrip import BUCKET_HASHES, deal, round_trip
 
 ORDER = 3
 ALPHA = 0.4
 BATCH_BYTES = 6 << 20  # larger batches name fewer n-grams twice
-HASH_BITS = 58  # of 10**13 distinct n-grams, about one in 30,000 shares its hash
 
 
 def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,31 +40,24 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     no words, logscore 0 and a null mean. Rows that share an id are separate
     documents (each is among the others' counts), as are rows with a null id. Extra
     columns are ignored; an empty table gives an empty result. Counts are exact up
-    to collisions of ``HASH_BITS``-bit n-gram hashes.
+    to collisions of 64-bit n-gram hashes (about n * n / 2**65 pairs of n n-grams).
     """
     text = F.col(text_col)
-    size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(WORD)))).first()
-    n_rows, n_bytes, n_words = (int(x or 0) for x in size)
-    packed = pack(df, cells_for(n_bytes + 64 * n_rows, BATCH_BYTES, 12), id_col, text_col)
+    n_words = int(df.agg(F.sum(F.regexp_count(text, F.lit(WORD)))).first()[0] or 0)
+    packed = deal(df, id_col, text_col, batch_bytes=BATCH_BYTES)
     buckets = cells_for(n_words * order, BUCKET_HASHES, 12)
 
-    spare = U(64 - HASH_BITS)
-
     def read(texts: pa.Table) -> W.Words:
         return W.words(*W.text_buffer(texts["text"]), W.spaced_words())
 
-    def grams(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-        h, at = W.grams(w, n)
-        return h >> spare << spare, at
-
     def ask(texts: pa.Table):
         w = read(texts)
-        hashes = np.concatenate([grams(w, n)[0] for n in range(1, order + 1)])
+        hashes = np.concatenate([W.grams(w, n)[0] for n in range(1, order + 1)])
         hashes.sort()
         head = _heads(hashes[1:] != hashes[:-1], len(hashes))
         return hashes[head], [_sizes(head, len(hashes)).astype(np.uint32)]
 
-    def answer(hashes: np.ndarray, beside: list[np.ndarray], sender: np.ndarray) -> np.ndarray:
+    def answer(hashes: np.ndarray, beside: list[np.ndarray], batch: np.ndarray) -> np.ndarray:
         keys = np.argsort(hashes, kind="stable")
         h = hashes[keys]
         head = _heads(h[1:] != h[:-1], len(h))
@@ -84,7 +74,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
         others = n_words - length  # N without the document itself
         counts = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word
         for n in range(1, order + 1):
-            h, at = grams(w, n)
+            h, at = W.grams(w, n)
             # equal n-grams stand together, and those of one document: positions ascend
             keys = np.argsort(h, kind="stable")
             h, at = h[keys], at[keys]
@@ -115,7 +105,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(length, pa.int64()), "n_backed_off": backed, "logscore": sums, "mean_logscore": mean})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return round_trip(packed, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double", HASH_BITS)
+    return round_trip(packed, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
 
 
 def _heads(change: np.ndarray, n: int) -> np.ndarray:

@@ -51,7 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_substrings(documents(spark, sf_dir), keep_text=False).drop("spans")
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir), keep_text=False).drop("spans", "factors")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

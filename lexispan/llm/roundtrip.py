@@ -1,16 +1,18 @@
 """Hash lookups by a round trip between text batches and hash buckets.
 
-Word n-grams of a corpus are too many to shuffle as rows. Here texts are dealt into
-batches of a few MB (by hash), each batch sends one row to each hash bucket - the
-sorted distinct n-gram hashes it holds for that bucket, delta-coded and compressed
-- the bucket answers every batch with one row, in the same order, and the batch
-puts the answers back to its texts:
+Word n-grams of a corpus are too many to shuffle as rows. Here neighbouring rows form
+batches of a few MB, each batch sends one row to each hash bucket - the sorted distinct
+n-gram hashes it holds for that bucket, delta-coded and compressed - the bucket answers
+every batch with one row, in the same order, and the batch puts the answers back to
+its texts:
 
-    texts --pack--> batches --ask--> buckets --answer--> batches --finish--> rows
+    rows --deal--> batches --asked--> buckets --answered--> batches --> rows
 
 However often an n-gram occurs, a batch names it once, so a bucket never holds more
-than (distinct n-grams in its range) x (batches that hold them), and no key is hot.
-Both counts grow with the input: batches and buckets stay of bounded size.
+than (distinct n-grams in its range) x (batches that hold them), and no key is hot:
+rows that are equal share a batch only as far as it has room. Batches and buckets stay
+of bounded size while the input grows. A row of an exchange holds one hash at least,
+so there are never more of them than distinct hashes of the batches.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispan.llm import words as W
+
 BATCH_BYTES = 4 << 20
 BUCKET_HASHES = 2_000_000
 U = np.uint64
@@ -55,68 +60,88 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(limits, U)), [len(hashes)]]).astype(np.int64)
 
 
-def pack(df: DataFrame, batches: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """``batch, payload``: texts as compressed Arrow streams (id, text and, with
-    ``carry``, the whole row's other columns as a struct), dealt by hash of id and
-    text, so null and repeated ids spread as well."""
+def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``batch, payload``: one row for each run of neighbouring rows with about
+    ``batch_bytes`` of text, as a compressed Arrow stream (id, text and, with ``carry``,
+    the whole row's other columns as a struct). Nothing shuffles. Batches are numbered
+    by input partition and place in it: whoever uses the numbers in more than one job
+    checkpoints the result."""
     names = ["doc_id", "text"] + ["row"] * carry
     others = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row")] * carry
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
-    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+        at = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+                writer.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
+
         for part in parts:
-            if not part.num_rows:
-                continue
-            table = pa.Table.from_batches([part]).sort_by("batch").combine_chunks()
-            keys = table["batch"].to_numpy()
-            cuts = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                sink = pa.BufferOutputStream()
-                piece = table.slice(a, b - a).select(names)
-                with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
-                    writer.write_table(piece)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
+            part = part.select(names)
+            for start, n in W.slices(part.column(1), batch_bytes):
+                piece = part.slice(start, n)
+                more = W.volume(piece.column(1))
+                if held and size + more > batch_bytes:
+                    yield packed()
+                    at, held, size = at + 1, [], 0
+                held.append(piece)
+                size += more
+        if held:
+            yield packed()
 
-    return rows.mapInArrow(deal, "batch int, payload binary")
+    return rows.mapInArrow(run, "batch long, payload binary")
 
 
 def unpack(table: pa.Table) -> pa.Table:
-    """The texts of a batch, in one fixed order: rows may arrive in any order."""
-    texts = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for c in table["payload"].chunks for x in c])
+    """The texts of a batch's row, in one fixed order: null ids last."""
+    texts = pa.ipc.open_stream(table["payload"].chunk(0)[0].as_buffer()).read_all()
     columns = texts.set_column(1, "text", texts["text"].cast(pa.large_string())).combine_chunks()
     return columns.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
+def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield pa.Table.from_batches([b.slice(k, 1)])
+
+
 def _rows(keys: dict[str, list[int]], payloads: list[bytes]) -> pa.Table:
-    return pa.table({k: pa.array(v, pa.int32()) for k, v in keys.items()} | {"payload": pa.array(payloads, pa.binary())})
+    kinds = {"bucket": pa.int32(), "batch": pa.int64()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in keys.items()} | {"payload": pa.array(payloads, pa.binary())})
 
 
-def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str, hash_bits: int = 64) -> DataFrame:
-    """ask(texts) -> (sorted distinct hashes, [arrays beside them]);
-    answer(hashes, [arrays], sender) -> an array of one value for each hash, given
-    all senders' hashes of a bucket concatenated; finish(texts, hashes, values) -> table.
+def asked(packed: DataFrame, buckets: int, ask: Callable) -> DataFrame:
+    """``bucket, batch, payload``; ask(texts) -> (sorted distinct hashes, [arrays beside
+    them])."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in each_batch(batches):
+            batch = table["batch"][0].as_py()
+            hashes, beside = ask(unpack(table))
+            edge = bucket_edges(hashes, buckets)
+            keys, payloads = {"bucket": [], "batch": []}, []
+            for k in np.flatnonzero(np.diff(edge)):
+                part = slice(edge[k], edge[k + 1])
+                keys["bucket"].append(int(k))
+                keys["batch"].append(batch)
+                payloads.append(_frame([squeeze_sorted(hashes[part]), *(squeeze(x[part]) for x in beside)], [x.dtype.str for x in beside]))
+            del hashes, beside
+            pa.default_memory_pool().release_unused()
+            yield from _rows(keys, payloads).combine_chunks().to_batches()
+
+    return packed.mapInArrow(send, "bucket int, batch long, payload binary")
 
-    ``ask`` is computed again when the answers are back: cheaper than keeping it.
-    ``hash_bits``: leading bits that hashes use; the others are zero and not sent.
-    """
-    spare = 64 - hash_bits
-
-    def send(table: pa.Table) -> pa.Table:
-        batch = table["batch"][0].as_py()
-        hashes, beside = ask(unpack(table))
-        edge = bucket_edges(hashes, buckets)
-        keys, payloads = {"bucket": [], "batch": []}, []
-        for k in np.flatnonzero(np.diff(edge)):
-            part = slice(edge[k], edge[k + 1])
-            keys["bucket"].append(int(k))
-            keys["batch"].append(batch)
-            fields = [squeeze_sorted(hashes[part], spare), *(squeeze(x[part]) for x in beside)]
-            kinds = [x.dtype.str for x in beside]
-            payloads.append(_frame(fields, kinds))
-        pa.default_memory_pool().release_unused()
-        return _rows(keys, payloads)
+
+def answered(asks: DataFrame, answer: Callable) -> DataFrame:
+    """``batch, bucket, payload``; answer(hashes, [arrays], batch of each) -> an array of
+    one value for each hash, given all batches' hashes of a bucket concatenated."""
 
     def reply(table: pa.Table) -> pa.Table:
         batches = table["batch"].to_numpy()
@@ -125,27 +150,39 @@ def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable,
         for c in table["payload"].chunks:
             for x in c:
                 fields, kinds = _unframe(x.as_py())
-                hashes.append(unsqueeze_sorted(fields[0], spare))
+                hashes.append(unsqueeze_sorted(fields[0]))
                 beside.append([unsqueeze(f, np.dtype(k)) for f, k in zip(fields[1:], kinds, strict=True)])
         counts = [len(h) for h in hashes]
-        sender = np.repeat(np.arange(len(hashes)), counts)
-        values = answer(np.concatenate(hashes), [np.concatenate(x) for x in zip(*beside, strict=True)], sender)
+        values = answer(np.concatenate(hashes), [np.concatenate(x) for x in zip(*beside, strict=True)], np.repeat(batches, counts))
         parts = np.split(values, np.cumsum(counts)[:-1])
         return _rows({"batch": batches.tolist(), "bucket": [bucket] * len(batches)}, [_frame([squeeze(p)], [p.dtype.str]) for p in parts])
 
+    return asks.groupBy("bucket").applyInArrow(reply, "batch long, bucket int, payload binary")
+
+
+def values_of(replies: pa.Table) -> np.ndarray:
+    """The answers to a batch, in the order of its sorted hashes."""
+    values = []
+    if replies.num_rows:
+        for x in replies.sort_by("bucket")["payload"].to_pylist():
+            fields, kinds = _unframe(x)
+            values.append(unsqueeze(fields[0], np.dtype(kinds[0])))
+    return np.concatenate(values) if values else np.zeros(0, np.int64)
+
+
+def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Ask, answer and finish(texts, hashes, values) -> table of one batch.
+
+    ``ask`` is computed again when the answers are back: cheaper than keeping it.
+    """
+
     def end(texts: pa.Table, replies: pa.Table) -> pa.Table:
         texts = unpack(texts)
         hashes, _ = ask(texts)
-        values = []
-        if replies.num_rows:
-            for x in replies.sort_by("bucket")["payload"].to_pylist():
-                fields, kinds = _unframe(x)
-                values.append(unsqueeze(fields[0], np.dtype(kinds[0])))
         pa.default_memory_pool().release_unused()
-        return finish(texts, hashes, np.concatenate(values) if values else np.zeros(0, np.int64))
+        return finish(texts, hashes, values_of(replies))
 
-    asked = packed.groupBy("batch").applyInArrow(send, "bucket int, batch int, payload binary")
-    replied = asked.groupBy("bucket").applyInArrow(reply, "batch int, bucket int, payload binary")
+    replied = answered(asked(packed, buckets, ask), answer)
     return packed.groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)
 
 

@@ -1,14 +1,22 @@
-"""Substring dedup by the windows that earlier documents hold.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller id. Its index is cut
-into blocks: each block holds one range of 13-word seed hashes of the whole corpus
-and knows the first document of every seed. This is a reduced form of a relative
-Lempel-Ziv parse: every window of a document is looked up, and the duplicate spans
-are the union of the windows that start in the reference. No reference text is
-parsed, and spans have no source position and are not extended beyond their windows.
+The reference of a document is every document with a smaller id. It is cut into blocks
+of neighbouring texts (the batches of the round trip), and its index knows, for each
+13-word seed, the block that holds the seed's first document. A document is parsed from
+left to right into factors (source document, source position, length) and literals:
 
-Seeds are 64-bit hashes of whole words; two different windows agree by accident
-with probability 2**-64 a pair.
+* index: every block asks for its distinct seeds and learns, for each, the block of an
+  earlier document that holds it (range-partitioned by hash, least document first);
+* parse: a factor begins at the first seed that the index knows, and goes on while the
+  following seeds come from the same block; seeds whose first document lies in the
+  document's own block are parsed there. A seed that straddles the end of a factor is
+  looked up like any other and begins the next factor, which then overlaps the last:
+  so no window at a factor boundary is missed;
+* check: the source's words are fetched and compared with the document's, word by
+  word. Seeds are hashes and only say where to look; windows whose words differ from
+  the source's (two seeds with one hash) are judged by grouping the words themselves.
+
+Factors are at least 13 words long; their union is the set of duplicate spans.
 """
 
 from __future__ import annotations
@@ -18,14 +26,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexispan.llm import words as W
-from lexispan.llm.common import cells_for, text_volume
-from lexispan.llm.roundtrip import BATCH_BYTES, BUCKET_HASHES, pack, round_trip
+from lexispan.llm.common import cells_for, checkpointed, text_volume
+from lexispan.llm.roundtrip import BUCKET_HASHES, answered, asked, deal, each_batch, unpack, values_of
 
 WINDOW = 13
-_BYTES_PER_WORD = 5  # a cautious guess, for the number of blocks only
+PIECE = 64  # windows of a factor that are fetched together
+BROADCAST_HASHES = 100_000  # hashes (8 bytes) of disputed seeds that may be sent to all tasks
+_BYTES_PER_WORD = 5  # a cautious guess, for the number of buckets only
+_TOP = np.iinfo(np.int64).max  # stands for a null id: later than every other
+U = np.uint64
+_FACTOR = "batch long, at long, n int, source_id long, source_word long, hash long"
 
 
 def factors(known: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -39,62 +53,261 @@ def factors(known: np.ndarray, n_words: int, window: int) -> list[tuple[int, int
     return [(int(a), min(int(b) + window, n_words)) for a, b in zip(first, last, strict=True)]
 
 
-def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, spans`` and, if asked for,
+class _Seeds:
+    """The seeds of a batch of texts, by position."""
+
+    def __init__(self, texts: pa.Table, window: int, seed_bits: int) -> None:
+        self.buf, self.offsets = W.text_buffer(texts["text"])
+        self.words = W.words(self.buf, self.offsets, W.spaced_words())
+        self.ids = texts["doc_id"].fill_null(_TOP).to_numpy().astype(np.int64)
+        hashes, self.at = W.grams(self.words, window)
+        spare = U(64 - seed_bits)
+        self.hash = hashes >> spare << spare
+        self.row = np.searchsorted(self.words.first, self.at, "right") - 1
+        self.doc = self.ids[self.row]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, the seed with the least document of each, the hash of
+        each seed): texts stand in the order of their ids, so the first seed is the least."""
+        order = np.argsort(self.hash, kind="stable")
+        h = self.hash[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return h[new], order[new], number
+
+    def word_in_text(self, k: np.ndarray) -> np.ndarray:
+        """Place of seeds in their own texts."""
+        return self.at[k] - self.words.first[self.row[k]]
+
+
+def _runs(at: np.ndarray, *same: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of runs of neighbouring positions with equal ``same``, cut at ``most``."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = np.append(True, (np.diff(at) != 1) | np.logical_or.reduce([np.diff(s) != 0 for s in same]))
+    if most:
+        start = np.flatnonzero(head)
+        inside = np.arange(len(at)) - start[np.cumsum(head) - 1]
+        head |= inside % most == 0
+    first = np.flatnonzero(head)
+    return first, np.diff(np.append(first, len(at)))
+
+
+
+
+def _factor_rows(batch: int, seeds: _Seeds, k: np.ndarray, n: np.ndarray, source_id: np.ndarray, source_word: np.ndarray) -> pa.Table:
+    """Rows of factors that begin at the seeds k; a null source marks a disputed seed."""
+    gone = source_word < 0
+    return pa.table(
+        {
+            "batch": pa.array(np.full(len(k), batch), pa.int64()),
+            "at": pa.array(seeds.at[k], pa.int64()),
+            "n": pa.array(n, pa.int32()),
+            "source_id": pa.array(source_id, pa.int64(), mask=gone),
+            "source_word": pa.array(source_word, pa.int64(), mask=gone),
+            "hash": pa.array(seeds.hash[k].view(np.int64)),
+        }
+    )
+
+
+def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> DataFrame:
+    """Checked factors: ``batch, at`` (word of the batch)``, n`` (windows)``, source_id,
+    source_word, hash``; the source is null where a seed's words differ from its source's."""
+
+    def seeds(texts: pa.Table) -> _Seeds:
+        return _Seeds(unpack(texts), window, seed_bits)
+
+    def ask(texts: pa.Table):
+        s = _Seeds(texts, window, seed_bits)
+        hashes, least, _ = s.distinct()
+        return hashes, [s.doc[least]]
+
+    def answer(hashes: np.ndarray, beside: list[np.ndarray], batch: np.ndarray) -> np.ndarray:
+        """The batch with a seed's first document, if that is earlier than the asking
+        batch's own; -1 else."""
+        doc = beside[0]
+        order = np.lexsort((batch, doc, hashes))
+        h = hashes[order]
+        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(head, len(h)))
+        least, source = np.repeat(doc[order][head], size), np.repeat(batch[order][head], size)
+        out = np.empty(len(h), np.int64)
+        out[order] = np.where(least < doc[order], source, -1)
+        return out
+
+    def foreign(s: _Seeds, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Seeds that only another batch can hold earlier, as pieces: (seed, windows, batch)."""
+        _, least, number = s.distinct()
+        source = source[number] if len(number) else np.zeros(0, np.int64)
+        k = np.flatnonzero((source >= 0) & (s.doc <= s.doc[least][number]))
+        first, n = _runs(s.at[k], source[k], most=PIECE)
+        return k[first], n, source[k[first]]
+
+    def want(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _wanted(0, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0), np.zeros(0))
+        s = seeds(texts)
+        k, n, source = foreign(s, values_of(replies))
+        return _wanted(texts["batch"][0].as_py(), source, s.hash[k], s.at[k], n)
+
+    def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The words from a seed's first place in this block on, ``n`` windows of them (fewer
+        where the text ends), with the source's id and the place in it."""
+        if not texts.num_rows or not wanted.num_rows:
+            return _fetched(wanted, [], [], [])
+        s = seeds(texts)
+        hashes, least, _ = s.distinct()
+        k = least[np.searchsorted(hashes, wanted["hash"].to_numpy().view(U))]
+        last = np.minimum(s.at[k] + wanted["n"].to_numpy() + window - 1, s.words.first[s.row[k] + 1]) - 1
+        raw = s.buf.tobytes()
+        text = [raw[a:z] for a, z in zip(s.words.start[s.at[k]].tolist(), s.words.end[last].tolist(), strict=True)]
+        return _fetched(wanted, s.doc[k], s.word_in_text(k), text)
+
+    def check(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """Compare the words of every factor with its source's."""
+        s = seeds(texts)
+        batch = texts["batch"][0].as_py()
+        code, dictionary = W.codes(s.buf, s.words)
+        _, least, number = s.distinct()
+        out = []
+        # seeds whose first document is in this batch: the source is here
+        k = np.flatnonzero(s.doc > s.doc[least][number])
+        source = least[number[k]]
+        good = np.ones(len(k), bool)
+        for j in range(window):
+            good &= code[s.at[k] + j] == code[s.at[source] + j]
+        first, n = _runs(s.at[k[good]], s.at[source[good]] - s.at[k[good]])
+        begin = source[good][first]
+        out.append(_factor_rows(batch, s, k[good][first], n, s.doc[begin], s.word_in_text(begin)))
+        bad = [k[~good]]
+        # seeds of other blocks: their words came with them
+        if found.num_rows:
+            place = found["at"].to_numpy()
+            text = found["text"].combine_chunks().fill_null(b"").cast(pa.large_string())
+            raw, offsets = W.text_buffer(text)
+            w = W.words(raw, offsets, W.spaced_words())
+            theirs, _ = W.codes(raw, w, dictionary)
+            ids, words, counts = found["source_id"].fill_null(_TOP).to_numpy(), found["source_word"].fill_null(-1).to_numpy(), found["n"].to_numpy()
+            seed = np.searchsorted(s.at, place)
+            # neighbouring words of a piece, and where each piece's words begin
+            size = np.minimum(counts + window - 1, np.diff(w.first))
+            begin = np.repeat(np.cumsum(size) - size, size)
+            step = np.arange(size.sum()) - begin
+            equal = code[np.repeat(place, size) + step] == theirs[np.repeat(w.first[:-1], size) + step]
+            total = np.append(0, np.cumsum(equal))
+            # window j of piece p is known if its words are equal and the source is earlier
+            p = np.repeat(np.arange(len(counts)), counts)
+            j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = (np.cumsum(size) - size)[p] + j
+            inside = j + window <= size[p]
+            a = np.where(inside, start, 0)
+            good = inside & (total[np.minimum(a + window, len(total) - 1)] - total[a] == window) & (ids[p] < s.doc[seed[p]])
+            first, n = _runs(place[p[good]] + j[good], p[good])
+            p1, j1 = p[good][first], j[good][first]
+            out.append(_factor_rows(batch, s, seed[p1] + j1, n, ids[p1], words[p1] + j1))
+            bad.append(seed[p[~good]] + j[~good])
+        b = np.unique(np.concatenate(bad))
+        out.append(_factor_rows(batch, s, b, np.ones(len(b), np.int64), np.zeros(len(b), np.int64), np.full(len(b), -1)))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out)
+
+    by_batch = packed.groupBy("batch")
+    replied = answered(asked(packed, buckets, ask), answer)
+    wanted = by_batch.cogroup(replied.groupBy("batch")).applyInArrow(want, "batch long, source long, hash long, at long, n int")
+    # however many batches want the same words, their block is asked for them once
+    once = wanted.select("source", "hash", "n").distinct()
+    fetched = by_batch.cogroup(once.groupBy("source")).applyInArrow(fetch, "source long, hash long, n int, source_id long, source_word long, text binary")
+    found = wanted.join(fetched, ["source", "hash", "n"], "left")
+    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(check, _FACTOR)
+
+
+def _wanted(batch: int, source: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
+    return pa.table(
+        {
+            "batch": pa.array(np.full(len(source), batch), pa.int64()),
+            "source": pa.array(source, pa.int64()),
+            "hash": pa.array(hashes.view(np.int64)),
+            "at": pa.array(at.astype(np.int64)),
+            "n": pa.array(n.astype(np.int32)),
+        }
+    )
+
+
+def _fetched(wanted: pa.Table, ids, words, text: list[bytes]) -> pa.Table:
+    if not len(text):
+        wanted = wanted.slice(0, 0)
+    columns = [wanted[c] for c in ("source", "hash", "n")]
+    columns += [pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(text, pa.binary())]
+    return pa.table(columns, ["source", "hash", "n", "source_id", "source_word", "text"])
+
+
+def _disputed(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int) -> DataFrame:
+    """Exact factors of one window each for the seeds whose hash belongs to several word
+    sequences: those windows are grouped by their words."""
+    hashes = checkpointed(parsed.where("source_word IS NULL").select("hash").distinct())
+    few = hashes.count() <= BROADCAST_HASHES
+    chosen = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if few else None
+
+    def windows(batches):
+        for table in each_batch(batches):
+            s = _Seeds(unpack(table), window, seed_bits)
+            h = s.hash.view(np.int64)
+            k = np.flatnonzero(np.isin(h, chosen)) if few else np.arange(len(h))
+            raw = s.buf.tobytes()
+            text = [b" ".join(raw[a:z].split()) for a, z in zip(s.words.start[s.at[k]].tolist(), s.words.end[s.at[k] + window - 1].tolist(), strict=True)]
+            columns = [pa.array(np.full(len(k), table["batch"][0].as_py()), pa.int64()), pa.array(s.at[k], pa.int64()), pa.array(h[k])]
+            columns += [pa.array(s.doc[k]), pa.array(s.word_in_text(k), pa.int64()), pa.array(text, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["batch", "at", "hash", "doc", "word", "text"])
+
+    rows = packed.mapInArrow(windows, "batch long, at long, hash long, doc long, word long, text binary")
+    if not few:
+        rows = rows.join(hashes, "hash", "left_semi")
+    first = rows.groupBy("text").agg(F.min(F.struct("doc", "word")).alias("first"))
+    known = rows.join(first, "text").where("first.doc < doc")
+    return known.select("batch", "at", F.lit(1).alias("n"), F.col("first.doc").alias("source_id"), F.col("first.word").alias("source_word"), "hash")
+
+
+def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False, seed_bits: int = 64) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, spans, factors`` and, if asked for,
     ``kept_text`` (the whole text where nothing goes, else the kept words joined by
     one space) and ``row`` (all other input columns) for every row.
 
     Words are runs without white space. A word goes if a window of ``window``
     consecutive words that covers it also starts in a document with a smaller id;
-    windows are judged on the input. Null and empty texts have no words. Rows that
-    share an id count as one document number, so neither is earlier than the other
-    and both keep the windows they share; a null id is later than every other.
-    Extra columns are ignored; an empty table gives an empty result.
+    windows are judged on the input. ``factors`` are the parse (first word, length,
+    source document and word), ``spans`` their union. Ids are integers. Null and empty
+    texts have no words. Rows that share an id count as one document number, so neither
+    is earlier than the other and both keep the windows they share; a null id is later
+    than every other. Extra columns are ignored; an empty table gives an empty result.
+    ``seed_bits``: how much of a seed's hash is used; fewer bits give the same result.
     """
-    n_rows, n_bytes = text_volume(df, text_col)
-    batches = cells_for(n_bytes + 64 * n_rows, BATCH_BYTES, 12)
+    _, n_bytes = text_volume(df, text_col)
+    packed = checkpointed(deal(df, id_col, text_col, carry))
     buckets = cells_for(n_bytes // _BYTES_PER_WORD, BUCKET_HASHES, 12)
-    packed = pack(df, batches, id_col, text_col, carry)
-    top = np.iinfo(np.int64).max
+    parsed = checkpointed(_parsed(packed, buckets, window, seed_bits))
+    parse = parsed.where("source_word IS NOT NULL")
+    if not parsed.where("source_word IS NULL").isEmpty():
+        parse = parse.unionByName(checkpointed(_disputed(packed, parsed, window, seed_bits)))
 
-    def seeds(texts: pa.Table):
-        buf, offsets = W.text_buffer(texts["text"])
-        w = W.words(buf, offsets, W.spaced_words())
-        hashes, at = W.grams(w, window)
-        ids = texts["doc_id"].fill_null(top).to_numpy().astype(np.int64)
-        doc = ids[np.searchsorted(w.first, at, "right") - 1]
-        return w, buf, hashes, at, doc
-
-    def ask(texts: pa.Table):
-        _, _, hashes, _, doc = seeds(texts)
-        order = np.lexsort((doc, hashes))
-        hashes, doc = hashes[order], doc[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        return hashes[new], [doc[new]]  # the first document of each seed in this batch
-
-    def answer(hashes: np.ndarray, beside: list[np.ndarray], sender: np.ndarray) -> np.ndarray:
-        """Is a seed's first document in the corpus earlier than the batch's own?"""
-        doc = beside[0]
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        least = np.minimum.reduceat(doc[order], head)
-        earlier = np.zeros(len(h), np.uint8)
-        earlier[order] = np.repeat(least, np.diff(np.append(head, len(h)))) < doc[order]
-        return earlier
-
-    def finish(texts: pa.Table, asked: np.ndarray, earlier: np.ndarray) -> pa.Table:
-        w, buf, hashes, at, doc = seeds(texts)
-        known = np.zeros(len(w.hash), bool)
-        if len(asked):
-            k = np.searchsorted(asked, hashes)
-            own = np.full(len(asked), top)
-            np.minimum.at(own, k, doc)  # first document in the batch itself
-            known[at] = (earlier[k] == 1) | (own[k] < doc)
+    def finish(texts: pa.Table, parse: pa.Table) -> pa.Table:
+        texts = unpack(texts)
+        buf, text_at = W.text_buffer(texts["text"])
+        w = W.words(buf, text_at, W.spaced_words())
+        known = np.zeros(len(w.start), bool)
+        order = np.lexsort((parse["n"].to_numpy(), parse["at"].to_numpy()))
+        at, n, source, word = (parse[c].to_numpy()[order] for c in ("at", "n", "source_id", "source_word"))
+        known[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
+        # pieces that go on where the one before ends, in the same source, are one factor
+        head = np.append(True, (np.diff(at) != n[:-1]) | (np.diff(word) != n[:-1]) | (np.diff(source) != 0))[: len(at)]
+        begin = np.flatnonzero(head)
+        length = np.add.reduceat(n, begin) + window - 1 if len(begin) else np.zeros(0, np.int64)
+        text_of = np.searchsorted(w.first, at[begin], "right") - 1
+        per_text = np.searchsorted(text_of, np.arange(len(w.first)))
+        own = at[begin] - w.first[text_of]
+        columns = {"doc_id": texts["doc_id"]}
         removed, shas, spans, kept_texts = [], [], [], []
         raw = buf.tobytes()
-        text_at = W.text_buffer(texts["text"])[1]
         for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
             found = factors(known[a:b], b - a, window)
             whole = raw[text_at[d] : text_at[d + 1]]
@@ -109,15 +322,18 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             spans.append([{"from_word": x, "to_word": y} for x, y in found])
             if keep_text:
                 kept_texts.append((kept if gone else whole).decode())
-        columns = {"doc_id": texts["doc_id"], "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+        columns |= {"n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         columns["spans"] = pa.array(spans, pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())])))
+        parts = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (own, length, source[begin], word[begin])], ["from_word", "length", "source_id", "source_word"])
+        columns["factors"] = pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), parts)
         if keep_text:
             columns["kept_text"] = pa.array(kept_texts, pa.string())
         return pa.table(columns | ({"row": texts["row"]} if carry else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<from_word:long,to_word:long>>"
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<from_word:long,to_word:long>>, factors array<struct<from_word:long,length:long,source_id:long,source_word:long>>"
     if carry:
         others = StructType([f for f in df.schema.fields if f.name != text_col])
         more = f", row {others.simpleString()}"
-    return round_trip(packed, buckets, ask, answer, finish, schema + ", kept_text string" * keep_text + (more if carry else ""))
+    schema += ", kept_text string" * keep_text + (more if carry else "")
+    return packed.groupBy("batch").cogroup(parse.select("batch", "at", "n", "source_id", "source_word").groupBy("batch")).applyInArrow(finish, schema)

@@ -89,6 +89,11 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def volume(column: pa.Array) -> int:
+    """Bytes of text of a string column, with a share for every row."""
+    return int(pc.sum(pc.binary_length(column)).as_py() or 0) + 64 * len(column)
+
+
 def slices(column: pa.Array, budget: int) -> list[tuple[int, int]]:
     """(start, length) of runs of rows with about ``budget`` bytes of text each; a longer
     text is a run of its own."""
@@ -162,3 +167,16 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     at = at[at + n <= last]
     h = (sums[at + n] - sums[at]) * _powers(_inverse(_GRAM), total)[at]
     return mix(h + U(n)), at
+
+
+def codes(buf: np.ndarray, w: Words, dictionary: pa.Array | None = None) -> tuple[np.ndarray, pa.Array]:
+    """(a number for each word, the distinct words): equal words, and only those, have
+    equal numbers. Given a dictionary, words that it lacks get -1."""
+    size = w.end - w.start
+    offsets = np.append(0, np.cumsum(size))
+    inside = np.repeat(w.start - offsets[:-1], size) + np.arange(offsets[-1])
+    text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[inside]))])
+    if dictionary is None:
+        coded = text.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    return pc.fill_null(pc.index_in(text, value_set=dictionary), -1).to_numpy(zero_copy_only=False), dictionary

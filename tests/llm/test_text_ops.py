@@ -104,6 +104,60 @@ def test_substring_spans_and_carried_rows(spark):
     assert substring_dedup.factors(np.array([1, 0, 0, 1, 0, 0, 0, 0, 1], bool), 10, 3) == [(0, 6), (8, 10)]
 
 
+def source_words(texts, ids, factor):
+    """The words a factor copies; ids are unique here."""
+    w = split(dict(zip(ids, texts, strict=True))[factor["source_id"]])
+    return w[factor["source_word"] : factor["source_word"] + factor["length"]]
+
+
+@pytest.mark.parametrize("bits", [64, 9])
+def test_factors_copy_earlier_documents(spark, bits):
+    """With 9-bit seeds nearly every seed meets another one's hash."""
+    texts = [t or "" for t in passages(7, 50)]
+    ids = random.Random(8).sample(range(1000), len(texts))
+    rows = substring_dedup.dedup_substrings(docs(spark, texts, ids), seed_bits=bits).collect()
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows)
+    assert got == brute_windows(texts, ids)
+    n = 0
+    for r in rows:
+        own = split(dict(zip(ids, texts, strict=True))[r["doc_id"]])
+        covered = set()
+        for f in r["factors"]:
+            n += 1
+            assert f["source_id"] < r["doc_id"] and f["length"] >= 13
+            assert own[f["from_word"] : f["from_word"] + f["length"]] == source_words(texts, ids, f)
+            covered |= set(range(f["from_word"], f["from_word"] + f["length"]))
+        assert covered == {k for s in r["spans"] for k in range(*s)}
+    assert n > 10
+
+
+def test_disputed_seeds_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_HASHES", 0)
+    texts = passages(9, 20)
+    ids = list(range(len(texts)))
+    got = substring_dedup.dedup_substrings(docs(spark, texts, ids), seed_bits=8).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_windows(texts, ids)
+
+
+def test_substring_batches_and_long_texts(spark):
+    """Many small batches, a text of 2 MB and many rows that are equal."""
+    rng = random.Random(4)
+    long = prose(rng, 300_000, 10**6)
+    texts = [long, "x " + " ".join(long.split(" ")[1000:200_000]), *["same " * 30] * 50]
+    df = docs(spark, texts, [3, 4] + [5] * 25 + [6] * 25).repartition(5)
+    got = substring_dedup.dedup_substrings(df)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute_windows(texts, [3, 4] + [5] * 25 + [6] * 25)
+
+
+def test_batches_hold_whole_rows(spark):
+    df = docs(spark, ["a" * 100, None, "b" * 5000, "c"])
+    packed = roundtrip.deal(df, "doc_id", "text", True, batch_bytes=300).collect()
+    assert len({r["batch"] for r in packed}) == len(packed)
+    texts = [roundtrip.unpack(pa.table({"payload": pa.array([bytes(r["payload"])])})) for r in packed]
+    assert sorted((t for x in texts for t in x["text"].to_pylist()), key=len) == ["", "c", "a" * 100, "b" * 5000]
+    assert all(x["row"][0]["payload"].as_py() == 2 for x in texts)
+
+
 # --- language-model scores
 
 
