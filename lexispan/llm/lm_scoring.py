@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexispan.llm import words as W
 from lexispan.llm.common import WORD, cells_for
-from lexispan.llm.roundtrip import BUCKET_HASHES, deal, round_trip
+from lexispan.llm.roundtrip import BUCKET_HASHES, PART_BYTES, deal, round_trip
 
 ORDER = 3
 ALPHA = 0.4
@@ -43,7 +43,8 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     to collisions of 64-bit n-gram hashes (about n * n / 2**65 pairs of n n-grams).
     """
     text = F.col(text_col)
-    n_words = int(df.agg(F.sum(F.regexp_count(text, F.lit(WORD)))).first()[0] or 0)
+    size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(WORD)))).first()
+    n_rows, n_bytes, n_words = (int(x or 0) for x in size)
     packed = deal(df, id_col, text_col, batch_bytes=BATCH_BYTES)
     buckets = cells_for(n_words * order, BUCKET_HASHES, 12)
 
@@ -105,7 +106,8 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(length, pa.int64()), "n_backed_off": backed, "logscore": sums, "mean_logscore": mean})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return round_trip(packed, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
+    parts = cells_for(n_bytes + 64 * n_rows, PART_BYTES, 12)
+    return round_trip(packed, parts, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
 
 
 def _heads(change: np.ndarray, n: int) -> np.ndarray:

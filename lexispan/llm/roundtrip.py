@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lexispan.llm import words as W
 
 BATCH_BYTES = 4 << 20
+PART_BYTES = 24 << 20  # text of the batches that share a partition
 BUCKET_HASHES = 2_000_000
 U = np.uint64
 
@@ -170,8 +171,9 @@ def values_of(replies: pa.Table) -> np.ndarray:
     return np.concatenate(values) if values else np.zeros(0, np.int64)
 
 
-def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Ask, answer and finish(texts, hashes, values) -> table of one batch.
+def round_trip(packed: DataFrame, parts: int, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Ask, answer and finish(texts, hashes, values) -> table of one batch. ``parts``:
+    partitions of the batches, so that tasks don't grow with the input.
 
     ``ask`` is computed again when the answers are back: cheaper than keeping it.
     """
@@ -182,8 +184,8 @@ def round_trip(packed: DataFrame, buckets: int, ask: Callable, answer: Callable,
         pa.default_memory_pool().release_unused()
         return finish(texts, hashes, values_of(replies))
 
-    replied = answered(asked(packed, buckets, ask), answer)
-    return packed.groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)
+    replied = answered(asked(packed, buckets, ask).repartition(buckets, "bucket"), answer)
+    return packed.repartition(parts, "batch").groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)
 
 
 def _frame(fields: list[bytes], kinds: list[str]) -> bytes:

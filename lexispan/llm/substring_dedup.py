@@ -8,8 +8,8 @@ left to right into factors (source document, source position, length) and litera
 * index: every block asks for its distinct seeds and learns, for each, the block of an
   earlier document that holds it (range-partitioned by hash, least document first);
 * parse: a factor begins at the first seed that the index knows, and goes on while the
-  following seeds come from the same block; seeds whose first document lies in the
-  document's own block are parsed there. A seed that straddles the end of a factor is
+  following seeds follow each other in the same block; seeds whose first document lies
+  in the document's own block are parsed there. A seed that straddles the end of a factor is
   looked up like any other and begins the next factor, which then overlaps the last:
   so no window at a factor boundary is missed;
 * check: the source's words are fetched and compared with the document's, word by
@@ -22,16 +22,18 @@ Factors are at least 13 words long; their union is the set of duplicate spans.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexispan.llm import words as W
 from lexispan.llm.common import cells_for, checkpointed, text_volume
-from lexispan.llm.roundtrip import BUCKET_HASHES, answered, asked, deal, each_batch, unpack, values_of
+from lexispan.llm.roundtrip import BUCKET_HASHES, PART_BYTES, answered, asked, deal, each_batch, unpack, values_of
 
 WINDOW = 13
 PIECE = 64  # windows of a factor that are fetched together
@@ -111,9 +113,17 @@ def _factor_rows(batch: int, seeds: _Seeds, k: np.ndarray, n: np.ndarray, source
     )
 
 
-def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> DataFrame:
+def _checksum(texts: pa.Table) -> int:
+    """Of the ids and texts of an unpacked batch."""
+    buf, offsets = W.text_buffer(texts["text"])
+    ids = texts["doc_id"].fill_null(_TOP).to_numpy().astype(np.int64)
+    return zlib.crc32(ids.tobytes(), zlib.crc32(offsets.tobytes(), zlib.crc32(buf)))
+
+
+def _parsed(packed: DataFrame, parts: int, buckets: int, window: int, seed_bits: int) -> DataFrame:
     """Checked factors: ``batch, at`` (word of the batch)``, n`` (windows)``, source_id,
-    source_word, hash``; the source is null where a seed's words differ from its source's."""
+    source_word, hash``; the source is null where a seed's words differ from its source's.
+    One row a batch has ``at`` -1 and the checksum of the batch as its hash."""
 
     def seeds(texts: pa.Table) -> _Seeds:
         return _Seeds(unpack(texts), window, seed_bits)
@@ -121,17 +131,17 @@ def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> Dat
     def ask(texts: pa.Table):
         s = _Seeds(texts, window, seed_bits)
         hashes, least, _ = s.distinct()
-        return hashes, [s.doc[least]]
+        return hashes, [s.doc[least], s.at[least].astype(np.uint8)]
 
     def answer(hashes: np.ndarray, beside: list[np.ndarray], batch: np.ndarray) -> np.ndarray:
-        """The batch with a seed's first document, if that is earlier than the asking
-        batch's own; -1 else."""
-        doc = beside[0]
+        """The batch with a seed's first document and the last byte of its place there, if
+        that is earlier than the asking batch's own; -1 else."""
+        doc, place = beside
         order = np.lexsort((batch, doc, hashes))
         h = hashes[order]
         head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(head, len(h)))
-        least, source = np.repeat(doc[order][head], size), np.repeat(batch[order][head], size)
+        least, source = np.repeat(doc[order][head], size), np.repeat((batch << 8 | place)[order][head], size)
         out = np.empty(len(h), np.int64)
         out[order] = np.where(least < doc[order], source, -1)
         return out
@@ -141,8 +151,9 @@ def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> Dat
         _, least, number = s.distinct()
         source = source[number] if len(number) else np.zeros(0, np.int64)
         k = np.flatnonzero((source >= 0) & (s.doc <= s.doc[least][number]))
-        first, n = _runs(s.at[k], source[k], most=PIECE)
-        return k[first], n, source[k[first]]
+        batch, follows = source[k] >> 8, (source[k] - s.at[k]) & 255
+        first, n = _runs(s.at[k], batch, follows, most=PIECE)
+        return k[first], n, batch[first]
 
     def want(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -166,11 +177,12 @@ def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> Dat
 
     def check(texts: pa.Table, found: pa.Table) -> pa.Table:
         """Compare the words of every factor with its source's."""
-        s = seeds(texts)
-        batch = texts["batch"][0].as_py()
+        batch, texts = texts["batch"][0].as_py(), unpack(texts)
+        s = _Seeds(texts, window, seed_bits)
         code, dictionary = W.codes(s.buf, s.words)
         _, least, number = s.distinct()
-        out = []
+        mark = [[batch], [-1], [0], [None], [0], [_checksum(texts)]]
+        out = [pa.table([pa.array(x, t) for x, t in zip(mark, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["batch", "at", "n", "source_id", "source_word", "hash"])]
         # seeds whose first document is in this batch: the source is here
         k = np.flatnonzero(s.doc > s.doc[least][number])
         source = least[number[k]]
@@ -212,8 +224,10 @@ def _parsed(packed: DataFrame, buckets: int, window: int, seed_bits: int) -> Dat
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
+    asks = asked(packed, buckets, ask).repartition(buckets, "bucket")
+    packed = packed.repartition(parts, "batch")
     by_batch = packed.groupBy("batch")
-    replied = answered(asked(packed, buckets, ask), answer)
+    replied = answered(asks, answer)
     wanted = by_batch.cogroup(replied.groupBy("batch")).applyInArrow(want, "batch long, source long, hash long, at long, n int")
     # however many batches want the same words, their block is asked for them once
     once = wanted.select("source", "hash", "n").distinct()
@@ -263,6 +277,7 @@ def _disputed(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int)
     rows = packed.mapInArrow(windows, "batch long, at long, hash long, doc long, word long, text binary")
     if not few:
         rows = rows.join(hashes, "hash", "left_semi")
+    rows = checkpointed(rows)
     first = rows.groupBy("text").agg(F.min(F.struct("doc", "word")).alias("first"))
     known = rows.join(first, "text").where("first.doc < doc")
     return known.select("batch", "at", F.lit(1).alias("n"), F.col("first.doc").alias("source_id"), F.col("first.word").alias("source_word"), "hash")
@@ -281,17 +296,27 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     is earlier than the other and both keep the windows they share; a null id is later
     than every other. Extra columns are ignored; an empty table gives an empty result.
     ``seed_bits``: how much of a seed's hash is used; fewer bits give the same result.
+
+    The input is read twice, and has to be the same rows in the same partitions (files,
+    tables and checkpoints are); if it isn't, the second reading fails.
     """
-    _, n_bytes = text_volume(df, text_col)
-    packed = checkpointed(deal(df, id_col, text_col, carry))
+    n_rows, n_bytes = text_volume(df, text_col)
+    parts = cells_for(n_bytes + 64 * n_rows, PART_BYTES, 12)
     buckets = cells_for(n_bytes // _BYTES_PER_WORD, BUCKET_HASHES, 12)
-    parsed = checkpointed(_parsed(packed, buckets, window, seed_bits))
+    packed = deal(df, id_col, text_col)
+    parsed = checkpointed(_parsed(packed, parts, buckets, window, seed_bits))
     parse = parsed.where("source_word IS NOT NULL")
     if not parsed.where("source_word IS NULL").isEmpty():
         parse = parse.unionByName(checkpointed(_disputed(packed, parsed, window, seed_bits)))
+    if carry:
+        packed = deal(df, id_col, text_col, carry)
 
     def finish(texts: pa.Table, parse: pa.Table) -> pa.Table:
-        texts = unpack(texts)
+        texts = unpack(texts) if texts.num_rows else texts
+        mark = np.flatnonzero(parse["at"].to_numpy() < 0)
+        if len(mark) != 1 or not texts.num_rows or parse["hash"][int(mark[0])].as_py() != _checksum(texts):
+            raise RuntimeError("the input has changed since it was parsed; checkpoint it first")
+        parse = parse.filter(pc.greater_equal(parse["at"], 0))
         buf, text_at = W.text_buffer(texts["text"])
         w = W.words(buf, text_at, W.spaced_words())
         known = np.zeros(len(w.start), bool)
@@ -336,4 +361,4 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         others = StructType([f for f in df.schema.fields if f.name != text_col])
         more = f", row {others.simpleString()}"
     schema += ", kept_text string" * keep_text + (more if carry else "")
-    return packed.groupBy("batch").cogroup(parse.select("batch", "at", "n", "source_id", "source_word").groupBy("batch")).applyInArrow(finish, schema)
+    return packed.repartition(parts, "batch").groupBy("batch").cogroup(parse.groupBy("batch")).applyInArrow(finish, schema)
