@@ -17,12 +17,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir`` wins,
-    and only where it is unset (tests, one machine) a new folder is taken."""
+    """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir`` wins. Where it
+    is unset, one machine (``local[...]``) takes a new folder of its own; a cluster has no
+    folder that all its machines see, so there it is an error."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir() is not None:
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispan-checkpoints-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lexispan-checkpoints-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
