@@ -66,7 +66,8 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _bucketed(reps: DataFrame, k: int, tables: int) -> DataFrame:
-    """``key, rep, copies, vector, sign``: a row for each vector and table."""
+    """``key, rep, same, copies, vector, sign``: a row for each vector and table. ``sign``
+    holds the vector's whole key of every table: a pair counts in the first they share."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,15 +82,15 @@ def _bucketed(reps: DataFrame, k: int, tables: int) -> DataFrame:
                 cell = np.floor((x @ lines + shift) / WIDTH).astype(np.int64).view(U).reshape(len(x), tables, k)
                 salt = W.mix(np.arange(1, k + 1, dtype=U))
                 key = W.mix(W.mix(cell + salt).sum(axis=2, dtype=U) + W.mix(np.arange(tables, dtype=U) + U(d << 20)))
-                sign = pa.array([s.tobytes() for s in key.astype(np.uint32)], pa.binary())
+                sign = pa.array([s.tobytes() for s in key], pa.binary())
                 for j in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[:, j].view(np.int64)), pa.array(np.full(len(x), j), pa.int32()), *(part[c].combine_chunks() for c in ("dim", "rep", "copies", "vector")), sign],
-                        ["key", "place", "dim", "rep", "copies", "vector", "sign"],
+                        [pa.array(key[:, j].view(np.int64)), pa.array(np.full(len(x), j), pa.int32()), *(part[c].combine_chunks() for c in ("dim", "rep", "same", "copies", "vector")), sign],
+                        ["key", "place", "dim", "rep", "same", "copies", "vector", "sign"],
                     )
 
     kind = reps.schema["vector"].dataType.simpleString()
-    return reps.select("dim", "rep", "copies", "vector").mapInArrow(project, f"key long, place int, dim int, rep long, copies long, vector {kind}, sign binary")
+    return reps.select("dim", "rep", "same", "copies", "vector").mapInArrow(project, f"key long, place int, dim int, rep long, same long, copies long, vector {kind}, sign binary")
 
 
 def _forest(near: np.ndarray) -> np.ndarray:
@@ -109,11 +110,11 @@ def _compare(threshold: float):
             if t.num_rows < 2:
                 continue
             for dim in np.unique(t["dim"].to_numpy()):
-                part = t.filter(pa.array(t["dim"].to_numpy() == dim)).sort_by("rep")
+                part = t.filter(pa.array(t["dim"].to_numpy() == dim)).sort_by([("rep", "ascending"), ("same", "ascending")])
                 x = unit(_matrix(part["vector"], int(dim)))
-                rep, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
+                rep, same, copies = (part[c].to_numpy() for c in ("rep", "same", "copies"))
                 side, place = part["side"].to_numpy(), int(part["place"][0].as_py())
-                sign = np.stack([np.frombuffer(s, np.uint32) for s in part["sign"].to_pylist()])
+                sign = np.stack([np.frombuffer(s, U) for s in part["sign"].to_pylist()])
                 near = x @ x.T >= threshold
                 np.fill_diagonal(near, False)
                 if (side != side[0]).any():
@@ -128,7 +129,7 @@ def _compare(threshold: float):
                     links += np.bincount(a[first], weights=copies[b[first]], minlength=len(rep)).astype(np.int64)
                 root = rep[_forest(near)]
                 some = (links > 0) | (root != rep)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(root[some]), pa.array(links[some])], ["u", "v", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rep, same, root, links)], ["u", "same", "v", "links"])
 
     return compare
 
@@ -140,8 +141,8 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     precision. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do vectors of different lengths with each
     other, nor rows with a null id. Equal vectors are compared once and count with
-    their number of copies; rows that repeat an id count separately as links but are
-    one vertex. Other columns are ignored; an empty table gives an empty result.
+    their number of copies; rows that repeat an id are vectors of
+    their own with their own links, and one vertex of the components. Other columns are ignored; an empty table gives an empty result.
     """
     v = F.col("vector")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
@@ -150,6 +151,8 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     rows = checkpointed(rows.withColumn("good", good))
     usable = rows.where("good")
     reps = usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # different vectors may share their least id: the vector's own hash tells them apart
+    reps = reps.withColumn("same", F.xxhash64("vector"))
     reps = checkpointed(reps.withColumn("dim", F.size("vector")))
     k, tables = plan_tables(reps.count(), threshold, recall)
     bucketed = _bucketed(reps, k, tables)
@@ -158,15 +161,15 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     small_side = F.broadcast if sizes.count() <= BROADCAST_ROWS else (lambda x: x)
     shared = bucketed.join(small_side(sizes), "key")
     # a row of block i takes part in the pairs (i, j) and (j, i), i <= j, of its bucket
-    shared = shared.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    shared = shared.withColumn("side", F.pmod(F.xxhash64("rep", "same"), F.col("blocks")).cast("int"))
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shared = shared.withColumn("task", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
-    shared = shared.select("task", "place", "dim", "side", "rep", "copies", "vector", "sign")
-    found = shared.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "u long, v long, links long")
+    shared = shared.select("task", "place", "dim", "side", "rep", "same", "copies", "vector", "sign")
+    found = shared.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "u long, same long, v long, links long")
     found = checkpointed(found)
     joined = components(found.select("u", "v")).withColumnRenamed("vertex", "rep")
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    reps = reps.join(links, "rep", "left").join(joined, "rep", "left")
+    links = found.groupBy(F.col("u").alias("rep"), "same").agg(F.sum("links").alias("links"))
+    reps = reps.join(links, ["rep", "same"], "left").join(joined, "rep", "left")
     reps = checkpointed(reps.select("vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     linked = usable.select("vec_id", "vector").join(reps.hint("merge"), "vector").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
