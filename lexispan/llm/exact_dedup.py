@@ -7,8 +7,10 @@ were hit twice is *possibly repeated*, and only those rows shuffle by digest; al
 other rows are certainly unique and pass straight through.
 
 The bitmap is broadcast, so its size is bounded: ``BITS_PER_ROW`` bits a row up to
-``MAX_BITS`` (64 MiB). Beyond that bound the filter fills up and lets more rows
-through to the exact grouping; the result never changes, only the saving does.
+``MAX_BITS`` (64 MiB). Above ``MAX_BITS / BITS_PER_ROW`` rows (33.5 million) the digests
+are cut by hash into slices, and each slice has its two passes with a bitmap of its
+own, one slice after the other: the share of rows that the filter proves unique stays
+the same at any size.
 """
 
 from __future__ import annotations
@@ -74,6 +76,22 @@ def _probe(df: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("maybe_repeated", hit).drop(*[f"_{c}{k}" for k in range(HASHES) for c in "pcb"])
 
 
+def _probed(digests: DataFrame, rows: int) -> DataFrame:
+    """The digests with ``maybe_repeated``, slice by slice where there are many."""
+    slices = -(-rows * BITS_PER_ROW // MAX_BITS)
+    if slices <= 1:
+        return _probe(digests, *repeat_filter(digests, rows))
+    part = F.pmod(F.conv(F.substring(F.col("text_sha256"), 1 + 15 * HASHES, 15), 16, 10).cast("long"), F.lit(slices))
+    digests = checkpointed(digests.withColumn("_slice", part))
+    out = None
+    for k in range(slices):
+        own = digests.where(F.col("_slice") == k).drop("_slice")
+        # written before the next slice's bitmap is made: one bitmap is held at a time
+        own = checkpointed(_probe(own, *repeat_filter(own, -(-rows // slices))))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -87,8 +105,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     digests = checkpointed(digest(df, id_col, text_col))
     rows = digests.count()
-    bitmap, bits = repeat_filter(digests, rows)
-    probed = _probe(digests, bitmap, bits)
+    probed = _probed(digests, rows)
     alone = probed.where(~F.col("maybe_repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -114,14 +131,22 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows the filter proves unique never shuffle; the others meet by digest, where
     only digests, lengths and ids are compared. One row stays of each group: the
-    longest original, then the smallest id, then the smallest hash of the whole row.
+    longest original, then the smallest id; of rows that agree in all three any one.
+    Rows are probed against one bitmap here, which has room for 33.5 million rows at
+    its full precision; beyond that the digests of repeated texts are found slice by
+    slice as in :func:`exact_groups` and the rows meet them by digest.
     """
     digests = checkpointed(digest(df, id_col, text_col).select("text_sha256"))
-    bitmap, bits = repeat_filter(digests, digests.count())
+    rows = digests.count()
     # the row travels as one struct, so its column names can't clash with ours
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     row = row.withColumn("text_sha256", F.sha2(normalised(F.col(f"row.`{text_col}`")), 256))
-    probed = _probe(row, bitmap, bits)
+    if rows * BITS_PER_ROW <= MAX_BITS:
+        probed = _probe(row, *repeat_filter(digests, rows))
+    else:
+        again = _probed(digests, rows).where("maybe_repeated").groupBy("text_sha256").count().where("count > 1")
+        probed = row.join(checkpointed(again.select("text_sha256", F.lit(True).alias("_yes"))), "text_sha256", "left")
+        probed = probed.withColumn("maybe_repeated", F.coalesce("_yes", F.lit(False))).drop("_yes")
     through = probed.where(~F.col("maybe_repeated")).select("row")
     again = probed.where("maybe_repeated")
     rank = F.struct(
