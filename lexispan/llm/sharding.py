@@ -6,6 +6,10 @@ of bounded size; inside a cell the differencing method keeps partial partitions
 the heavier loads of one against the lighter loads of the other. What remains of
 a cell is one partial partition.
 
+Cells are balanced against each other in bundles: the last cell of a bundle is
+differenced after the others and starts from the loads that they have left, so what
+the cells leave over is taken up there and does not add up.
+
 Groups that alone weigh more than ``1 / HEAVY`` of a shard are few by definition
 (at most ``HEAVY`` for each shard), so they are placed first, together, and every
 cell starts from its equal share of the difference they leave: ordinary groups
@@ -28,6 +32,7 @@ ROW_OVERHEAD = 16
 GROUPS_PER_CELL = 20_000
 ROWS_PER_CELL = 100_000
 HEAVY = 16
+BUNDLE = 100  # cells whose loads are evened out by their last one
 
 
 def differencing(sizes: np.ndarray, shards: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +103,33 @@ def _balanced(groups: DataFrame, shards: int, cells: int) -> DataFrame:
     place, start = differencing(heavy["size"].to_numpy(), shards)
     share = (start - start.min()) / cells
 
-    def cell(table: pa.Table) -> pa.Table:
+    def divided(table: pa.Table, begin: np.ndarray) -> pa.Table:
         table = table.sort_by([("g1", "ascending"), ("g2", "ascending")])
-        sizes = table["size"].to_numpy()
-        shard, _ = differencing(sizes, shards, share)
-        return pa.table({"g1": table["g1"], "g2": table["g2"], "shard": pa.array(shard, pa.int32())})
+        shard, _ = differencing(table["size"].to_numpy(), shards, begin)
+        return pa.table({"g1": table["g1"], "g2": table["g2"], "bundle": table["bundle"], "size": table["size"], "shard": pa.array(shard, pa.int32())})
 
-    light = groups.where(F.col("size") <= limit).withColumn("cell", F.pmod(F.col("g1"), F.lit(cells)))
-    light = light.groupBy("cell").applyInArrow(cell, "g1 long, g2 long, shard int")
+    def cell(table: pa.Table) -> pa.Table:
+        return divided(table, share)
+
+    def last(table: pa.Table, others: pa.Table) -> pa.Table:
+        """The bundle's last cell, given the loads of its other cells."""
+        if not table.num_rows:
+            return divided(groups_schema.empty_table(), share)
+        begin = share * table["in_bundle"][0].as_py()
+        begin[others["shard"].to_numpy()] += others["load"].to_numpy()
+        return divided(table, begin)
+
+    kinds = "g1 long, g2 long, bundle long, size long, shard int"
+    groups_schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("bundle", pa.int64()), ("size", pa.int64())])
+    at = F.pmod(F.col("g1"), F.lit(cells))
+    in_bundle = F.least(F.lit(BUNDLE), F.lit(cells) - F.col("bundle") * BUNDLE)
+    light = groups.where(F.col("size") <= limit).select("g1", "g2", F.col("size").cast("long").alias("size"), at.alias("cell"), F.floor(at / BUNDLE).cast("long").alias("bundle"))
+    light = light.withColumn("in_bundle", in_bundle.cast("long"))
+    is_last = F.col("cell") == F.col("bundle") * BUNDLE + F.col("in_bundle") - 1
+    before = checkpointed(light.where(~is_last).groupBy("cell").applyInArrow(cell, kinds))
+    loads = before.groupBy("bundle", "shard").agg(F.sum("size").cast("double").alias("load"))
+    after = light.where(is_last).groupBy("bundle").cogroup(loads.groupBy("bundle")).applyInArrow(last, kinds)
+    light = before.unionByName(after).select("g1", "g2", "shard")
     if not len(heavy):
         return light
     rows = [(int(a), int(b), int(s)) for a, b, s in zip(heavy["g1"], heavy["g2"], place, strict=True)]
