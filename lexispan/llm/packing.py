@@ -5,13 +5,18 @@ into whole pieces of that length plus a rest, so nothing is dropped. Pieces are
 dealt into hash cells of bounded size and packed cell by cell, longest first:
 
 * best fit: a piece goes into the open bin that it leaves fullest;
-* where none has room, a bin of the least-cost size is opened: of the sizes that
-  hold the piece, the one whose cost for each token it can still be filled with is
-  least, given what the cell has left to pack (ties: the smaller size);
+* where none has room, a new bin is opened. The sizes are chosen jointly for the cell:
+  every opening policy packs the cell's own lengths, and the one whose downsized bins
+  cost least is kept. A policy opens either the size whose cost for each token it can
+  still be filled with is least, given what the cell has left to pack (ties: the
+  smaller size), or the smallest size that holds the piece and is not below a floor
+  (each permitted length is a floor once);
 * at the end every bin is downsized to the smallest permitted length that holds
   its contents.
 
-A sequence costs its length plus a fixed overhead a sequence.
+A sequence costs its length plus a fixed overhead a sequence. Where every length is twice
+the one before, two bins of one size cost more than one of the next, so the largest
+floor wins but for small cells; other lengths and mixes have other winners.
 """
 
 from __future__ import annotations
@@ -30,11 +35,19 @@ SEQUENCE_OVERHEAD = 32
 PIECES_PER_CELL = 50_000
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD):
+def best_packing(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD):
+    """The cheapest of the packings that the opening policies give, as :func:`best_fit`
+    returns it; of equally cheap ones the first (least cost a token, then larger floors)."""
+    made = [best_fit(lengths, capacities, overhead, floor) for floor in (None, *sorted(capacities, reverse=True))]
+    return min(made, key=lambda p: int(p[2].sum()) + overhead * len(p[2]))
+
+
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, floor: int | None = None):
     """(bin of each piece, offset in its bin, capacity of each bin after downsizing).
 
     ``lengths`` are packed in descending order, ties in the given order; every
-    length is between 1 and the largest capacity.
+    length is between 1 and the largest capacity. ``floor``: open the smallest size that
+    is at least this and holds the piece; without one, the size of least cost a token.
     """
     caps = sorted(capacities)
     room: list[list[int]] = [[] for _ in range(caps[-1] + 1)]  # open bins by room left
@@ -51,7 +64,10 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
                 rooms.pop(i)
         else:
             fits = caps[bisect.bisect_left(caps, n) :]
-            r = min(fits, key=lambda c: ((c + overhead) / min(c, left), c))
+            if floor is None:
+                r = min(fits, key=lambda c: ((c + overhead) / min(c, left), c))
+            else:
+                r = next(c for c in fits if c >= min(floor, caps[-1]))
             b = len(used)
             used.append(0)
             cap.append(r)
@@ -93,7 +109,7 @@ def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("content", "ascending"), ("piece", "ascending")])
-        bins, offsets, final = best_fit(table["length"].to_numpy(), capacities, overhead)
+        bins, offsets, final = best_packing(table["length"].to_numpy(), capacities, overhead)
         used = np.bincount(bins, weights=table["length"].to_numpy(), minlength=len(final)).astype(np.int64)
         out = table.select(["doc_id", "piece", "first_word", "length", "cell"])
         for name, values in (("bin", bins), ("bin_offset", offsets), ("capacity", final[bins]), ("bin_used", used[bins])):
