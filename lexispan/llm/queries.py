@@ -28,7 +28,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = sentencepiece_codec.MODEL_PATH) -> DataFrame:
     with open(model_path, "rb") as f:  # the driver's own file; the model travels with the tasks
         model = sentencepiece_codec.load_model(f.read())
-    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), model, digest_only=True)
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), model)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     tagged = toxicity.tag_toxicity(docs, model)
-    return tagged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_toxic_tokens")
+    return tagged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_toxic_tokens", "spans")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
