@@ -78,6 +78,16 @@ def test_exact_groups(spark, monkeypatch, bits):
     assert {tuple(r) for r in got.collect()} == brute_exact(texts, ids)
 
 
+def test_slices_keep_the_filter_sharp(spark, monkeypatch):
+    """Above the bitmap's bound the filter still proves most unique rows unique."""
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 32768)
+    df = docs(spark, [f"only {k}" for k in range(8000)] + ["twice"] * 2)
+    digests = exact_dedup.digest(df)
+    probed = exact_dedup._probed(digests, 8002)
+    assert probed.count() == 8002 and 2 <= probed.where("maybe_repeated").count() < 400
+    assert sorted(r["text"] for r in exact_dedup.exact_dedup(df).collect()) == sorted([f"only {k}" for k in range(8000)] + ["twice"])
+
+
 def test_exact_dedup_keeps_rows_whole(spark):
     df = docs(spark)
     out = exact_dedup.exact_dedup(df)
@@ -116,6 +126,38 @@ def test_differencing_is_tight():
     assert abs(np.ptp(np.bincount(shard, weights=[8, 7, 6, 5, 4]))) == 2
 
 
+def slow_differencing(sizes, shards):
+    """Textbook Karmarkar-Karp: the loads that remain, least load taken off."""
+    parts = [sorted([0] * (shards - 1) + [int(x)]) for x in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return [x - parts[0][0] for x in parts[0]]
+
+
+def test_differencing_equals_the_textbook():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        # distinct powers keep spreads distinct, so ties can't be broken in two ways
+        sizes = rng.choice(10**9, rng.integers(1, 40), replace=False)
+        shard, loads = sharding.differencing(sizes, 4)
+        real = np.sort(np.bincount(shard, weights=sizes, minlength=4))
+        assert (real - real[0]).tolist() == slow_differencing(sizes, 4)
+
+
+def test_spread_does_not_grow_with_cells(spark, monkeypatch):
+    texts = [f"{k} " + "x" * (k * k % 397) for k in range(4000)]
+    df = docs(spark, texts)
+    spreads = []
+    for per_cell in (4000, 400, 100):
+        monkeypatch.setattr(sharding, "GROUPS_PER_CELL", per_cell)
+        monkeypatch.setattr(sharding, "BUNDLE", 8)
+        load = [r[0] for r in sharding.shard_documents(df, shards=8).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+        spreads.append(max(load) - min(load))
+    assert max(spreads) <= 24  # 40 cells leave no more than one does
+
+
 def test_shards(spark):
     texts = TEXTS + [f"text {k} " * (k % 40 + 1) for k in range(600)] + ["hot copy " * 9] * 300
     out = [r.asDict() for r in sharding.shard_documents(docs(spark, texts)).collect()]
@@ -166,6 +208,44 @@ def test_best_fit_equals_the_slow_version():
             assert spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= final[b]
 
 
+def optimum(lengths, caps, overhead):
+    """Least cost of all ways to put a few pieces into bins."""
+    best = [float("inf")]
+
+    def put(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in caps if c >= b) + overhead for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[k] <= caps[-1]:
+                put(k + 1, [*bins[:j], bins[j] + lengths[k], *bins[j + 1 :]])
+        put(k + 1, [*bins, lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_sizes_are_chosen_jointly():
+    rng = np.random.default_rng(6)
+    winners, exact, close = set(), 0, 0
+    for _ in range(60):
+        lengths = rng.integers(1, 11, 7)
+        caps, overhead = ((6, 10), (4, 7, 10), (5, 10))[rng.integers(3)], int(rng.integers(0, 3))
+        bins, _, final = packing.best_packing(lengths, caps, overhead)
+        cost = lambda f: int(f.sum()) + overhead * len(f)
+        least = optimum(lengths.tolist(), caps, overhead)
+        single = [cost(packing.best_fit(lengths, caps, overhead, f)[2]) for f in (None, *caps)]
+        assert least <= cost(final) == min(single)
+        assert (np.bincount(bins, weights=lengths) <= final).all()
+        exact += cost(final) == least
+        close += cost(final) <= 1.15 * least
+        if single.count(min(single)) == 1:
+            winners.add((None, *caps)[single.index(min(single))] == caps[-1])
+    assert exact >= 40 and close == 60 and winners == {True, False}
+    # small sizes win here: (6 + 1) * 4 is less than 10 + 10 + 6 + 3
+    assert sorted(packing.best_packing(np.array([6, 6, 4, 3, 3]), (6, 10), 1)[2].tolist()) == [6, 6, 6, 6]
+
+
 def test_pack(spark):
     texts = TEXTS + ["w " * n for n in (1, 5, 300, 5000, 2048, 4096)]
     out = [r.asDict() for r in packing.pack(docs(spark, texts)).collect()]

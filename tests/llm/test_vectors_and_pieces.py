@@ -58,6 +58,12 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
         assert got == want
 
 
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0])]
+    got = E.near_vectors(vectors(spark, [(i, v, 1, 0, "x") for i, v in rows]))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_no_vectors(spark):
     assert E.near_vectors(vectors(spark, [])).count() == 0
     r = E.near_vectors(vectors(spark, [(3, None, 1, 0, "x")])).first()
