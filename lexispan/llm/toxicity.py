@@ -1,15 +1,19 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 Fitting (on the driver, from a bounded sample of labelled rows): words whose
-document frequencies differ between toxic and other documents become the lexicon;
-in toxic documents, tokens of words that point strongly to toxicity are labelled
-toxic, all other tokens clean. The field has two states, a weight for each lexicon
-word, one for all other words, start and transition weights, and is trained by
-gradient ascent on the regularised likelihood (forward-backward). A logistic layer
-maps a document's aggregated marginals to its score.
+document frequencies differ between toxic and other documents become the lexicon.
+In toxic documents, spans are labelled: tokens of words that point strongly to
+toxicity, and up to ``GAP`` tokens between two of them; all other tokens are clean.
+Every token has one feature - its word, or for other words their ending, or their
+shape - and the field weighs the token's own feature and those of its neighbours, the
+start and the transitions between its two states. It is trained by gradient ascent on
+the regularised likelihood (forward-backward). A logistic layer maps a document's
+aggregated marginals to its score.
 
 Scoring (Spark): forward-backward marginals over all tokens of whole texts, batch by
-batch in Arrow; marginals above one half give the offending character offsets.
+batch in Arrow; marginals above one half give the offending character offsets. Texts of
+more than ``STRETCH`` tokens are scored in stretches, each with ``MARGIN`` tokens of
+context on either side, so that one long text is as cheap a token as many short ones.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from pyspark.sql import functions as F
 from lexispan.llm.words import slices
 
 TOKEN = re.compile(r"\w+")
-SAMPLE_ROWS = 4000  # most labelled documents that the model is fitted on
-SAMPLE_WORDS = 50_000  # documents with more words are not used for fitting
+SAMPLE_ROWS = 4000  # most labelled texts (pieces of longer ones) that the model is fitted on
+PIECE_CHARS = 20_000  # labelled texts are cut into pieces of this length for fitting
 LEXICON = 5000  # most words with a weight of their own
+ENDINGS = 500  # most endings of other words with a weight of their own
+GAP = 2  # tokens between two strong words that belong to their span
+STRETCH, MARGIN = 2048, 32  # tokens of a long text scored at a time, and their context
 SEGMENT = 128  # tokens of a training sequence
 SEQUENCES = 4096  # training sequences worked on at a time
 SLICE_BYTES = 16 << 20  # text scored at a time
@@ -37,13 +44,46 @@ CELLS = 1 << 20  # padded tokens scored at a time
 
 
 class Model(NamedTuple):
-    lexicon: dict[str, int]  # word -> feature; 0 is every other word
-    emission: np.ndarray  # log weight of the toxic state for each feature
+    lexicon: dict[str, int]  # word -> feature
+    endings: dict[str, int]  # last three letters of another word -> feature
+    emission: np.ndarray  # log weights of the toxic state for each feature: own, previous, next token's
     start: float  # log weight of beginning in the toxic state
     transition: np.ndarray  # 2 x 2 log weights
     layer: np.ndarray  # logistic weights of the document features
 
 
+class _Features(dict):
+    """Feature of a token: its word, else its ending, else 1 for numbers and 0; remembers
+    a bounded number of tokens."""
+
+    def __init__(self, lexicon: dict[str, int], endings: dict[str, int]) -> None:
+        self.lexicon, self.endings = lexicon, endings
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        w = token.lower()
+        k = self.lexicon.get(w)
+        if k is None:
+            k = 1 if w[0].isdigit() else self.endings.get(w[-3:], 0)
+        self[token] = k
+        return k
+
+    def of(self, text: str) -> np.ndarray:
+        if len(text) < 1 << 20:
+            return np.array([self[w] for w in TOKEN.findall(text)], np.int32)
+        return np.fromiter((self[m[0]] for m in TOKEN.finditer(text)), np.int32)  # no list of words
+
+
+def _neighbours(ids: np.ndarray, length: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the previous and the next token; ``none`` outside the sequence."""
+    before, after = np.full_like(ids, none), np.full_like(ids, none)
+    before[1:] = ids[:-1]
+    after[:-1] = ids[1:]
+    after[np.maximum(length - 1, 0), np.arange(ids.shape[1])] = none
+    return before, after
+
+
 def _pad(rows: list[np.ndarray], fill: int) -> np.ndarray:
     out = np.full((max(map(len, rows)), len(rows)), fill, np.int32)
     for k, r in enumerate(rows):
@@ -54,12 +94,17 @@ def _pad(rows: list[np.ndarray], fill: int) -> np.ndarray:
 def marginals(ids: np.ndarray, length: np.ndarray, emission: np.ndarray, start: float, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(toxic) of each token, expected transitions, log partition of each column.
 
-    ``ids``: features, time x sequences, padded below; ``length``: of each column.
+    ``ids``: features, time x sequences, padded below; ``length``: of each column;
+    ``emission``: weights of the own feature, or of own, previous and next (rows).
     """
     steps, n = ids.shape
     m = np.exp(transition)
     live = np.arange(steps)[:, None] < length[None, :]
-    r = np.exp(emission)[ids]
+    if emission.ndim == 1:
+        r = np.exp(emission)[ids]
+    else:
+        before, after = _neighbours(ids, length, emission.shape[1] - 1)
+        r = np.exp(emission[0][ids] + emission[1][before] + emission[2][after])
     a0, a1, scale = np.empty((steps, n)), np.empty((steps, n)), np.ones((steps, n))
     x0, x1 = np.ones(n), np.full(n, np.exp(start))
     for t in range(steps):
@@ -84,36 +129,48 @@ def marginals(ids: np.ndarray, length: np.ndarray, emission: np.ndarray, start:
     return np.where(live, p, 0.0), pairs, np.where(live, np.log(scale), 0.0).sum(axis=0)
 
 
-def _document_features(p: np.ndarray, length: np.ndarray) -> np.ndarray:
-    total = p.sum(axis=0)
-    return np.stack([np.ones(len(length)), p.max(axis=0, initial=0.0), np.log1p(total), total / np.maximum(length, 1)], axis=1)
-
-
 def _train_chain(ids: np.ndarray, length: np.ndarray, tags: np.ndarray, features: int, rounds: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
-    """Adam on the likelihood of the tag sequences, with a weak Gaussian prior."""
+    """Adam on the likelihood of the tag sequences, with a weak Gaussian prior. The
+    emission weights are 3 x (features + 1): own, previous, next; the last is no token."""
     live = np.arange(len(ids))[:, None] < length[None, :]
-    seen_e = np.bincount(ids[live & (tags > 0)], minlength=features).astype(float)
+    width = features + 1
+
+    def counts(part: slice, weight: np.ndarray) -> np.ndarray:
+        places = (ids[:, part], *_neighbours(ids[:, part], length[part], features))
+        return np.concatenate([np.bincount(x.ravel(), weights=weight.ravel(), minlength=width) for x in places])
+
+    seen_e = counts(slice(None), (live & (tags > 0)).astype(float))
     follow = live[1:]
     seen_t = np.array([[np.sum((tags[:-1] == i) & (tags[1:] == j) & follow) for j in (0, 1)] for i in (0, 1)], float)
     seen_s = float((tags[0] * live[0]).sum())
     del live, follow
     parts = [slice(k, k + SEQUENCES) for k in range(0, len(length), SEQUENCES)]
-    w, low, high = np.zeros(features + 5), np.zeros(features + 5), np.zeros(features + 5)
-    w[0], w[features] = -2.0, -2.0
+    size = 3 * width
+    w, low, high = np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
+    w[0], w[size] = -2.0, -2.0
     n = len(length)
     for k in range(1, rounds + 1):
-        e, s, t = w[:features], w[features], w[features + 1 :].reshape(2, 2)
+        e, s, t = w[:size].reshape(3, width), w[size], w[size + 1 :].reshape(2, 2)
         g = np.concatenate([seen_e, [seen_s], seen_t.ravel()])
         for part in parts:
             p, pairs, _ = marginals(ids[:, part], length[part], e, s, t)
-            g[:features] -= np.bincount(ids[:, part].ravel(), weights=p.ravel(), minlength=features)
-            g[features] -= p[0].sum()
-            g[features + 1 :] -= pairs.ravel()
+            g[:size] -= counts(part, p)
+            g[size] -= p[0].sum()
+            g[size + 1 :] -= pairs.ravel()
         g = (g - 0.05 * w) / n
         low = 0.9 * low + 0.1 * g
         high = 0.98 * high + 0.02 * g * g
         w = w + 0.3 * (low / (1 - 0.9**k)) / (np.sqrt(high / (1 - 0.98**k)) + 1e-8)
-    return w[:features], float(w[features]), w[features + 1 :].reshape(2, 2)
+    return w[:size].reshape(3, width), float(w[size]), w[size + 1 :].reshape(2, 2)
+
+
+def _spans(strong: np.ndarray) -> np.ndarray:
+    """Strong tokens and the gaps of at most ``GAP`` tokens between two of them."""
+    at = np.flatnonzero(strong)
+    for a, z in zip(at[:-1], at[1:], strict=True):
+        if z - a <= GAP + 1:
+            strong[a:z] = True
+    return strong
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,29 +197,66 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
             strength[w] = (float(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))), float(odds), a)
     chosen = sorted((w for w, x in strength.items() if abs(x[0]) > 1.5), key=lambda w: (-abs(strength[w][0]), w))[:LEXICON]
-    lexicon = {w: k for k, w in enumerate(chosen, 1)}
-    strong = np.zeros(len(chosen) + 1, bool)
+    lexicon = {w: k for k, w in enumerate(chosen, 2)}
+    common: Counter = Counter()
+    for w in (by[0].keys() | by[1].keys()) - lexicon.keys():
+        common[w[-3:]] += by[0][w] + by[1][w]
+    endings = {e: k for k, e in enumerate(sorted(sorted(common), key=lambda e: -common[e])[:ENDINGS], len(chosen) + 2)}
+    features = len(chosen) + len(endings) + 2
+    strong = np.zeros(features, bool)
     often = max(6, n1 // 100)  # toxic documents that a strong word occurs in, at least
     strong[[lexicon[w] for w in chosen if strength[w][0] > 2.5 and strength[w][1] > 1.5 and strength[w][2] >= often]] = True
-    del by, strength
-    coded = [np.array([lexicon.get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    del by, strength, common
+    code = _Features(lexicon, endings)
+    coded = [code.of(t) for t in texts]
     parts, tags = [], []
     for ids, y in zip(coded, toxic, strict=True):
         for at in range(0, len(ids), SEGMENT):
             parts.append(ids[at : at + SEGMENT])
-            tags.append(strong[parts[-1]] * int(y))
+            tags.append(_spans(strong[parts[-1]]) * int(y))
     if not parts or toxic.min() == toxic.max():
-        return Model({}, np.zeros(1), -2.0, np.zeros((2, 2)), np.array([-1.0, 0, 0, 0]))
+        return Model({}, {}, np.zeros((3, 3)), -2.0, np.zeros((2, 2)), np.array([-1.0, 0, 0, 0]))
     length = np.array([len(x) for x in parts])
-    emission, start, transition = _train_chain(_pad(parts, 0), length, _pad(tags, 0), len(chosen) + 1)
-    model = Model(lexicon, emission, start, transition, np.zeros(4))
-    features = np.concatenate([f for _, f, _ in _scored(coded, model)])
-    order = np.concatenate([k for k, _, _ in _scored(coded, model)])
-    return model._replace(layer=_logistic(features, toxic[order].astype(float)))
-
-
-def _scored(coded: list[np.ndarray], model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(which sequences, their document features, their marginals), some at a time."""
+    emission, start, transition = _train_chain(_pad(parts, 0), length, _pad(tags, 0), features)
+    model = Model(lexicon, endings, emission, start, transition, np.zeros(4))
+    rows, _ = _scored(coded, model)
+    return model._replace(layer=_logistic(rows, toxic.astype(float)))
+
+
+def _scored(coded: list[np.ndarray], model: Model, spans: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(features of each text; if asked for, which tokens of each are toxic)."""
+    parts, owner, begin, inner = [], [], [], []
+    for k, ids in enumerate(coded):
+        for at in range(0, max(len(ids), 1), STRETCH):
+            a, z = max(0, at - MARGIN), min(len(ids), at + STRETCH + MARGIN)
+            parts.append(ids[a:z])
+            owner.append(k)
+            begin.append(at)
+            inner.append((at - a, min(at + STRETCH, len(ids)) - a))
+    inner = np.array(inner, np.int64).reshape(-1, 2)
+    most, total = np.zeros(len(coded)), np.zeros(len(coded))
+    over = [np.zeros(len(ids), bool) for ids in coded] if spans else []
+    for which, p in _tagged(parts, model):
+        step = np.arange(len(p))[:, None]
+        p = np.where((step >= inner[which, 0]) & (step < inner[which, 1]), p, 0.0)
+        text = np.array([owner[k] for k in which])
+        np.maximum.at(most, text, p.max(axis=0, initial=0.0))
+        np.add.at(total, text, p.sum(axis=0))
+        hit = p > 0.5
+        for j in np.flatnonzero(hit.any(axis=0)) if spans else ():
+            k = which[j]
+            a, z = inner[k]
+            over[owner[k]][begin[k] : begin[k] + z - a] = hit[a:z, j]
+    length = np.array([len(ids) for ids in coded])
+    return np.stack([np.ones(len(coded)), most, np.log1p(total), total / np.maximum(length, 1)], axis=1), over
+
+
+def _score(features: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30)))
+
+
+def _tagged(coded: list[np.ndarray], model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which sequences, their marginals), some at a time."""
     by_length = np.argsort([len(x) for x in coded], kind="stable")
     at = 0
     while at < len(coded):
@@ -176,7 +270,7 @@ def _scored(coded: list[np.ndarray], model: Model) -> Iterator[tuple[np.ndarray,
             p, _, _ = marginals(_pad(rows, 0), length, model.emission, model.start, model.transition)
         else:
             p = np.zeros((1, len(rows)))
-        yield which, _document_features(p, length), p
+        yield which, p
         at = end
 
 
@@ -187,11 +281,10 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
             yield b.slice(start, n)
 
 
-def _coded(column: pa.Array, model: Model) -> tuple[list[str], list[np.ndarray]]:
+def _coded(column: pa.Array, code: _Features) -> tuple[list[str], list[np.ndarray]]:
     """Texts (null: empty) and the features of their tokens."""
-    get = model.lexicon.get
     texts = ["" if t is None else t for t in column.to_pylist()]
-    return texts, [np.array([get(w.lower(), 0) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    return texts, [code.of(t) for t in texts]
 
 
 def held_out(doc_id: F.Column, folds: int = 5) -> F.Column:
@@ -199,15 +292,20 @@ def held_out(doc_id: F.Column, folds: int = 5) -> F.Column:
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold,
-    the first by hash of their id; copies of one text count once."""
+    """Fit on at most ``sample_rows`` labelled texts outside the held-out fold, the first
+    by hash of their id; copies of one text count once. A text of more than
+    ``PIECE_CHARS`` characters gives a labelled text for each piece of that length, of
+    which the sample takes its share; no text is left out for its length."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # both sides are bounded: the sample by its rows, a text by its words
-    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.regexp_count("text", F.lit(r"\w+")) <= SAMPLE_WORDS)
-    rows = rows.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")
+    # the sample is bounded by its rows, and a row by PIECE_CHARS
+    last = F.greatest(F.length("text") - 1, F.lit(0))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", F.explode(F.sequence(F.lit(0), last, F.lit(PIECE_CHARS))).alias("at"))
+    rows = rows.select("doc_id", "y", F.substring("text", F.col("at") + 1, F.lit(PIECE_CHARS)).alias("text"), "at")
+    rows = rows.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "text").limit(sample_rows).select("doc_id", "at", "text", "y")
+    rows = rows.toPandas().sort_values(["doc_id", "at", "text"]).drop_duplicates("text")
     return fit(rows["text"].tolist(), (rows["y"].to_numpy() > 0).astype(np.int64))
 
 
@@ -222,15 +320,12 @@ def tag_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _Features(model.lexicon, model.endings)
         for b in _cut(batches, 1):
-            texts, coded = _coded(b.column(1), model)
-            score, count, spans = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[] for _ in texts]
-            for which, features, p in _scored(coded, model):
-                score[which] = 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30)))
-                over = p > 0.5
-                count[which] = over.sum(axis=0)
-                for k in np.flatnonzero(over.any(axis=0)):
-                    spans[which[k]] = _offsets(texts[which[k]], over[: len(coded[which[k]]), k])
+            texts, coded = _coded(b.column(1), code)
+            features, over = _scored(coded, model, spans=True)
+            score, count = _score(features, model), np.array([x.sum() for x in over], np.int64)
+            spans = [_offsets(t, x) if n else [] for t, x, n in zip(texts, over, count, strict=True)]
             columns = [b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count)]
             columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "n_toxic_tokens", "spans"])
@@ -245,12 +340,10 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _Features(model.lexicon, model.endings)
         for b in _cut(batches, at):
-            _, coded = _coded(b.column(at), model)
-            good = np.ones(len(coded), bool)
-            for which, features, _ in _scored(coded, model):
-                good[which] = 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30))) < 0.5
-            yield b.filter(pa.array(good))
+            _, coded = _coded(b.column(at), code)
+            yield b.filter(pa.array(_score(_scored(coded, model)[0], model) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -378,6 +378,54 @@ def test_toxicity(spark):
     assert (again.emission == model.emission).all()  # held-out labels are never read
 
 
+def test_neighbours_weigh_in():
+    """Own, previous and next weights, against the sum over all tag sequences."""
+    rng = np.random.default_rng(1)
+    e, s, t = rng.normal(size=(3, 5)), -0.2, rng.normal(size=(2, 2))
+    ids, length = rng.integers(0, 4, (4, 2)).astype(np.int32), np.array([4, 2])
+    p, _, z = toxicity.marginals(ids, length, e, s, t)
+    for col in range(2):
+        n = length[col]
+        x = [4, *ids[:n, col], 4]
+        w = [e[0][x[k]] + e[1][x[k - 1]] + e[2][x[k + 1]] for k in range(1, n + 1)]
+        total, mass = 0.0, np.zeros(n)
+        for code in range(2**n):
+            y = np.array([(code >> k) & 1 for k in range(n)])
+            v = math.exp(s * y[0] + float(y @ w) + sum(t[y[k - 1], y[k]] for k in range(1, n)))
+            total, mass = total + v, mass + v * y
+        assert p[:n, col] == pytest.approx(mass / total) and z[col] == pytest.approx(math.log(total))
+
+
+def test_long_texts_are_scored_in_stretches(monkeypatch):
+    texts, labels = toxic_corpus()
+    model = toxicity.fit(texts, np.array(labels))
+    rng = random.Random(3)
+    long = " ".join(rng.choice(texts) for _ in range(300))
+    code = toxicity._Features(model.lexicon, model.endings)
+    coded = [code.of(long), code.of("")]
+    parts, over = toxicity._scored(coded, model, spans=True)
+    monkeypatch.setattr(toxicity, "STRETCH", 10**9)
+    whole, at_once = toxicity._scored(coded, model, spans=True)
+    assert len(coded[0]) > 4096 and over[0].sum() > 10
+    assert (over[0] == at_once[0]).all() and np.allclose(parts, whole, atol=1e-6)
+    huge = "fine words here " * 400_000  # 6 MB, read without a list of its words
+    assert len(code.of(huge)) == 1_200_000 and (code.of(huge)[:3] == code.of("fine words here")).all()
+
+
+def test_long_labelled_texts_are_pieces_of_the_sample(spark):
+    """No labelled text is left out for its length; clashing names and null ids are fine."""
+    texts, labels = toxic_corpus()
+    texts = [t + " filler" * 20_000 if k % 10 == 0 else t for k, t in enumerate(texts)]
+    rows = [(k, t, y, 0.5, 1) for k, (t, y) in enumerate(zip(texts, labels, strict=True))] + [(None, "scumx", 1, 0.5, 1), (3, "again", 0, 0.5, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, score double, predicted int")
+    marks = spark.createDataFrame([(k, 1, y) for k, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_from_labels(df, marks)
+    assert "filler" in model.lexicon or "ler" in model.endings
+    out = toxicity.tag_toxicity(df, model)
+    assert out.columns == ["doc_id", "score", "predicted", "n_toxic_tokens", "spans"] and out.count() == len(rows)
+    assert toxicity.drop_toxic(df, model).columns == df.columns
+
+
 def test_offsets_of_changed_length_words():
     text = "İdiot and scum"
     over = np.array([True, False, True])
