@@ -10,6 +10,10 @@ are the edges of all chunks' lattices; sorted by position they are relaxed:
 * merge (BPE) models: two neighbouring symbols join if an edge spans both, the best
   piece of a chunk first and the leftmost of equals, until no edge joins neighbours.
 
+A long chunk (text without spaces) is indexed in overlapping blocks first and cut where
+no occurrence of a piece spans a boundary of characters: no path or merge crosses such
+a place, so the parts are segmented on their own, a block of them at a time.
+
 Both give the ids of the public library for the same model file. Characters outside
 every path become byte pieces, where the model has them, or the unknown piece.
 """
@@ -34,6 +38,7 @@ SPACE = "▁"
 BLOCK = 256 << 10  # bytes of distinct chunks indexed at once
 MEMORY = 400_000  # chunks remembered by a task
 LONG = 256  # symbols of a chunk from which it is merged by a heap
+LONG_CHUNK = 16_384  # characters of a chunk from which it is cut at uncrossed places
 _SEPARATOR = 0xFE  # never occurs in UTF-8
 _NEVER = np.int32(2**31 - 1)
 
@@ -135,11 +140,14 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known, self.flat, self.first = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         cut = [self.chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for cs in cut for c in cs if c not in self.known))
+        new = list(dict.fromkeys(c for cs in cut for c in cs if len(c) < LONG_CHUNK and c not in self.known))
         self._learn(new)
         known, first, flat = self.known, self.first, self.flat
         out = []
         for cs in cut:
+            if any(len(c) >= LONG_CHUNK for c in cs):
+                out.append(np.concatenate([self._long(c.encode()) if len(c) >= LONG_CHUNK else flat[first[known[c]] : first[known[c] + 1]] for c in cs]))
+                continue
             codes = np.array([known[c] for c in cs], np.int64)
             n = first[codes + 1] - first[codes]
             ends = np.cumsum(n)
@@ -147,6 +155,41 @@ class Encoder:
             out.append(flat[at])
         return out
 
+    def uncrossed(self, raw: bytes) -> np.ndarray:
+        """Places between characters that no occurrence of a piece spans, and both ends."""
+        out = [np.zeros(1, np.int64)]
+        for at in range(0, len(raw), BLOCK):
+            a = max(0, at - self.depth)
+            text = np.frombuffer(raw[a : at + BLOCK + self.depth], np.uint8)
+            start, piece = self.edges(text)
+            n = self.lengths[piece]
+            change = np.zeros(len(text) + 1, np.int32)
+            np.add.at(change, start + 1, 1)
+            np.add.at(change, start + n, -1)
+            free = (np.cumsum(change[:-1]) == 0) & ((text & 0xC0) != 0x80)
+            place = np.flatnonzero(free) + a
+            out.append(place[(place >= max(at, 1)) & (place < at + BLOCK)])
+        return np.concatenate([*out, [len(raw)]])
+
+    def _long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long chunk, from the parts between uncrossed places."""
+        edge = self.uncrossed(raw)
+        out, at = [], 0
+        while at < len(edge) - 1:
+            end = max(at + 1, int(np.searchsorted(edge, edge[at] + BLOCK, "right")) - 1)
+            parts = [raw[a:z] for a, z in zip(edge[at:end].tolist(), edge[at + 1 : end + 1].tolist(), strict=True)]
+            ids, n = self._segment(parts)
+            if self.model.byte_ids is None:  # neighbouring unknown characters are one unknown piece
+                first = (np.cumsum(n) - n)[n > 0]
+                again = first[(ids[first] == self.model.unk) & (np.append(-1, ids)[first] == self.model.unk)]
+                ids = np.delete(ids, again)
+                if out and len(ids) and ids[0] == self.model.unk == out[-1][-1]:
+                    ids = ids[1:]
+            if len(ids):
+                out.append(ids)
+            at = end
+        return np.concatenate(out)
+
     def _learn(self, chunks: list[str]) -> None:
         raw = [c.encode() for c in chunks]
         parts, at, base = [self.flat], 0, len(self.known)
@@ -343,7 +386,8 @@ def _suffix_order(windows: np.ndarray) -> np.ndarray:
 def decode(model: PieceModel, ids: np.ndarray) -> str:
     """Text of a sequence of ids; broken byte sequences become U+FFFD."""
     out = model.output
-    text = b"".join([out[k] for k in ids.tolist()]).decode("utf-8", "replace")
+    parts = (b"".join([out[k] for k in ids[a : a + 1_000_000].tolist()]) for a in range(0, len(ids), 1_000_000))
+    text = b"".join(parts).decode("utf-8", "replace")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -356,7 +400,9 @@ def encode_documents(df: DataFrame, model: PieceModel, id_col: str = "doc_id", t
     the format uses for spaces, do not). A null or empty text has no ids. Null and
     repeated ids are encoded like any other row; extra columns are ignored; an empty
     table gives an empty result. No shuffle; a worker holds one slice of texts, its
-    chunks and a bounded memory of chunks.
+    chunks and a bounded memory of chunks. Text without spaces is worked on in blocks,
+    whatever its length; only a part of it in which pieces overlap without a gap (one
+    letter repeated, say) is held whole, at about 170 bytes a byte.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -127,6 +127,54 @@ def test_encoding_equals_the_library(spark):
     assert [S.decode(model, x) for x in got] == [library.decode(x.tolist()) for x in got]
 
 
+def unspaced(n):
+    """Text without spaces: base64, Chinese, lines and a run of one letter."""
+    rng = np.random.default_rng(3)
+    import base64
+
+    parts = [base64.b64encode(rng.bytes(n)).decode(), "".join(map(chr, rng.integers(0x4E00, 0x4E80, n // 4))), "line\nof\n\ttext;" * (n // 16), "a" * 3000, "é✓" * 500]
+    return "".join(parts)
+
+
+@pieces
+def test_long_texts_without_spaces(monkeypatch):
+    import sentencepiece
+
+    proto = open(S.MODEL_PATH, "rb").read()
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=proto), S.load_model(proto)
+    text = unspaced(40_000)
+    monkeypatch.setattr(S, "BLOCK", 20_000)
+    texts = [text, "some words " + text[:30_000] + " and more", "short"]
+    got = S.Encoder(model).encode(texts)
+    assert [x.tolist() for x in got] == library.encode(texts)
+    assert [S.decode(model, x) for x in got] == texts
+
+
+@pieces
+def test_unknown_characters_across_cuts():
+    """Without byte pieces neighbouring unknown characters are one unknown piece."""
+    model = S.load_model(open(S.MODEL_PATH, "rb").read())._replace(byte_ids=None)
+    text = "ab" + "\u4e2d\u6587\u5b57" * 6000 + "the" * 3000
+    want = S.Encoder(model)._segment([(" " + text).encode()])[0]
+    assert (S.Encoder(model).encode([text])[0] == want).all()
+
+
+@pieces
+def test_memory_of_long_text_is_bounded():
+    import tracemalloc
+
+    model = S.load_model(open(S.MODEL_PATH, "rb").read())
+    encoder = S.Encoder(model)
+    peaks = []
+    for n in (1_000_000, 4_000_000):
+        text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x5E00, n // 3)))
+        tracemalloc.start()
+        encoder.encode([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 20 * 3_000_000  # a few bytes for each further byte
+
+
 @pieces
 def test_unigram_paths_score_as_the_library(spark):
     import sentencepiece
