@@ -30,17 +30,47 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Wording of widespread public license notices, as templates.
+# Wording of widespread public licenses and their notices, as templates; a
+# label may have several. Disclaimers that all copies of a license share are optional.
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must
+reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+provided with the distribution. """
+_DISCLAIMER = "<<beginOptional>>THIS SOFTWARE IS PROVIDED BY <<var;name=holder;original=the copyright holders;match=1-12>> AS IS <<endOptional>>"
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<beginOptional>>, <<endOptional>>version 2.0",
+    "apache-2.0": (
+        "licensed under the apache license <<beginOptional>>, <<endOptional>>version 2.0",
+        """Apache License Version 2.0, January 2004 <<beginOptional>>http://www.apache.org/licenses/ <<endOptional>>TERMS AND CONDITIONS
+        FOR USE, REPRODUCTION, AND DISTRIBUTION""",
+    ),
     "cc-by-nc-4.0": "licensed under <<beginOptional>>a creative commons <<endOptional>>cc by-nc 4.0",
     "cc-by-4.0": "licensed under <<beginOptional>>a creative commons <<endOptional>>cc by 4.0",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>a creative commons <<endOptional>>cc by-sa 4.0",
-    "gpl-3.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>>version 3",
-    "gpl-2.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>>version 2",
-    "mit": "<<var;name=verb;original=released;match=1-1>> under the mit license",
+    "gpl-3.0": "gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3",
+    "gpl-2.0": "gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2",
+    "lgpl-3.0": "gnu lesser general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3",
+    "agpl-3.0": "gnu affero general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3",
+    "mpl-2.0": "subject to the terms of the mozilla public license <<beginOptional>>, <<endOptional>><<beginOptional>>v. <<endOptional>><<beginOptional>>version <<endOptional>>2.0",
+    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without
+        fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies""",
+    "mit": (
+        "<<var;name=verb;original=released;match=1-1>> under the mit license",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: <<beginOptional>>The above copyright notice and this permission notice
+        <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the
+        Software.<<endOptional>>""",
+    ),
     "copyright-notice": "copyright <<beginOptional>>c <<endOptional>><<var;name=holder;original=2020 the authors;match=1-12>> all rights reserved",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause": _BSD_CONDITIONS + "THIS SOFTWARE IS PROVIDED BY <<var;name=holder;original=the copyright holders;match=1-12>> AS IS",
+    "bsd-3-clause": _BSD_CONDITIONS
+    + """<<beginOptional>>3. <<endOptional>>Neither the name of <<var;name=holder;original=the copyright holder;match=1-12>> nor the names of
+        <<var;name=whose;original=its;match=1-3>> contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission """
+    + _DISCLAIMER,
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
 }
 
 _TOKEN = re.compile(WORD_RE)
@@ -115,13 +145,14 @@ class Automaton:
 
     @cached_property
     def anchor(self) -> tuple[str, int, int]:
-        """(a mandatory word, the fewest and most words before it): where to look."""
+        """(a mandatory word, the fewest and most words before it): where to look. Words with
+        few possible distances to the start come first, then long words."""
         mandatory = [k for k, s in enumerate(self.states) if s.word is not None and not any(j <= k < to for j, t in enumerate(self.states) for to in t.skips)]
         if not mandatory:
             raise ValueError("a template needs mandatory wording")
-        k = max(mandatory, key=lambda k: len(self.states[k].word))
-        fewest = sum(1 for j in range(k) if not any(i <= j < to for i, t in enumerate(self.states) for to in t.skips))
-        return self.states[k].word, fewest, k
+        may_miss = [any(i <= j < to for i, t in enumerate(self.states) for to in t.skips) for j in range(self.accept)]
+        k = max(mandatory, key=lambda k: (-sum(may_miss[:k]), len(self.states[k].word)))
+        return self.states[k].word, k - sum(may_miss[:k]), k
 
     def run(self, words: list[str], start: int) -> int | None:
         """End of the shortest match that begins at word ``start``, or None."""
@@ -148,11 +179,18 @@ class Automaton:
         return None
 
 
+def each_template(templates: dict[str, str | tuple[str, ...]]) -> Iterator[tuple[str, str]]:
+    """(label, template), for labels with one or several templates."""
+    for label, t in templates.items():
+        for one in (t,) if isinstance(t, str) else t:
+            yield label, one
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str]) -> None:
-        self.automata = {label: Automaton(t) for label, t in templates.items()}
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], phrases: dict[str, str]) -> None:
+        self.automata = [(label, Automaton(t)) for label, t in each_template(templates)]
         self.phrases = [(p.split(" "), label) for p, label in phrases.items()]
-        self.wanted = {a.anchor[0] for a in self.automata.values()} | {p[0] for p, _ in self.phrases}
+        self.wanted = {a.anchor[0] for _, a in self.automata} | {p[0] for p, _ in self.phrases}
         self.gate = re.compile("|".join(sorted(map(re.escape, self.wanted))))
 
     def scan(self, text: str | None) -> tuple:
@@ -170,14 +208,14 @@ class Scanner:
                 starts += found
                 if found:
                     base.add(label)
-            for label, automaton in self.automata.items():
+            for label, automaton in self.automata:
                 if (at := places.get(automaton.anchor[0])) and (span := automaton.find(words, at)):
                     spans.append((label, *span))
         labels = base | {s[0] for s in spans}
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(labels), spans
 
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, spans``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lexispan.llm.license_scan import BASE_PHRASES, TEMPLATES, WORD_RE, fold, tokens
+from lexispan.llm.license_scan import BASE_PHRASES, TEMPLATES, WORD_RE, each_template, fold, tokens
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,7 +29,7 @@ def _op1() -> str:
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w))
         phrase.append((f"list_filter(range(greatest(len(w) - {len(w) - 1}, 0)), lambda i: {test})", label))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrase))
-    more = ", ".join(f"CASE WHEN regexp_matches(line, '(^| ){_template_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(line, '(^| ){_template_regex(t)}') THEN '{label}' END" for label, t in each_template(TEMPLATES))
     joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda l: l IS NOT NULL))), ',')"
     return f"""
 WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD_RE}') AS w FROM documents),

@@ -55,6 +55,57 @@ def test_license_scan(spark):
     assert [tuple(s) for s in spans] == [("apache-2.0", 0, 8)]
 
 
+MIT = """Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+
+
+def test_whole_license_texts(spark):
+    texts = {
+        MIT: "mit",
+        MIT.replace("sublicense", "sell"): "",
+        BSD % "": "bsd,bsd-2-clause",
+        BSD % THIRD: "bsd,bsd-3-clause",
+        BSD % THIRD.replace("3. ", "* ").replace("its contributors", "its other contributors"): "bsd,bsd-3-clause",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "apache-2.0",
+        "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl,gpl-3.0",
+        "GNU General Public License, version 2": "gpl,gpl-2.0",
+        "under the GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    }
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(docs(spark, list(texts))).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+    # a text of 2 MB, null and repeated ids, and columns named like the result's
+    rows = [(None, "word " * 400_000 + MIT, "q", 2.0), (1, MIT, "q", 2.0), (1, MIT, "q", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels string, score double")
+    out = license_scan.scan_licenses(df).collect()
+    assert [(r["labels"], r["score"]) for r in out] == [("mit", 0.5)] * 3 and max(r["n_words"] for r in out) > 400_000
+
+
 # --- exact dedup
 
 
