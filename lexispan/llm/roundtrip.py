@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexispan.llm import words as W
 
 BATCH_BYTES = 4 << 20
-PART_BYTES = 24 << 20  # text of the batches that share a partition
+PART_BYTES = 16 << 20  # text of the batches that share a partition
 BUCKET_HASHES = 2_000_000
 U = np.uint64
 

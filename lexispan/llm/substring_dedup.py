@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ BROADCAST_HASHES = 100_000  # hashes (8 bytes) of disputed seeds that may be sen
 _BYTES_PER_WORD = 5  # a cautious guess, for the number of buckets only
 _TOP = np.iinfo(np.int64).max  # stands for a null id: later than every other
 U = np.uint64
-_FACTOR = "batch long, at long, n int, source_id long, source_word long, hash long"
+_SPANS = "spans array<struct<from_word:long,to_word:long>>, factors array<struct<from_word:long,length:long,source_id:long,source_word:long>>"
+_MORE = "disputed array<struct<at:long,hash:long>>, place long, checksum long, batch long"
 
 
 def factors(known: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -98,19 +100,67 @@ def _runs(at: np.ndarray, *same: np.ndarray, most: int | None = None) -> tuple[n
 
 
 
-def _factor_rows(batch: int, seeds: _Seeds, k: np.ndarray, n: np.ndarray, source_id: np.ndarray, source_word: np.ndarray) -> pa.Table:
-    """Rows of factors that begin at the seeds k; a null source marks a disputed seed."""
-    gone = source_word < 0
-    return pa.table(
-        {
-            "batch": pa.array(np.full(len(k), batch), pa.int64()),
-            "at": pa.array(seeds.at[k], pa.int64()),
-            "n": pa.array(n, pa.int32()),
-            "source_id": pa.array(source_id, pa.int64(), mask=gone),
-            "source_word": pa.array(source_word, pa.int64(), mask=gone),
-            "hash": pa.array(seeds.hash[k].view(np.int64)),
-        }
-    )
+class _Parse(NamedTuple):
+    """Factors of a batch's texts by their first seed's word: windows, source and place in it."""
+
+    at: np.ndarray
+    n: np.ndarray
+    source_id: np.ndarray
+    source_word: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple]) -> _Parse:
+        columns = [np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(4)]
+        order = np.lexsort((columns[1], columns[0]))
+        return _Parse(*(c[order] for c in columns))
+
+
+def _rows(texts: pa.Table, window: int, parse: _Parse, disputed: tuple[np.ndarray, np.ndarray] | None, keep_text: bool) -> dict[str, pa.Array]:
+    """The result's columns for a batch, given its factors."""
+    buf, text_at = W.text_buffer(texts["text"])
+    w = W.words(buf, text_at, W.spaced_words())
+    at, n, source, word = parse
+    known = np.zeros(len(w.start), bool)
+    known[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
+    # pieces that go on where the one before ends, in the same source, are one factor
+    head = np.append(True, (np.diff(at) != n[:-1]) | (np.diff(word) != n[:-1]) | (np.diff(source) != 0))[: len(at)]
+    begin = np.flatnonzero(head)
+    length = np.add.reduceat(n, begin) + window - 1 if len(begin) else np.zeros(0, np.int64)
+    text_of = np.searchsorted(w.first, at[begin], "right") - 1
+    own = at[begin] - w.first[text_of]
+    removed, shas, spans, kept_texts = [], [], [], []
+    raw = buf.tobytes()
+    for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+        found = factors(known[a:b], b - a, window)
+        whole = raw[text_at[d] : text_at[d + 1]]
+        kept = whole.split()
+        gone = 0
+        for x, y in reversed(found):
+            del kept[x:y]
+            gone += y - x
+        kept = b" ".join(kept)
+        removed.append(gone)
+        shas.append(hashlib.sha256(kept).hexdigest())
+        spans.append([{"from_word": x, "to_word": y} for x, y in found])
+        if keep_text:
+            kept_texts.append((kept if gone else whole).decode())
+    texts_upto = np.arange(len(w.first))
+    columns = {"doc_id": texts["doc_id"], "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+    columns["spans"] = pa.array(spans, pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())])))
+    columns["factors"] = _lists(np.searchsorted(text_of, texts_upto), from_word=own, length=length, source_id=source[begin], source_word=word[begin])
+    if keep_text:
+        columns["kept_text"] = pa.array(kept_texts, pa.string())
+    if disputed is not None:
+        k, h = disputed
+        columns["disputed"] = _lists(np.searchsorted(k, w.first), at=k, hash=h.view(np.int64))
+        columns["place"] = pa.array(texts_upto[:-1], pa.int64())
+        columns["checksum"] = pa.array(np.full(len(texts), _checksum(texts)), pa.int64())
+    return columns
+
+
+def _lists(upto: np.ndarray, **fields: np.ndarray) -> pa.Array:
+    structs = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), structs)
 
 
 def _checksum(texts: pa.Table) -> int:
@@ -120,10 +170,10 @@ def _checksum(texts: pa.Table) -> int:
     return zlib.crc32(ids.tobytes(), zlib.crc32(offsets.tobytes(), zlib.crc32(buf)))
 
 
-def _parsed(packed: DataFrame, parts: int, buckets: int, window: int, seed_bits: int) -> DataFrame:
-    """Checked factors: ``batch, at`` (word of the batch)``, n`` (windows)``, source_id,
-    source_word, hash``; the source is null where a seed's words differ from its source's.
-    One row a batch has ``at`` -1 and the checksum of the batch as its hash."""
+def _parsed(packed: DataFrame, kind: str, parts: int, buckets: int, window: int, seed_bits: int) -> DataFrame:
+    """The result's rows, with checked factors, by ``batch`` and ``place`` in it; ``disputed``
+    names the seeds (word of the batch, hash) whose words differ from their source's, and
+    ``checksum`` stands for the batch's texts."""
 
     def seeds(texts: pa.Table) -> _Seeds:
         return _Seeds(unpack(texts), window, seed_bits)
@@ -147,7 +197,8 @@ def _parsed(packed: DataFrame, parts: int, buckets: int, window: int, seed_bits:
         return out
 
     def foreign(s: _Seeds, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seeds that only another batch can hold earlier, as pieces: (seed, windows, batch)."""
+        """Seeds that only another batch can hold earlier, as pieces: (seed, windows, batch).
+        A jump of the source's place by a multiple of 256 goes unnoticed here."""
         _, least, number = s.distinct()
         source = source[number] if len(number) else np.zeros(0, np.int64)
         k = np.flatnonzero((source >= 0) & (s.doc <= s.doc[least][number]))
@@ -157,23 +208,33 @@ def _parsed(packed: DataFrame, parts: int, buckets: int, window: int, seed_bits:
 
     def want(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _wanted(0, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0), np.zeros(0))
+            z = np.zeros(0, np.int64)
+            return _wanted(0, z, z.view(U), z.view(U), z, z)
         s = seeds(texts)
         k, n, source = foreign(s, values_of(replies))
-        return _wanted(texts["batch"][0].as_py(), source, s.hash[k], s.at[k], n)
+        return _wanted(texts["batch"][0].as_py(), source, s.hash[k], s.hash[k + n - 1], s.at[k], n)
 
     def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        """The words from a seed's first place in this block on, ``n`` windows of them (fewer
-        where the text ends), with the source's id and the place in it."""
+        """The words from the first seed's place in this block on, ``n`` windows of them (fewer
+        where the text ends), with the source's id and the place in it; and where the last
+        seed's place is not n - 1 words further, the windows that end there (from ``skip``)."""
         if not texts.num_rows or not wanted.num_rows:
-            return _fetched(wanted, [], [], [])
+            return _fetched(wanted.slice(0, 0), [], [], [], [])
         s = seeds(texts)
         hashes, least, _ = s.distinct()
-        k = least[np.searchsorted(hashes, wanted["hash"].to_numpy().view(U))]
-        last = np.minimum(s.at[k] + wanted["n"].to_numpy() + window - 1, s.words.first[s.row[k] + 1]) - 1
+        n = wanted["n"].to_numpy().astype(np.int64)
+        head, tail = (least[np.searchsorted(hashes, wanted[c].to_numpy().view(U))] for c in ("hash", "tail"))
+        end = s.words.first[s.row[head] + 1]
+        stop = np.minimum(s.at[head] + n + window - 1, end)
+        jump = np.flatnonzero(s.at[tail] != s.at[head] + n - 1)
+        first = np.maximum(s.at[tail] - n + 1, s.words.first[s.row[tail]])[jump]
+        which = np.append(np.arange(len(n)), jump)
+        seed = np.append(head, tail[jump])
+        begin, stop = np.append(s.at[head], first), np.append(stop, s.at[tail][jump] + window)
+        skip = np.append(np.zeros(len(n), np.int64), n[jump] - 1 - (s.at[tail][jump] - first))
         raw = s.buf.tobytes()
-        text = [raw[a:z] for a, z in zip(s.words.start[s.at[k]].tolist(), s.words.end[last].tolist(), strict=True)]
-        return _fetched(wanted, s.doc[k], s.word_in_text(k), text)
+        text = [raw[a:z] for a, z in zip(s.words.start[begin].tolist(), s.words.end[stop - 1].tolist(), strict=True)]
+        return _fetched(wanted.take(pa.array(which)), skip, s.doc[seed], begin - s.words.first[s.row[seed]], text)
 
     def check(texts: pa.Table, found: pa.Table) -> pa.Table:
         """Compare the words of every factor with its source's."""
@@ -181,85 +242,85 @@ def _parsed(packed: DataFrame, parts: int, buckets: int, window: int, seed_bits:
         s = _Seeds(texts, window, seed_bits)
         code, dictionary = W.codes(s.buf, s.words)
         _, least, number = s.distinct()
-        mark = [[batch], [-1], [0], [None], [0], [_checksum(texts)]]
-        out = [pa.table([pa.array(x, t) for x, t in zip(mark, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["batch", "at", "n", "source_id", "source_word", "hash"])]
+        asked_for, done = np.zeros(len(s.at), bool), np.zeros(len(s.at), bool)
         # seeds whose first document is in this batch: the source is here
         k = np.flatnonzero(s.doc > s.doc[least][number])
         source = least[number[k]]
         good = np.ones(len(k), bool)
         for j in range(window):
             good &= code[s.at[k] + j] == code[s.at[source] + j]
+        asked_for[k], done[k[good]] = True, True
         first, n = _runs(s.at[k[good]], s.at[source[good]] - s.at[k[good]])
         begin = source[good][first]
-        out.append(_factor_rows(batch, s, k[good][first], n, s.doc[begin], s.word_in_text(begin)))
-        bad = [k[~good]]
+        parts = [(s.at[k[good][first]], n, s.doc[begin], s.word_in_text(begin))]
+        del least, number, source, begin
         # seeds of other blocks: their words came with them
         if found.num_rows:
-            place = found["at"].to_numpy()
-            text = found["text"].combine_chunks().fill_null(b"").cast(pa.large_string())
-            raw, offsets = W.text_buffer(text)
+            skip = found["skip"].fill_null(0).to_numpy()
+            place, counts = found["at"].to_numpy() + skip, found["n"].to_numpy().astype(np.int64) - skip
+            raw, offsets = W.text_buffer(found["text"].combine_chunks().fill_null(b"").cast(pa.large_string()))
             w = W.words(raw, offsets, W.spaced_words())
             theirs, _ = W.codes(raw, w, dictionary)
-            ids, words, counts = found["source_id"].fill_null(_TOP).to_numpy(), found["source_word"].fill_null(-1).to_numpy(), found["n"].to_numpy()
+            ids, words = found["source_id"].fill_null(_TOP).to_numpy(), found["source_word"].fill_null(0).to_numpy()
             seed = np.searchsorted(s.at, place)
-            # neighbouring words of a piece, and where each piece's words begin
             size = np.minimum(counts + window - 1, np.diff(w.first))
-            begin = np.repeat(np.cumsum(size) - size, size)
-            step = np.arange(size.sum()) - begin
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             equal = code[np.repeat(place, size) + step] == theirs[np.repeat(w.first[:-1], size) + step]
             total = np.append(0, np.cumsum(equal))
             # window j of piece p is known if its words are equal and the source is earlier
             p = np.repeat(np.arange(len(counts)), counts)
             j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = (np.cumsum(size) - size)[p] + j
             inside = j + window <= size[p]
-            a = np.where(inside, start, 0)
+            a = np.where(inside, (np.cumsum(size) - size)[p] + j, 0)
             good = inside & (total[np.minimum(a + window, len(total) - 1)] - total[a] == window) & (ids[p] < s.doc[seed[p]])
+            asked_for[seed[p] + j] = True
+            good &= ~done[seed[p] + j]
+            done[seed[p] + j] |= good
             first, n = _runs(place[p[good]] + j[good], p[good])
             p1, j1 = p[good][first], j[good][first]
-            out.append(_factor_rows(batch, s, seed[p1] + j1, n, ids[p1], words[p1] + j1))
-            bad.append(seed[p[~good]] + j[~good])
-        b = np.unique(np.concatenate(bad))
-        out.append(_factor_rows(batch, s, b, np.ones(len(b), np.int64), np.zeros(len(b), np.int64), np.full(len(b), -1)))
+            parts.append((place[p1] + j1, n, ids[p1], words[p1] + j1))
+        bad = np.flatnonzero(asked_for & ~done)
+        disputed = s.at[bad], s.hash[bad]
+        del s, code, dictionary
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(out)
+        columns = _rows(texts, window, _Parse.of(parts), disputed, False)
+        return pa.table(columns | {"batch": pa.array(np.full(len(texts), batch), pa.int64())})
 
     asks = asked(packed, buckets, ask).repartition(buckets, "bucket")
     packed = packed.repartition(parts, "batch")
     by_batch = packed.groupBy("batch")
     replied = answered(asks, answer)
-    wanted = by_batch.cogroup(replied.groupBy("batch")).applyInArrow(want, "batch long, source long, hash long, at long, n int")
+    wanted = by_batch.cogroup(replied.groupBy("batch")).applyInArrow(want, "batch long, source long, hash long, tail long, at long, n int")
     # however many batches want the same words, their block is asked for them once
-    once = wanted.select("source", "hash", "n").distinct()
-    fetched = by_batch.cogroup(once.groupBy("source")).applyInArrow(fetch, "source long, hash long, n int, source_id long, source_word long, text binary")
-    found = wanted.join(fetched, ["source", "hash", "n"], "left")
-    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(check, _FACTOR)
+    once = wanted.select("source", "hash", "tail", "n").distinct()
+    fetched = by_batch.cogroup(once.groupBy("source")).applyInArrow(fetch, "source long, hash long, tail long, n int, skip long, source_id long, source_word long, text binary")
+    found = wanted.join(fetched, ["source", "hash", "tail", "n"], "left")
+    return by_batch.cogroup(found.groupBy("batch")).applyInArrow(check, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, {_SPANS}, {_MORE}")
 
 
-def _wanted(batch: int, source: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
+def _wanted(batch: int, source: np.ndarray, hashes: np.ndarray, tail: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
     return pa.table(
         {
             "batch": pa.array(np.full(len(source), batch), pa.int64()),
             "source": pa.array(source, pa.int64()),
             "hash": pa.array(hashes.view(np.int64)),
+            "tail": pa.array(tail.view(np.int64)),
             "at": pa.array(at.astype(np.int64)),
             "n": pa.array(n.astype(np.int32)),
         }
     )
 
 
-def _fetched(wanted: pa.Table, ids, words, text: list[bytes]) -> pa.Table:
-    if not len(text):
-        wanted = wanted.slice(0, 0)
-    columns = [wanted[c] for c in ("source", "hash", "n")]
-    columns += [pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(text, pa.binary())]
-    return pa.table(columns, ["source", "hash", "n", "source_id", "source_word", "text"])
+def _fetched(wanted: pa.Table, skip, ids, words, text: list[bytes]) -> pa.Table:
+    columns = [wanted[c] for c in ("source", "hash", "tail", "n")]
+    columns += [pa.array(skip, pa.int64()), pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(text, pa.binary())]
+    return pa.table(columns, ["source", "hash", "tail", "n", "skip", "source_id", "source_word", "text"])
 
 
-def _disputed(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int) -> DataFrame:
-    """Exact factors of one window each for the seeds whose hash belongs to several word
-    sequences: those windows are grouped by their words."""
-    hashes = checkpointed(parsed.where("source_word IS NULL").select("hash").distinct())
+def _settled(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int) -> DataFrame:
+    """``batch, at, source_id, source_word`` of the seeds that start in an earlier document,
+    among all whose hash is disputed: those windows are grouped by their words."""
+    hashes = checkpointed(parsed.select(F.explode("disputed.hash").alias("hash")).distinct())
     few = hashes.count() <= BROADCAST_HASHES
     chosen = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if few else None
 
@@ -280,7 +341,7 @@ def _disputed(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int)
     rows = checkpointed(rows)
     first = rows.groupBy("text").agg(F.min(F.struct("doc", "word")).alias("first"))
     known = rows.join(first, "text").where("first.doc < doc")
-    return known.select("batch", "at", F.lit(1).alias("n"), F.col("first.doc").alias("source_id"), F.col("first.word").alias("source_word"), "hash")
+    return known.select("batch", "at", F.col("first.doc").alias("source_id"), F.col("first.word").alias("source_word"))
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: bool = False, seed_bits: int = 64) -> DataFrame:
@@ -297,68 +358,63 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     than every other. Extra columns are ignored; an empty table gives an empty result.
     ``seed_bits``: how much of a seed's hash is used; fewer bits give the same result.
 
-    The input is read twice, and has to be the same rows in the same partitions (files,
-    tables and checkpoints are); if it isn't, the second reading fails.
+    Where texts are returned or two seeds share a hash, the input is read twice, and has to
+    be the same rows in the same partitions (files, tables and checkpoints are); if it
+    isn't, the second reading fails.
     """
     n_rows, n_bytes = text_volume(df, text_col)
     parts = cells_for(n_bytes + 64 * n_rows, PART_BYTES, 12)
     buckets = cells_for(n_bytes // _BYTES_PER_WORD, BUCKET_HASHES, 12)
+    kind = df.schema[id_col].dataType.simpleString()
     packed = deal(df, id_col, text_col)
-    parsed = checkpointed(_parsed(packed, parts, buckets, window, seed_bits))
-    parse = parsed.where("source_word IS NOT NULL")
-    if not parsed.where("source_word IS NULL").isEmpty():
-        parse = parse.unionByName(checkpointed(_disputed(packed, parsed, window, seed_bits)))
-    if carry:
+    parsed = checkpointed(_parsed(packed, kind, parts, buckets, window, seed_bits))
+    result = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors"]
+    none = F.lit(None).cast("long")
+    marks = parsed.select("batch", "place", "factors", "checksum", none.alias("at"), none.alias("source_id"), none.alias("source_word"))
+    if not parsed.where(F.size("disputed") > 0).isEmpty():
+        settled = checkpointed(_settled(packed, parsed, window, seed_bits))
+        extra = settled.select("batch", none.alias("place"), F.lit(None).cast(parsed.schema["factors"].dataType).alias("factors"), none.alias("checksum"), "at", "source_id", "source_word")
+        marks = marks.unionByName(extra)
+        again = settled.select("batch").distinct()
+    elif not (keep_text or carry):
+        return parsed.select(*result)
+    else:
+        again = None
+    if keep_text or carry:
         packed = deal(df, id_col, text_col, carry)
-
-    def finish(texts: pa.Table, parse: pa.Table) -> pa.Table:
+        same = None
+    else:  # only batches with disputed seeds change
+        again = checkpointed(again)
+        some = F.broadcast(again) if again.count() <= BROADCAST_HASHES else again
+        same = parsed.join(some, "batch", "left_anti").select(*result)
+        packed, marks = packed.join(some, "batch", "left_semi"), marks.join(some, "batch", "left_semi")
+
+    def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
         texts = unpack(texts) if texts.num_rows else texts
-        mark = np.flatnonzero(parse["at"].to_numpy() < 0)
-        if len(mark) != 1 or not texts.num_rows or parse["hash"][int(mark[0])].as_py() != _checksum(texts):
+        rows = marks.filter(pc.is_valid(marks["place"])).sort_by("place").combine_chunks()
+        if not rows.num_rows or rows.num_rows != texts.num_rows or rows["checksum"][0].as_py() != _checksum(texts):
             raise RuntimeError("the input has changed since it was parsed; checkpoint it first")
-        parse = parse.filter(pc.greater_equal(parse["at"], 0))
-        buf, text_at = W.text_buffer(texts["text"])
-        w = W.words(buf, text_at, W.spaced_words())
-        known = np.zeros(len(w.start), bool)
-        order = np.lexsort((parse["n"].to_numpy(), parse["at"].to_numpy()))
-        at, n, source, word = (parse[c].to_numpy()[order] for c in ("at", "n", "source_id", "source_word"))
-        known[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
-        # pieces that go on where the one before ends, in the same source, are one factor
-        head = np.append(True, (np.diff(at) != n[:-1]) | (np.diff(word) != n[:-1]) | (np.diff(source) != 0))[: len(at)]
-        begin = np.flatnonzero(head)
-        length = np.add.reduceat(n, begin) + window - 1 if len(begin) else np.zeros(0, np.int64)
-        text_of = np.searchsorted(w.first, at[begin], "right") - 1
-        per_text = np.searchsorted(text_of, np.arange(len(w.first)))
-        own = at[begin] - w.first[text_of]
-        columns = {"doc_id": texts["doc_id"]}
-        removed, shas, spans, kept_texts = [], [], [], []
-        raw = buf.tobytes()
-        for d, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-            found = factors(known[a:b], b - a, window)
-            whole = raw[text_at[d] : text_at[d + 1]]
-            kept = whole.split()
-            gone = 0
-            for x, y in reversed(found):
-                del kept[x:y]
-                gone += y - x
-            kept = b" ".join(kept)
-            removed.append(gone)
-            shas.append(hashlib.sha256(kept).hexdigest())
-            spans.append([{"from_word": x, "to_word": y} for x, y in found])
-            if keep_text:
-                kept_texts.append((kept if gone else whole).decode())
-        columns |= {"n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
-        columns["spans"] = pa.array(spans, pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())])))
-        parts = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (own, length, source[begin], word[begin])], ["from_word", "length", "source_id", "source_word"])
-        columns["factors"] = pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), parts)
-        if keep_text:
-            columns["kept_text"] = pa.array(kept_texts, pa.string())
+        w = W.words(*W.text_buffer(texts["text"]), W.spaced_words())
+        lists = rows["factors"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        own = lists.flatten()
+        column = lambda c: own.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.repeat(w.first[:-1], pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        parts = [(start + column("from_word"), column("length") - window + 1, column("source_id"), column("source_word"))]
+        extra = marks.filter(pc.is_null(marks["place"]))
+        if extra.num_rows:
+            known = np.zeros(len(w.start) + 1, bool)
+            known[np.repeat(parts[0][0] - (np.cumsum(parts[0][1]) - parts[0][1]), parts[0][1]) + np.arange(parts[0][1].sum())] = True
+            at, source, word = (extra[c].to_numpy() for c in ("at", "source_id", "source_word"))
+            new = ~known[at]
+            parts.append((at[new], np.ones(new.sum(), np.int64), source[new], word[new]))
+        columns = _rows(texts, window, _Parse.of(parts), None, keep_text)
         return pa.table(columns | ({"row": texts["row"]} if carry else {}))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<from_word:long,to_word:long>>, factors array<struct<from_word:long,length:long,source_id:long,source_word:long>>"
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, {_SPANS}" + ", kept_text string" * keep_text
     if carry:
         others = StructType([f for f in df.schema.fields if f.name != text_col])
-        more = f", row {others.simpleString()}"
-    schema += ", kept_text string" * keep_text + (more if carry else "")
-    return packed.repartition(parts, "batch").groupBy("batch").cogroup(parse.groupBy("batch")).applyInArrow(finish, schema)
+        schema += f", row {others.simpleString()}"
+    out = packed.repartition(parts, "batch").groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(finish, schema)
+    return out if same is None else out.unionByName(same)

@@ -149,6 +149,16 @@ def test_substring_batches_and_long_texts(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute_windows(texts, [3, 4] + [5] * 25 + [6] * 25)
 
 
+def test_source_that_jumps_by_256_words(spark):
+    """The seeds of document 2 follow each other in document 1 but for one jump that their
+    places' last bytes don't show."""
+    x, y, filler = ([f"{c}{k}" for k in range(n)] for c, n in (("x", 40), ("y", 30), ("f", 244)))
+    texts = [" ".join([*x, *filler, *x[28:], *y]), " ".join(["own", *x, *y, "own"])]
+    r = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, texts, [1, 2])).collect()}[2]
+    assert r["n_removed"] == 70 and [tuple(s) for s in r["spans"]] == [(1, 71)]
+    assert [tuple(f) for f in r["factors"]] == [(1, 40, 1, 0), (29, 42, 1, 284)]
+
+
 def test_batches_hold_whole_rows(spark):
     df = docs(spark, ["a" * 100, None, "b" * 5000, "c"])
     packed = roundtrip.deal(df, "doc_id", "text", True, batch_bytes=300).collect()
