@@ -65,9 +65,10 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
         total = np.add.reduceat(beside[0][keys].astype(np.int64), head) if len(h) else np.zeros(0, np.int64)
         out = np.empty(len(h), np.int64)
         out[keys] = np.repeat(total, _sizes(head, len(h)))
-        return out
+        return out - beside[0]  # of the other batches: mostly 0, and so small when packed
 
-    def finish(texts: pa.Table, asked: np.ndarray, total: np.ndarray) -> pa.Table:
+    def finish(texts: pa.Table, asked: np.ndarray, beside: list[np.ndarray], others: np.ndarray) -> pa.Table:
+        total = beside[0].astype(np.int64) + others
         w = read(texts)
         n_docs, m = len(w.first) - 1, len(w.hash)
         doc = w.doc()

@@ -72,7 +72,7 @@ def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False, batch_b
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         at = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
@@ -172,7 +172,7 @@ def values_of(replies: pa.Table) -> np.ndarray:
 
 
 def round_trip(packed: DataFrame, parts: int, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Ask, answer and finish(texts, hashes, values) -> table of one batch. ``parts``:
+    """Ask, answer and finish(texts, hashes, [arrays], values) -> table of one batch. ``parts``:
     partitions of the batches, so that tasks don't grow with the input.
 
     ``ask`` is computed again when the answers are back: cheaper than keeping it.
@@ -180,9 +180,9 @@ def round_trip(packed: DataFrame, parts: int, buckets: int, ask: Callable, answe
 
     def end(texts: pa.Table, replies: pa.Table) -> pa.Table:
         texts = unpack(texts)
-        hashes, _ = ask(texts)
+        hashes, beside = ask(texts)
         pa.default_memory_pool().release_unused()
-        return finish(texts, hashes, values_of(replies))
+        return finish(texts, hashes, beside, values_of(replies))
 
     replied = answered(asked(packed, buckets, ask).repartition(buckets, "bucket"), answer)
     return packed.repartition(parts, "batch").groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)

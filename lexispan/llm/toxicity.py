@@ -39,8 +39,8 @@ GAP = 2  # tokens between two strong words that belong to their span
 STRETCH, MARGIN = 2048, 32  # tokens of a long text scored at a time, and their context
 SEGMENT = 128  # tokens of a training sequence
 SEQUENCES = 4096  # training sequences worked on at a time
-SLICE_BYTES = 16 << 20  # text scored at a time
-CELLS = 1 << 20  # padded tokens scored at a time
+SLICE_BYTES = 4 << 20  # text scored at a time
+CELLS = 1 << 19  # padded tokens scored at a time
 
 
 class Model(NamedTuple):
@@ -60,7 +60,7 @@ class _Features(dict):
         self.lexicon, self.endings = lexicon, endings
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         w = token.lower()
         k = self.lexicon.get(w)
