@@ -45,29 +45,42 @@ def candidates(joined: DataFrame, split: DataFrame, min_joined: int = MIN_JOINED
     return rows
 
 
-def close_gaps(df: DataFrame, pairs: DataFrame, key: str, text_col: str = "text", letters: str = HANGUL, rounds: int = 4) -> DataFrame:
+def close_gaps(df: DataFrame, pairs: DataFrame, text_col: str = "text", letters: str = HANGUL, rounds: int = 4) -> DataFrame:
     """Close the gap of every non-overlapping ``run run`` whose junction is a
     candidate, up to ``rounds`` times (a gap skipped by an overlap is met again).
 
-    Matches are exploded with their position, joined to the candidates and put back
-    between the unmatched parts: no broadcast of a set that could grow.
+    What a text may close depends on the text alone: the junctions of the distinct texts
+    are joined to the candidates once and come back as one set a text, and the rounds run
+    inside the row. Rows need no key; rows that are equal, null texts and other columns
+    stay as they are.
     """
-    pattern = f"[{letters}]+ [{letters}]+"
-    keys = pairs.select(F.col("pair").alias("_pair")).distinct()
-    for _ in range(rounds):
-        found = df.select(key, F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))).alias("_i", "_m"))
-        found = found.withColumn("_pair", _junction(F.col("_m"))).join(keys.withColumn("_yes", F.lit(True)), "_pair", "left")
-        fixed = F.when(F.col("_yes"), F.replace("_m", F.lit(" "), F.lit(""))).otherwise(F.col("_m"))
-        parts = F.array_sort(F.collect_list(F.struct("_i", fixed.alias("_v"))))
-        fixes = found.groupBy(key).agg(F.transform(parts, lambda x: x["_v"]).alias("_fixed"))
-        df = df.join(fixes, key, "left")
-        between = F.split(text_col, pattern, -1)
-        put = F.array_join(F.zip_with(between, F.col("_fixed"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        df = df.withColumn(text_col, F.when(F.col("_fixed").isNotNull(), put).otherwise(F.col(text_col))).drop("_fixed")
-    return df
-
-
-def repair(df: DataFrame, key: str, text_col: str = "text", letters: str = HANGUL, **settings) -> DataFrame:
+    text = F.col(text_col)
+    # a lookahead finds the gaps of "a b c" that overlap as well
+    gaps = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?=([{letters}] [{letters}]))"), F.lit(1)), lambda g: F.replace(g, F.lit(" "), F.lit(""))))
+    rows = df.withColumn("_text", F.sha2(text, 256))
+    found = rows.select("_text", F.explode(gaps).alias("pair")).distinct().join(pairs.select("pair").distinct(), "pair")
+    closing = found.groupBy("_text").agg(F.collect_set("pair").alias("_close"))
+    pattern = F.lit(f"[{letters}]+ [{letters}]+")
+
+    def once(t: F.Column) -> F.Column:
+        fixed = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda m: F.when(F.array_contains("_close", _junction(m)), F.replace(m, F.lit(" "), F.lit(""))).otherwise(m))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), fixed, lambda between, m: F.concat(between, F.coalesce(m, F.lit("")))), "")
+
+    closed = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda t, _: once(t))
+    out = rows.join(closing, "_text", "left").withColumn(text_col, F.when(F.col("_close").isNotNull(), closed).otherwise(text))
+    return out.drop("_text", "_close").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def repair(df: DataFrame, text_col: str = "text", letters: str = HANGUL, **settings) -> DataFrame:
     """Statistics over all texts, then the repair of every text."""
     found = candidates(joined_pairs(df, text_col, letters), split_pairs(df, text_col, letters), **settings)
-    return close_gaps(df, found, key, text_col, letters)
+    return close_gaps(df, found, text_col, letters)
+
+
+def correction_counts(before: DataFrame, after: DataFrame, key: str, pairs: DataFrame, text_col: str = "text", letters: str = HANGUL) -> DataFrame:
+    """``pair, n``: how often each candidate's gap was closed, from the texts before and
+    after the repair, with ``key`` unique in both."""
+    gaps = lambda df, n: df.select(key, F.explode(F.regexp_extract_all(text_col, F.lit(f"(?=([{letters}] [{letters}]))"), F.lit(1))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias(n))
+    both = gaps(before, "had").join(gaps(after, "has"), "g", "left")
+    counts = both.select(F.replace("g", F.lit(" "), F.lit("")).alias("pair"), (F.col("had") - F.coalesce("has", F.lit(0))).alias("n"))
+    return counts.join(pairs.select("pair"), "pair").where("n > 0")

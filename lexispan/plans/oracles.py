@@ -104,6 +104,25 @@ jp AS (SELECT substring(r, i, 2) AS pair, count(*)::BIGINT AS joined FROM (SELEC
 sp AS (SELECT right(string_split(m, ' ')[1], 1) || left(string_split(m, ' ')[2], 1) AS pair, count(*)::BIGINT AS split FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+ [a-z]+')) AS m FROM documents) GROUP BY 1)"""
 _CELL = f"'<td>' || replace({_escape('x')}, chr(10), '<br>') || '</td>'"
 
+_CAND = "cand AS (SELECT pair FROM sp JOIN jp USING (pair) WHERE joined >= 15 AND joined / (joined + split) >= 0.9 AND left(pair, 1) NOT IN ('x', 'q') AND pair <> 'he')"
+
+
+def _round(k: int) -> str:
+    """One pass over every non-overlapping pair of runs."""
+    t = f"t{k - 1}"
+    m = f"regexp_extract_all({t}, '[a-z]+ [a-z]+')"
+    return f"""f{k} AS (SELECT doc_id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN m[i] IS NULL THEN '' WHEN list_contains(close,
+  regexp_extract(m[i], '([a-z]) ([a-z])', 1) || regexp_extract(m[i], '([a-z]) ([a-z])', 2)) THEN replace(m[i], ' ', '') ELSE m[i] END), '') AS t{k}
+  FROM (SELECT doc_id, {m} AS m, regexp_split_to_array({t}, '[a-z]+ [a-z]+') AS b, close FROM f{k - 1}, (SELECT list(pair) AS close FROM cand)))"""
+
+
+def _gaps(text: str, source: str) -> str:
+    return f"""SELECT x[i] || x[i + 2] AS pair, count(*) AS n FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM (SELECT string_split({text}, '') AS x FROM {source}))
+WHERE x[i + 1] = ' ' AND regexp_matches(x[i], '^[a-z]$') AND regexp_matches(x[i + 2], '^[a-z]$') GROUP BY 1"""
+
+
+_FIXED = f"{_PAIRS}, {_CAND}, f0 AS (SELECT doc_id, text AS t0 FROM documents), " + ", ".join(map(_round, (1, 2, 3, 4)))
+
 ORACLES = {
     "list_by_seq": f"{_LIST} AND category_l0 = 'BUILDING' ORDER BY seq, id {_PAGE}",
     "list_by_title": f"{_LIST} AND category_l0 = 'BUILDING' ORDER BY title, id {_PAGE}",
@@ -210,6 +229,14 @@ SELECT l_orderkey AS doc, CASE WHEN bool_or(l_linenumber = 1) THEN 'name of ' ||
     "bigram_joined": f"WITH {_PAIRS} SELECT pair, joined FROM jp",
     "bigram_split": f"WITH {_PAIRS} SELECT pair, split FROM sp",
     "bigram_candidates": f"WITH {_PAIRS} SELECT pair, joined, split FROM sp JOIN jp USING (pair) WHERE joined >= 15 AND joined / (joined + split) >= 0.9 AND left(pair, 1) NOT IN ('x', 'q') AND pair <> 'he'",
+    "spacing_fix": f"WITH {_FIXED} SELECT doc_id, length(t4) AS n, md5(t4) AS text_md5 FROM f4",
+    "spacing_corrections": f"""WITH {_FIXED}, had AS ({_gaps("text", "documents")}), has AS ({_gaps("t4", "f4")}),
+c AS (SELECT pair, had.n - coalesce(has.n, 0) AS n FROM had LEFT JOIN has USING (pair) JOIN cand USING (pair)) SELECT pair, n::BIGINT AS n FROM c WHERE n > 0 ORDER BY n DESC, pair LIMIT 20""",
+    "word_rows": """WITH RECURSIVE w AS (SELECT l_orderkey AS doc, l_linenumber::DOUBLE AS x0, l_quantity AS y0, l_partkey::VARCHAR AS word,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey::VARCHAR) AS k FROM lineitem),
+r AS (SELECT doc, x0, y0, word, k, y0 AS anchor, 0 AS n FROM w WHERE k = 1
+  UNION ALL SELECT w.doc, w.x0, w.y0, w.word, w.k, CASE WHEN abs(w.y0 - r.anchor) > 3 THEN w.y0 ELSE r.anchor END, r.n + (abs(w.y0 - r.anchor) > 3)::INT FROM r JOIN w ON w.doc = r.doc AND w.k = r.k + 1)
+SELECT doc, n AS "row", string_agg(word, ' ' ORDER BY x0, y0, word) AS text, min(y0) AS y0 FROM r GROUP BY doc, n""",
     "best_match": f"""WITH a AS (SELECT item_id, {_shingles(_BARE("text"))} AS n FROM benchmark), p AS (SELECT item_id, n, unnest([item_id, item_id + 1]) AS page FROM a),
 s AS (SELECT item_id, page, doc_id AS tbl, {_containment("n", _BARE("text"))} AS score FROM p JOIN documents ON doc_id % 200 = page),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page, tbl) = 1)

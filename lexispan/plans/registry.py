@@ -270,12 +270,11 @@ def committee_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lineitem = table(spark, sf_dir, "lineitem")
     old = F.when(F.col("l_linenumber") == 1, "(신설)").otherwise(F.concat(F.lit("제"), F.col("l_linenumber").cast("string"), F.lit("조("), F.col("l_returnflag"), F.lit(") **old**<br>text")))
     new = F.when(F.col("l_linenumber") == 2, "삭제").otherwise(F.concat(F.lit("제"), F.col("l_linenumber").cast("string"), F.lit("조의2("), F.col("l_linestatus"), F.lit(") <u>new</u>")))
     line = F.concat(F.lit("| "), old, F.lit(" | "), new, F.lit(" |"))
     blocks = lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("|현행규정|개정(안)|\n|---|---|\nnote\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
-    del orders
     out = reconcile.comparison_changes(blocks)
     return out.groupBy("l_orderkey", "article_no", "article_sub_no", "article_title", "old_body", "new_body").agg(F.count(F.lit(1)).alias("n"))
 
@@ -446,10 +445,19 @@ def bigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def spacing_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = spacing.close_gaps(docs, _candidates(spark, sf_dir), "doc_id", "text", LETTERS, rounds=4)
+    out = spacing.close_gaps(docs, _candidates(spark, sf_dir), "text", LETTERS, rounds=4)
     return out.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
+@query
+def spacing_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty pairs whose gaps were closed most often."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = _candidates(spark, sf_dir)
+    fixed = spacing.close_gaps(docs, pairs, "text", LETTERS, rounds=4)
+    return spacing.correction_counts(docs, fixed, "doc_id", pairs, "text", LETTERS).orderBy(F.desc("n"), "pair").limit(20)
+
+
 def _attachments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("doc"), F.col("item_id").alias("attachment"), F.col("item_id").alias("start_page"), (F.col("item_id") + 1).alias("end_page"), "text")
     docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("doc"), (F.col("doc_id") % 200).alias("page"), F.col("doc_id").alias("tbl"), "text")

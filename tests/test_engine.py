@@ -73,10 +73,18 @@ def test_spacing_equals_the_callback(spark):
 
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     table = spark.createDataFrame([(p,) for p in pairs], "pair string")
-    got = {r["id"]: r["text"] for r in spacing.close_gaps(df, table, "id", letters="a-c").collect()}
+    got = {r["id"]: r["text"] for r in spacing.close_gaps(df, table, letters="a-c").collect()}
     assert got == {k: fix(t) for k, t in enumerate(texts)}
 
 
+def test_spacing_of_repeated_and_null_keys(spark):
+    rows = [(1, "a b c d"), (1, "x y z"), (None, "a b"), (None, "a b"), (2, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    out = spacing.close_gaps(df, spark.createDataFrame([("ab",), ("bc",)], "pair string"), letters="a-z")
+    assert out.columns == df.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, "abc d"), (1, "x y z"), (None, "ab"), (None, "ab"), (2, None)], key=str)
+
+
 def test_spacing_statistics(spark):
     df = spark.createDataFrame([("가나다 라마 가나",), ("가",), (None,)], "text string")
     assert {(r["pair"], r["joined"]) for r in spacing.joined_pairs(df).collect()} == {("가나", 2), ("나다", 1), ("라마", 1)}
