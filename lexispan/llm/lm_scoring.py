@@ -45,7 +45,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     text = F.col(text_col)
     size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.sum(F.regexp_count(text, F.lit(WORD)))).first()
     n_rows, n_bytes, n_words = (int(x or 0) for x in size)
-    packed = deal(df, id_col, text_col, batch_bytes=BATCH_BYTES)
+    batches = deal(df, id_col, text_col, batch_bytes=BATCH_BYTES)
     buckets = cells_for(n_words * order, BUCKET_HASHES, 12)
 
     def read(texts: pa.Table) -> W.Words:
@@ -108,7 +108,7 @@ def score_documents(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
 
     kind = df.schema[id_col].dataType.simpleString()
     parts = cells_for(n_bytes + 64 * n_rows, PART_BYTES, 12)
-    return round_trip(packed, parts, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
+    return round_trip(batches, parts, buckets, ask, answer, finish, f"doc_id {kind}, n_words long, n_backed_off long, logscore double, mean_logscore double")
 
 
 def _heads(change: np.ndarray, n: int) -> np.ndarray:

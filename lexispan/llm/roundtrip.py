@@ -18,6 +18,7 @@ so there are never more of them than distinct hashes of the batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,56 +62,76 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(limits, U)), [len(hashes)]]).astype(np.int64)
 
 
-def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``batch, payload``: one row for each run of neighbouring rows with about
-    ``batch_bytes`` of text, as a compressed Arrow stream (id, text and, with ``carry``,
-    the whole row's other columns as a struct). Nothing shuffles. Batches are numbered
-    by input partition and place in it: whoever uses the numbers in more than one job
-    checkpoints the result."""
+def _each(parts: Iterator[pa.RecordBatch], names: list[str], batch_bytes: int) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of the batches of one partition."""
+    at = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in parts:
+        part = part.select(names)
+        for start, n in W.slices(part.column(1), batch_bytes):
+            piece = part.slice(start, n)
+            more = W.volume(piece.column(1))
+            if held and size + more > batch_bytes:
+                yield at, pa.Table.from_batches(held).combine_chunks()
+                at, held, size = at + 1, [], 0
+            held.append(piece)
+            size += more
+    if held:
+        yield at, pa.Table.from_batches(held).combine_chunks()
+
+
+class Batches(NamedTuple):
+    """Runs of neighbouring rows with about ``batch_bytes`` of text each, nothing shuffled.
+    They are numbered by input partition and place in it: whoever reads them twice has to
+    read the same rows in the same partitions."""
+
+    rows: DataFrame
+    names: list[str]
+    batch_bytes: int
+
+    def mapped(self, f: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """f(number, texts in order) -> table, for every batch."""
+        names, batch_bytes = self.names, self.batch_bytes
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, table in _each(parts, names, batch_bytes):
+                yield from f(batch, ordered(table)).combine_chunks().to_batches()
+
+        return self.rows.mapInArrow(run, schema)
+
+    def packed(self) -> DataFrame:
+        """``batch, payload``: one row a batch, as a compressed Arrow stream."""
+        names, batch_bytes = self.names, self.batch_bytes
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
+            for batch, table in _each(parts, names, batch_bytes):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+                    writer.write_table(table)
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
+
+        return self.rows.mapInArrow(run, "batch long, payload binary")
+
+
+def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False, batch_bytes: int = BATCH_BYTES) -> Batches:
+    """Batches of id and text and, with ``carry``, the whole row's other columns as a struct."""
     names = ["doc_id", "text"] + ["row"] * carry
     others = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row")] * carry
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
+    return Batches(rows, names, batch_bytes)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
-        at = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def packed() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
-                writer.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "payload"])
-
-        for part in parts:
-            part = part.select(names)
-            for start, n in W.slices(part.column(1), batch_bytes):
-                piece = part.slice(start, n)
-                more = W.volume(piece.column(1))
-                if held and size + more > batch_bytes:
-                    yield packed()
-                    at, held, size = at + 1, [], 0
-                held.append(piece)
-                size += more
-        if held:
-            yield packed()
-
-    return rows.mapInArrow(run, "batch long, payload binary")
 
-
-def unpack(table: pa.Table) -> pa.Table:
-    """The texts of a batch's row, in one fixed order: null ids last."""
-    texts = pa.ipc.open_stream(table["payload"].chunk(0)[0].as_buffer()).read_all()
+def ordered(texts: pa.Table) -> pa.Table:
+    """The texts of a batch in one fixed order: null ids last."""
     columns = texts.set_column(1, "text", texts["text"].cast(pa.large_string())).combine_chunks()
     return columns.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
-def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    for b in batches:
-        for k in range(b.num_rows):
-            yield pa.Table.from_batches([b.slice(k, 1)])
+def unpack(table: pa.Table) -> pa.Table:
+    """The texts of a batch's packed row."""
+    return ordered(pa.ipc.open_stream(table["payload"].chunk(0)[0].as_buffer()).read_all())
 
 
 def _rows(keys: dict[str, list[int]], payloads: list[bytes]) -> pa.Table:
@@ -118,26 +139,24 @@ def _rows(keys: dict[str, list[int]], payloads: list[bytes]) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in keys.items()} | {"payload": pa.array(payloads, pa.binary())})
 
 
-def asked(packed: DataFrame, buckets: int, ask: Callable) -> DataFrame:
+def asked(batches: Batches, buckets: int, ask: Callable) -> DataFrame:
     """``bucket, batch, payload``; ask(texts) -> (sorted distinct hashes, [arrays beside
-    them])."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in each_batch(batches):
-            batch = table["batch"][0].as_py()
-            hashes, beside = ask(unpack(table))
-            edge = bucket_edges(hashes, buckets)
-            keys, payloads = {"bucket": [], "batch": []}, []
-            for k in np.flatnonzero(np.diff(edge)):
-                part = slice(edge[k], edge[k + 1])
-                keys["bucket"].append(int(k))
-                keys["batch"].append(batch)
-                payloads.append(_frame([squeeze_sorted(hashes[part]), *(squeeze(x[part]) for x in beside)], [x.dtype.str for x in beside]))
-            del hashes, beside
-            pa.default_memory_pool().release_unused()
-            yield from _rows(keys, payloads).combine_chunks().to_batches()
-
-    return packed.mapInArrow(send, "bucket int, batch long, payload binary")
+    them]). Batches ask where their rows are read."""
+
+    def send(batch: int, texts: pa.Table) -> pa.Table:
+        hashes, beside = ask(texts)
+        edge = bucket_edges(hashes, buckets)
+        keys, payloads = {"bucket": [], "batch": []}, []
+        for k in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[k], edge[k + 1])
+            keys["bucket"].append(int(k))
+            keys["batch"].append(batch)
+            payloads.append(_frame([squeeze_sorted(hashes[part]), *(squeeze(x[part]) for x in beside)], [x.dtype.str for x in beside]))
+        del hashes, beside
+        pa.default_memory_pool().release_unused()
+        return _rows(keys, payloads)
+
+    return batches.mapped(send, "bucket int, batch long, payload binary")
 
 
 def answered(asks: DataFrame, answer: Callable) -> DataFrame:
@@ -171,7 +190,7 @@ def values_of(replies: pa.Table) -> np.ndarray:
     return np.concatenate(values) if values else np.zeros(0, np.int64)
 
 
-def round_trip(packed: DataFrame, parts: int, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def round_trip(batches: Batches, parts: int, buckets: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
     """Ask, answer and finish(texts, hashes, [arrays], values) -> table of one batch. ``parts``:
     partitions of the batches, so that tasks don't grow with the input.
 
@@ -184,8 +203,8 @@ def round_trip(packed: DataFrame, parts: int, buckets: int, ask: Callable, answe
         pa.default_memory_pool().release_unused()
         return finish(texts, hashes, beside, values_of(replies))
 
-    replied = answered(asked(packed, buckets, ask).repartition(buckets, "bucket"), answer)
-    return packed.repartition(parts, "batch").groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)
+    replied = answered(asked(batches, buckets, ask).repartition(buckets, "bucket"), answer)
+    return batches.packed().repartition(parts, "batch").groupBy("batch").cogroup(replied.groupBy("batch")).applyInArrow(end, schema)
 
 
 def _frame(fields: list[bytes], kinds: list[str]) -> bytes:

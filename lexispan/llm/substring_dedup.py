@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from lexispan.llm import words as W
 from lexispan.llm.common import cells_for, checkpointed, text_volume
-from lexispan.llm.roundtrip import BUCKET_HASHES, PART_BYTES, answered, asked, deal, each_batch, unpack, values_of
+from lexispan.llm.roundtrip import BUCKET_HASHES, PART_BYTES, Batches, answered, asked, deal, unpack, values_of
 
 WINDOW = 13
 PIECE = 64  # windows of a factor that are fetched together
@@ -170,7 +170,7 @@ def _checksum(texts: pa.Table) -> int:
     return zlib.crc32(ids.tobytes(), zlib.crc32(offsets.tobytes(), zlib.crc32(buf)))
 
 
-def _parsed(packed: DataFrame, kind: str, parts: int, buckets: int, window: int, seed_bits: int) -> DataFrame:
+def _parsed(batches: Batches, kind: str, parts: int, buckets: int, window: int, seed_bits: int) -> DataFrame:
     """The result's rows, with checked factors, by ``batch`` and ``place`` in it; ``disputed``
     names the seeds (word of the batch, hash) whose words differ from their source's, and
     ``checksum`` stands for the batch's texts."""
@@ -286,9 +286,8 @@ def _parsed(packed: DataFrame, kind: str, parts: int, buckets: int, window: int,
         columns = _rows(texts, window, _Parse.of(parts), disputed, False)
         return pa.table(columns | {"batch": pa.array(np.full(len(texts), batch), pa.int64())})
 
-    asks = asked(packed, buckets, ask).repartition(buckets, "bucket")
-    packed = packed.repartition(parts, "batch")
-    by_batch = packed.groupBy("batch")
+    asks = asked(batches, buckets, ask).repartition(buckets, "bucket")
+    by_batch = batches.packed().repartition(parts, "batch").groupBy("batch")
     replied = answered(asks, answer)
     wanted = by_batch.cogroup(replied.groupBy("batch")).applyInArrow(want, "batch long, source long, hash long, tail long, at long, n int")
     # however many batches want the same words, their block is asked for them once
@@ -317,25 +316,24 @@ def _fetched(wanted: pa.Table, skip, ids, words, text: list[bytes]) -> pa.Table:
     return pa.table(columns, ["source", "hash", "tail", "n", "skip", "source_id", "source_word", "text"])
 
 
-def _settled(packed: DataFrame, parsed: DataFrame, window: int, seed_bits: int) -> DataFrame:
+def _settled(batches: Batches, parsed: DataFrame, window: int, seed_bits: int) -> DataFrame:
     """``batch, at, source_id, source_word`` of the seeds that start in an earlier document,
     among all whose hash is disputed: those windows are grouped by their words."""
     hashes = checkpointed(parsed.select(F.explode("disputed.hash").alias("hash")).distinct())
     few = hashes.count() <= BROADCAST_HASHES
     chosen = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if few else None
 
-    def windows(batches):
-        for table in each_batch(batches):
-            s = _Seeds(unpack(table), window, seed_bits)
-            h = s.hash.view(np.int64)
-            k = np.flatnonzero(np.isin(h, chosen)) if few else np.arange(len(h))
-            raw = s.buf.tobytes()
-            text = [b" ".join(raw[a:z].split()) for a, z in zip(s.words.start[s.at[k]].tolist(), s.words.end[s.at[k] + window - 1].tolist(), strict=True)]
-            columns = [pa.array(np.full(len(k), table["batch"][0].as_py()), pa.int64()), pa.array(s.at[k], pa.int64()), pa.array(h[k])]
-            columns += [pa.array(s.doc[k]), pa.array(s.word_in_text(k), pa.int64()), pa.array(text, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["batch", "at", "hash", "doc", "word", "text"])
-
-    rows = packed.mapInArrow(windows, "batch long, at long, hash long, doc long, word long, text binary")
+    def windows(batch: int, texts: pa.Table) -> pa.Table:
+        s = _Seeds(texts, window, seed_bits)
+        h = s.hash.view(np.int64)
+        k = np.flatnonzero(np.isin(h, chosen)) if few else np.arange(len(h))
+        raw = s.buf.tobytes()
+        text = [b" ".join(raw[a:z].split()) for a, z in zip(s.words.start[s.at[k]].tolist(), s.words.end[s.at[k] + window - 1].tolist(), strict=True)]
+        columns = [pa.array(np.full(len(k), batch), pa.int64()), pa.array(s.at[k], pa.int64()), pa.array(h[k])]
+        columns += [pa.array(s.doc[k]), pa.array(s.word_in_text(k), pa.int64()), pa.array(text, pa.binary())]
+        return pa.table(columns, ["batch", "at", "hash", "doc", "word", "text"])
+
+    rows = batches.mapped(windows, "batch long, at long, hash long, doc long, word long, text binary")
     if not few:
         rows = rows.join(hashes, "hash", "left_semi")
     rows = checkpointed(rows)
@@ -366,13 +364,13 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     parts = cells_for(n_bytes + 64 * n_rows, PART_BYTES, 12)
     buckets = cells_for(n_bytes // _BYTES_PER_WORD, BUCKET_HASHES, 12)
     kind = df.schema[id_col].dataType.simpleString()
-    packed = deal(df, id_col, text_col)
-    parsed = checkpointed(_parsed(packed, kind, parts, buckets, window, seed_bits))
+    batches = deal(df, id_col, text_col)
+    parsed = checkpointed(_parsed(batches, kind, parts, buckets, window, seed_bits))
     result = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors"]
     none = F.lit(None).cast("long")
     marks = parsed.select("batch", "place", "factors", "checksum", none.alias("at"), none.alias("source_id"), none.alias("source_word"))
     if not parsed.where(F.size("disputed") > 0).isEmpty():
-        settled = checkpointed(_settled(packed, parsed, window, seed_bits))
+        settled = checkpointed(_settled(batches, parsed, window, seed_bits))
         extra = settled.select("batch", none.alias("place"), F.lit(None).cast(parsed.schema["factors"].dataType).alias("factors"), none.alias("checksum"), "at", "source_id", "source_word")
         marks = marks.unionByName(extra)
         again = settled.select("batch").distinct()
@@ -381,13 +379,13 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     else:
         again = None
     if keep_text or carry:
-        packed = deal(df, id_col, text_col, carry)
+        packed = deal(df, id_col, text_col, carry).packed()
         same = None
     else:  # only batches with disputed seeds change
         again = checkpointed(again)
         some = F.broadcast(again) if again.count() <= BROADCAST_HASHES else again
         same = parsed.join(some, "batch", "left_anti").select(*result)
-        packed, marks = packed.join(some, "batch", "left_semi"), marks.join(some, "batch", "left_semi")
+        packed, marks = batches.packed().join(some, "batch", "left_semi"), marks.join(some, "batch", "left_semi")
 
     def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
         texts = unpack(texts) if texts.num_rows else texts

@@ -161,7 +161,7 @@ def test_source_that_jumps_by_256_words(spark):
 
 def test_batches_hold_whole_rows(spark):
     df = docs(spark, ["a" * 100, None, "b" * 5000, "c"])
-    packed = roundtrip.deal(df, "doc_id", "text", True, batch_bytes=300).collect()
+    packed = roundtrip.deal(df, "doc_id", "text", True, batch_bytes=300).packed().collect()
     assert len({r["batch"] for r in packed}) == len(packed)
     texts = [roundtrip.unpack(pa.table({"payload": pa.array([bytes(r["payload"])])})) for r in packed]
     assert sorted((t for x in texts for t in x["text"].to_pylist()), key=len) == ["", "c", "a" * 100, "b" * 5000]
