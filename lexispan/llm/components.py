@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispan.llm.common import checkpointed
 
-HUBS = 1000  # a vertex with more than a HUBS-th of all neighbours is a hub
+SALTS = 16  # tasks that the rows of one vertex are dealt to
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,19 +17,18 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _least(rows: DataFrame, with_own: bool) -> DataFrame:
-    """``u, m, n``: the least neighbour of every u (and itself, if wanted) and the number
-    of its neighbours; partial aggregation keeps hubs small."""
+    """``u, m``: the least neighbour of every u (and itself, if wanted); partial
+    aggregation keeps hubs small."""
     least = F.least(F.col("u"), F.min("v")) if with_own else F.min("v")
-    return checkpointed(rows.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")))
+    return rows.groupBy("u").agg(least.alias("m"))
 
 
-def _meet(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the ``m`` of their u. Fewer than HUBS vertices can have a HUBS-th of
-    ``total`` neighbours: those few are broadcast, so no hub's rows meet in one task."""
-    hub = F.col("n") > total / HUBS
-    met = rows.join(F.broadcast(least.where(hub).select("u", "m")), "u", "left")
-    rest = met.where("m IS NULL").select("u", "v").join(least.where(~hub).select("u", "m").hint("merge"), "u")
-    return met.where("m IS NOT NULL").unionByName(rest)
+def _meet(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` with the ``m`` of their u. Every u meets its rows in SALTS places, so a hub's
+    rows are dealt to as many tasks; the adaptive skew join splits what is still large."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    places = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(places, ["u", "salt"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,17 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star links every larger neighbour to a vertex's least neighbour, small-star
     the smaller ones; stars with the least vertex at the centre remain after about
     log(n) rounds. Edges stay distributed, every round is checkpointed, and the rows
-    of hubs stay where they are (see ``_meet``).
+    of hubs are dealt to several tasks.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = checkpointed(edges)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _meet(both.where("v > u"), _least(both, True), 2 * mark[0])
-        large = checkpointed(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = _meet(both.where("v > u"), _least(both, True))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = _least(large, False)
-        small = _meet(large, down, 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _meet(large, down).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v")
         edges = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _mark(edges)

@@ -38,7 +38,7 @@ ENDINGS = 500  # most endings of other words with a weight of their own
 GAP = 2  # tokens between two strong words that belong to their span
 STRETCH, MARGIN = 2048, 32  # tokens of a long text scored at a time, and their context
 SEGMENT = 128  # tokens of a training sequence
-SEQUENCES = 4096  # training sequences worked on at a time
+SEQUENCES = 2048  # training sequences worked on at a time
 SLICE_BYTES = 4 << 20  # text scored at a time
 CELLS = 1 << 19  # padded tokens scored at a time
 
