@@ -31,37 +31,36 @@ def table_text(rows: Column) -> Column:
 def best_match(attachments: DataFrame, tables: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
     """For each attachment (``doc, attachment, start_page, end_page, text``) the table
     (``doc, page, tbl, text``) of its pages with the largest overlap; ties go to the
-    first page and table. Below the threshold the match is null.
+    first page and table. Below the threshold (above 0) the match is null; so it is
+    without shingles or pages.
 
-    The page range is exploded, so the join is an equi-join on (doc, page) and no
-    attachment meets a table outside its pages.
+    The shared shingles are counted by an equi-join on the shingle, so every pair that
+    shares one gets its exact score; where the attachments' shingles are broadcast, the
+    counts are combined before the shuffle. Rows that repeat a key are scored on their own.
     """
-    needles = attachments.withColumn("needles", shingles(T.without_ws(F.col("text")), n))
-    on_page = needles.where("start_page IS NOT NULL AND end_page >= start_page").select("doc", "attachment", "needles", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    scored = on_page.join(tables.select("doc", "page", "tbl", T.without_ws(F.col("text")).alias("table_text")), ["doc", "page"])
-    scored = scored.select("doc", "attachment", "page", "tbl", containment(F.col("needles"), F.col("table_text")).alias("score"))
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and at most at 1")
+    needles = attachments.select("doc", "attachment", "start_page", "end_page", shingles(T.without_ws(F.col("text")), n).alias("needles"), F.monotonically_increasing_id().alias("a_row"))
+    wanted = needles.select("doc", "attachment", "start_page", "end_page", "a_row", F.size("needles").alias("size"), F.explode("needles").alias("gram"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    held = tables.select("doc", "page", "tbl", shingles(T.without_ws(F.col("text")), n).alias("grams"), F.monotonically_increasing_id().alias("t_row"))
+    held = held.select("doc", "page", "tbl", "t_row", F.explode("grams").alias("gram"))
+    shared = held.join(wanted, ["doc", "gram"]).where(F.col("page").between(F.col("start_page"), F.col("end_page")))
+    hits = shared.groupBy("doc", "attachment", "a_row", "size", "page", "tbl", "t_row").agg(F.count(F.lit(1)).alias("hits"))
+    scored = hits.select("doc", "attachment", "page", "tbl", (F.col("hits") / F.col("size")).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("doc", "attachment").agg(F.min_by(F.struct("page", "tbl", "score"), F.struct(-F.col("score"), "page", "tbl")).alias("b"))
-    best = best.where(F.col("b.score") >= threshold)
     return attachments.select("doc", "attachment").join(best, ["doc", "attachment"], "left").select("doc", "attachment", "b.page", "b.tbl", "b.score")
 
 
 def best_match_anywhere(attachments: DataFrame, tables: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
     """For each attachment (``attachment, text``) the table (``tbl, text``) with the
-    largest overlap among all tables; ties go to the first table. Below the threshold
-    the match is null.
-
-    The shared shingles are counted by an equi-join on the shingle, so every pair that
-    shares one gets its exact score. Rows that repeat a key are scored on their own.
-    """
-    needles = attachments.select("attachment", shingles(T.without_ws(F.col("text")), n).alias("needles")).withColumn("a_row", F.monotonically_increasing_id())
-    wanted = needles.select("attachment", "a_row", F.size("needles").alias("size"), F.explode("needles").alias("gram"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    held = tables.select("tbl", F.monotonically_increasing_id().alias("t_row"), shingles(T.without_ws(F.col("text")), n).alias("grams")).select("tbl", "t_row", F.explode("grams").alias("gram"))
-    hits = held.join(wanted, "gram").groupBy("attachment", "a_row", "tbl", "t_row", "size").agg(F.count(F.lit(1)).alias("hits"))
-    scored = hits.select("attachment", "tbl", (F.col("hits") / F.col("size")).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("attachment").agg(F.min_by(F.struct("tbl", "score"), F.struct(-F.col("score"), "tbl")).alias("b"))
-    return attachments.select("attachment").join(best, "attachment", "left").select("attachment", "b.tbl", "b.score")
+    largest overlap among all tables: ``best_match`` with all of them on one page."""
+    one = F.lit(0)
+    out = best_match(
+        attachments.select(one.alias("doc"), "attachment", one.alias("start_page"), one.alias("end_page"), "text"),
+        tables.select(one.alias("doc"), one.alias("page"), "tbl", "text"), threshold, n)
+    return out.select("attachment", "tbl", "score")
 
 
 def trigram_index(df: DataFrame, key: str, text_col: str = "text", n: int = 3) -> DataFrame:

@@ -458,15 +458,13 @@ def spacing_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spacing.correction_counts(docs, fixed, "doc_id", pairs, "text", LETTERS).orderBy(F.desc("n"), "pair").limit(20)
 
 
-def _attachments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("doc"), F.col("item_id").alias("attachment"), F.col("item_id").alias("start_page"), (F.col("item_id") + 1).alias("end_page"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("doc"), (F.col("doc_id") % 200).alias("page"), F.col("doc_id").alias("tbl"), "text")
-    return items, docs
-
-
 @query
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = _attachments(spark, sf_dir)
+    """Every benchmark item against every document; a page holds a hundred consecutive
+    ids, and an item may lie on any page."""
+    one, first, last = F.lit(0), F.lit(-(2**62)), F.lit(2**62)
+    items = table(spark, sf_dir, "benchmark").select(one.alias("doc"), F.col("item_id").alias("attachment"), first.alias("start_page"), last.alias("end_page"), "text")
+    docs = table(spark, sf_dir, "documents").select(one.alias("doc"), F.floor(F.col("doc_id") / 100).alias("page"), F.col("doc_id").alias("tbl"), "text")
     out = similar.best_match(items, docs)
     return out.select("attachment", "page", "tbl", F.round("score", 6).alias("score"))
 

@@ -111,6 +111,28 @@ def test_best_match_anywhere(spark):
     assert got == {250: (901, 1.0), 251: (None, None), 252: (None, None), 253: (None, None), 254: (3, 0.5)}
 
 
+def test_best_match_meets_every_table_in_range(spark):
+    """Against every pair: random texts, repeated keys, other books and empty tables."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choices("abcd", k=k))
+    atts = [(rng.choice("de"), i % 25, lo := rng.randint(0, 8), lo + rng.randint(-1, 6), word(rng.randint(0, 14))) for i in range(40)]
+    tabs = [(rng.choice("de"), rng.randint(0, 12), i % 50, word(rng.randint(0, 60))) for i in range(80)]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    want = {}
+    for doc, att, lo, hi, text in atts:
+        ask = grams(text)
+        found = [(-len(ask & grams(t)) / len(ask), page, tbl) for d, page, tbl, t in tabs if d == doc and lo <= page <= hi and ask and 2 * len(ask & grams(t)) >= len(ask)]
+        want[doc, att] = min([*found, *([want[doc, att]] if want.get((doc, att)) else [])], default=None)
+    a_schema, t_schema = "doc string, attachment int, start_page int, end_page int, text string", "doc string, page int, tbl int, text string"
+    a, t = spark.createDataFrame(atts, a_schema), spark.createDataFrame(tabs, t_schema)
+    got = {(r["doc"], r["attachment"]): r["score"] and (-r["score"], r["page"], r["tbl"]) for r in similar.best_match(a, t).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
+    assert {r["score"] for r in similar.best_match(a, t.limit(0)).collect()} == {None}
+    assert similar.best_match(a.limit(0), t).count() == 0
+
+
 def test_history(spark):
     def snap(date, *regs):
         return (date, "f", [(t, len(a), [("c", None, None, *x) for x in a]) for t, a in regs])
