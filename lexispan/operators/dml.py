@@ -139,7 +139,8 @@ def load_seed(book: Book, seed: DataFrame | None, created_at: str) -> Book:
 
 
 def load_records(records: DataFrame) -> Book:
-    """Nested extraction records -> the flat tables; ids are the sequence numbers."""
+    """Nested extraction records -> the flat tables; ids are the sequence numbers, articles
+    are numbered from 1."""
     pages = F.array_join(F.when(F.size("pdf_pages") > 0, F.array(F.try_element_at("pdf_pages", F.lit(1)), F.try_element_at("pdf_pages", F.lit(-1)))), "-")
     one = F.col("seq")
     regulations = records.select(
@@ -148,8 +149,8 @@ def load_records(records: DataFrame) -> Book:
     )
     exploded = lambda c: records.select(one.alias("regulation_id"), F.posexplode(c).alias("ordinal", "x"))
     number = lambda c: F.nullif(c, F.lit("")).cast("int")
-    articles = exploded("articles").select(
-        F.xxhash64("regulation_id", "ordinal").alias("id"), "regulation_id", "x.chapter", "x.section", "x.gwan", number(F.col("x.no")).alias("no"),
+    articles = numbered(exploded("articles"), "regulation_id", ["ordinal"]).select(
+        F.col("number").alias("id"), "regulation_id", "x.chapter", "x.section", "x.gwan", number(F.col("x.no")).alias("no"),
         number(F.col("x.sub_no")).alias("sub_no"), "x.title", "x.body", "ordinal",
     )
     return Book(

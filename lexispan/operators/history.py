@@ -109,14 +109,20 @@ def article_changes(versions: DataFrame, order: str = "date", titles: DataFrame
     return out
 
 
-def revision_history(snapshots: DataFrame, regulations: DataFrame, articles: DataFrame, title_overrides: list[tuple[str, str]] | None = None, exclude: DataFrame | None = None, dates: DataFrame | None = None) -> DataFrame:
-    """Changes over all snapshots and, as the last version, the current articles. The
-    current state is dated by the latest snapshot (by date, not by file name)."""
+def snapshot_versions(snapshots: DataFrame, regulations: DataFrame, articles: DataFrame, title_overrides: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Article versions of all snapshots and, as the last one (``live`` = 1), the current
+    articles of the regulations that a snapshot names. The current state is dated by the
+    latest snapshot (by date, not by file name)."""
     past = timeline(snapshots, regulations, title_overrides)
     today = snapshots.agg(F.max("date").alias("date"))  # one row
     live = articles.select("regulation_id", "no", "sub_no", "body").crossJoin(F.broadcast(today))
     live = live.join(past.select("regulation_id").distinct(), "regulation_id", "left_semi")
-    versions = past.withColumn("live", F.lit(0)).unionByName(live.withColumn("live", F.lit(1)))
+    return past.withColumn("live", F.lit(0)).unionByName(live.withColumn("live", F.lit(1)))
+
+
+def revision_history(snapshots: DataFrame, regulations: DataFrame, articles: DataFrame, title_overrides: list[tuple[str, str]] | None = None, exclude: DataFrame | None = None, dates: DataFrame | None = None) -> DataFrame:
+    """Changes over all snapshots and, as the last version, the current articles."""
+    versions = snapshot_versions(snapshots, regulations, articles, title_overrides)
     # a snapshot of the latest day precedes the current state
     versions = versions.withColumn("version", F.struct("date", "live"))
     return article_changes(versions, "version", articles, exclude, dates)

@@ -124,3 +124,8 @@ def fill_gaps(checked: DataFrame, changes: DataFrame, editions: DataFrame, exist
     gaps = gaps.join(existing.select("regulation_seq", "revised_at"), ["regulation_seq", "revised_at"], "left_anti").join(full, "record_id")
     gaps = first_wins(gaps, ["regulation_seq", "revised_at"], ["session_date", "record_id"])
     return gaps.select("regulation_seq", "revised_at", F.lit(summary).alias("summary"), "changes")
+
+
+def status_counts(df: DataFrame, column: str = "status") -> DataFrame:
+    """How many rows have each status; null counts as one."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -310,6 +310,19 @@ def page_ranges(starts: DataFrame, key: str, start: str, last: Column) -> DataFr
     return starts.withColumn("end", end).withColumn("valid", F.col("end") >= F.col(start))
 
 
+def assign_pages(pages: DataFrame, ranges: DataFrame, key: str, page: str = "page", start: str = "start") -> DataFrame:
+    """Pages (``key, page``) -> the entry of ``page_ranges`` that covers each: adds ``start,
+    end``, null before the first entry. An as-of fill inside each document: a range join
+    on the page number would meet every entry of the document. Of entries with one start
+    only a valid one covers a page. Entries without a start cover nothing."""
+    entries = ranges.where(F.col("valid") & F.col(start).isNotNull()).select(key, F.col(start).alias(page), F.struct(F.col(start), F.col("end")).alias("_entry"))
+    rows = pages.withColumn("_entry", F.lit(None).cast(entries.schema["_entry"].dataType)).unionByName(entries.withColumn("_is", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy(page, F.col("_is").asc_nulls_last())
+    rows = rows.withColumn("_last", F.last("_entry", ignorenulls=True).over(by)).where("_is IS NULL")
+    inside = F.col(page) <= F.col("_last")["end"]
+    return rows.select(*pages.columns, *[F.when(inside, F.col("_last")[c]).alias(c) for c in (start, "end")])
+
+
 def quality_flags(records: DataFrame) -> DataFrame:
     """Checks of extracted records: no articles, dates glued into the title, a title
     that neither contains nor is contained in its table-of-contents entry."""

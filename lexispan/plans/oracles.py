@@ -288,3 +288,28 @@ SELECT doc, page_idx, island, first_value(y) OVER w AS index_no, {_ws("first_val
     "words_in_tables": """WITH w AS (SELECT l_orderkey AS doc, l_linenumber::DOUBLE AS x0, l_quantity AS y0, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL)
 SELECT doc, x0, y0, n, CASE WHEN doc NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') OR y0 + 1 NOT BETWEEN -0.25 AND 30.25 THEN NULL WHEN x0 + 0.5 BETWEEN -0.25 AND 3.25 THEN 0 WHEN x0 + 0.5 BETWEEN 1.75 AND 5.25 THEN 1 END AS tbl FROM w""",
 }
+
+_CHANGES = """ch AS (SELECT l_orderkey, count(*)::INT AS n_changes, string_agg(l_linenumber || ':' || l_returnflag || ':' || l_linestatus || ':' || l_quantity::INT, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus, (l_quantity::INT)::VARCHAR) AS changes FROM lineitem GROUP BY 1)"""
+_RECORDS = """ar AS (SELECT l_orderkey AS o, l_linenumber, l_returnflag AS title, (l_quantity::INT)::VARCHAR AS body, nullif(l_partkey % 3, 0)::INT AS sub_no, coalesce(nullif(l_partkey % 3, 0)::VARCHAR, '') AS sub,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, (l_quantity::INT)::VARCHAR, coalesce(nullif(l_partkey % 3, 0)::VARCHAR, '')) - 1 AS ordinal FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"""
+ORACLES |= {
+    "seed_export": f"""WITH {_CHANGES} SELECT c_custkey AS regulation_seq, strftime(o_orderdate, '%Y.%m.%d') AS revised_at, o_orderpriority AS summary, coalesce(n_changes, 0)::INT AS n_changes, coalesce(changes, '') AS changes
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN ch ON l_orderkey = o_orderkey""",
+    "seed_import": """WITH r AS (SELECT o_custkey AS regulation_id, strftime(o_orderdate, '%Y.%m.%d') AS revised_at, o_orderpriority AS summary, o_orderstatus AS created_at FROM orders)
+SELECT * FROM r WHERE created_at = 'F' UNION ALL
+SELECT regulation_id, revised_at, min(summary), 'seed' FROM r WHERE regulation_id IN (SELECT c_custkey FROM customer) AND (regulation_id, revised_at) NOT IN (SELECT (regulation_id, revised_at) FROM r WHERE created_at = 'F') GROUP BY ALL""",
+    "bulk_load": f"""WITH {_RECORDS}, pg AS (SELECT l_orderkey AS o, min(l_suppkey) || '-' || max(l_suppkey) AS source_pages FROM lineitem GROUP BY 1)
+SELECT o AS regulation_id, o_orderpriority AS regulation_title, source_pages, ordinal::INT AS ordinal, title AS chapter, l_linenumber::INT AS "no", sub_no, title, body FROM ar JOIN pg USING (o) JOIN orders ON o_orderkey = o""",
+    "detail_children": f"""WITH {_RECORDS} SELECT o AS id, strftime(any_value(o_orderdate), '%Y.%m.%d') AS amendments, string_agg(body, ',' ORDER BY ordinal) AS articles,
+  coalesce(string_agg(body, ',' ORDER BY ordinal) FILTER (title = 'R'), '') AS addenda, coalesce(string_agg(body, ',' ORDER BY ordinal) FILTER (title = 'A'), '') AS attachments FROM ar JOIN orders ON o_orderkey = o GROUP BY o""",
+    "snapshot_versions": """WITH k AS (SELECT c_custkey AS cust, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS regulation_id FROM customer),
+a AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_returnflag AS f FROM lineitem WHERE l_returnflag <> 'A'),
+r AS (SELECT o_custkey, strftime(date_trunc('quarter', o_orderdate), '%Y.%m.%d') AS date, min(o_orderkey) AS o FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM a) GROUP BY ALL),
+n AS (SELECT regulation_id, date, (l_linenumber % 3)::INT AS "no", q || f AS body, row_number() OVER (PARTITION BY o, l_linenumber % 3 ORDER BY l_linenumber DESC, q DESC, f DESC) AS rn FROM r JOIN k ON cust = o_custkey JOIN a ON l_orderkey = o)
+SELECT regulation_id, date, "no", NULL::INT AS sub_no, body, 0 AS live FROM n WHERE rn = 1 UNION ALL
+SELECT DISTINCT regulation_id, (SELECT max(strftime(date_trunc('quarter', o_orderdate), '%Y.%m.%d')) FROM orders), 0, NULL::INT, 'now', 1 FROM n""",
+    "page_assignment": """WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, o_orderpriority = '1-URGENT' AS s FROM orders), e AS (SELECT doc, page AS start, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page) - 1, 10000)::BIGINT AS "end" FROM p WHERE s)
+SELECT p.doc, page, start, "end" FROM p LEFT JOIN e ON e.doc = p.doc AND page BETWEEN start AND "end\"""",
+    "trigram_postings": f"SELECT unnest({_shingles('text')}) AS gram, item_id FROM benchmark",
+    "status_histogram": f"SELECT status, count(*)::BIGINT AS n FROM ({ORACLES['committee_crosscheck']}) GROUP BY 1",
+}

@@ -688,3 +688,111 @@ def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five islands whose header names a purchase or a signup."""
     groups = segment.islands(_event_pages(spark, sf_dir)).select("doc", "island", "header").distinct()
     return segment.sample_groups(groups, ["purchase", "signup"]).select("doc", "island", "header")
+
+
+# --- whole books: loading, snapshots, seeds --------------------------------------
+
+
+def _changed_book(spark: SparkSession, sf_dir: str) -> catalog.Book:
+    """The book with line items as whole change rows."""
+    changes = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("revision_id"), F.col("l_linenumber").alias("article_no"), F.lit(None).cast("int").alias("article_sub_no"), F.col("l_returnflag").alias("article_title"),
+        F.col("l_linestatus").alias("old_body"), F.col("l_quantity").cast("int").cast("string").alias("new_body"), F.col("l_linenumber").alias("ordinal"),
+    )
+    return book(spark, sf_dir)._replace(revision_changes=changes)
+
+
+def _listed(changes: str) -> F.Column:
+    return F.array_join(F.transform(changes, lambda x: F.concat_ws(":", x["article_no"].cast("string"), x["article_title"], x["old_body"], x["new_body"])), ",")
+
+
+@query
+def seed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dml.seed_entries(_changed_book(spark, sf_dir))
+    return out.select("regulation_seq", "revised_at", "summary", F.size("changes").alias("n_changes"), _listed("changes").alias("changes"))
+
+
+@query
+def seed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book that holds the finished orders as revisions takes in the seed of all orders;
+    those of a day it has are not taken again."""
+    whole = _changed_book(spark, sf_dir)
+    part = whole._replace(revisions=whole.revisions.where(F.col("created_at") == "F"))
+    loaded = dml.load_seed(part, dml.seed_entries(whole), "seed")
+    return loaded.revisions.select("regulation_id", "revised_at", "summary", "created_at")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with line items as a nested record of one regulation."""
+    lines = table(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    article = F.struct(
+        "l_linenumber", F.col("l_returnflag").alias("title"), F.col("l_quantity").cast("int").cast("string").alias("body"),
+        F.when(F.col("l_partkey") % 3 == 0, "").otherwise((F.col("l_partkey") % 3).cast("string")).alias("sub_no"),
+    )
+    of = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(article)).alias("a"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("int"))).alias("pdf_pages"))
+    null = F.lit(None).cast("string")
+    articles = F.transform("a", lambda x: F.struct(x["title"].alias("chapter"), null.alias("section"), null.alias("gwan"), x["l_linenumber"].cast("string").alias("no"), x["sub_no"].alias("sub_no"), x["title"].alias("title"), x["body"].alias("body")))
+    lines_of = lambda flag: F.transform(F.filter("a", lambda x: x["title"] == flag), lambda x: x["body"])
+    attachments = F.transform(lines_of("A"), lambda x: F.struct(x.alias("label"), F.array(x).alias("lines")))
+    orders = table(spark, sf_dir, "orders").join(of, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("toc_title"), text("o_orderstatus").alias("l0"), null.alias("l1"), dotted("o_orderdate").alias("enact_date"),
+        "pdf_pages", F.array(dotted("o_orderdate")).alias("amend_dates"), articles.alias("articles"), lines_of("R").alias("addenda"), attachments.alias("attachments"),
+    )
+
+
+@query
+def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records as flat tables: the articles with their regulation's page span."""
+    b = dml.load_records(_records(spark, sf_dir))
+    regs = b.regulations.select(F.col("id").alias("regulation_id"), F.col("title").alias("regulation_title"), "source_pages")
+    return b.articles.join(regs, "regulation_id").select("regulation_id", "regulation_title", "source_pages", "ordinal", "chapter", "no", "sub_no", "title", "body")
+
+
+@query
+def detail_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded records read back with all four child lists."""
+    b = dml.load_records(_records(spark, sf_dir))
+    b = b._replace(attachments=b.attachments.select("regulation_id", "label", F.lit(None).cast("int").alias("start_page"), F.lit(None).cast("int").alias("end_page"), "lines", F.lit(None).cast("array<string>").alias("rows"), F.lit(None).cast("string").alias("file_url"), "ordinal"))
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",").alias(c)
+    return catalog.details(b).select("id", joined("amendments", "amend_date"), joined("articles", "body"), joined("addenda", "line"), joined("attachments", "label"))
+
+
+@query
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters as snapshots: each order is a record of its customer's regulation, and
+    titles differ from the book's in what normalisation removes. Half of the titles stand
+    twice in the book, where the later one counts; the book itself is the last version."""
+    orders, lines, customer = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    article = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("f"))
+    of = lines.where("l_returnflag <> 'A'").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(article)).alias("a"))
+    arts = F.transform(F.coalesce("a", F.array()), lambda x: F.struct((x["l_linenumber"] % 3).cast("string").alias("no"), F.lit("").alias("sub_no"), F.concat(x["q"].cast("string"), x["f"]).alias("body")))
+    records = orders.join(of, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    records = records.select("o_custkey", F.date_format(F.trunc("o_orderdate", "quarter"), "yyyy.MM.dd").alias("date"), "o_orderkey", F.concat(F.lit("Customer ("), "o_custkey", F.lit(")")).alias("title"), arts.alias("articles"))
+    record = F.struct("o_orderkey", "title", F.size("articles").alias("article_count"), "articles")
+    snapshots = records.groupBy("o_custkey", "date").agg(F.array_sort(F.collect_list(record)).alias("regulations")).drop("o_custkey")
+    book_title = F.concat(F.lit("Customer "), "c_custkey").alias("title")
+    regs = customer.select(F.col("c_custkey").alias("id"), book_title)
+    regs = regs.unionByName(customer.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 1_000_000_000).alias("id"), book_title))
+    live = regs.select(F.col("id").alias("regulation_id"), F.lit(0).alias("no"), F.lit(None).cast("int").alias("sub_no"), F.lit("now").alias("body"))
+    return history.snapshot_versions(snapshots, regs, live).select("regulation_id", "date", "no", "sub_no", "body", "live")
+
+
+@query
+def page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as pages; urgent ones begin an entry, the last of which ends
+    ten thousand pages after order 0."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").cast("long").alias("page"), "o_orderpriority")
+    starts = orders.where("o_orderpriority = '1-URGENT'").select("doc", F.col("page").alias("start"))
+    return segment.assign_pages(orders.drop("o_orderpriority"), segment.page_ranges(starts, "doc", "start", F.lit(10_000).cast("long")), "doc")
+
+
+@query
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.trigram_index(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.status_counts(committee_crosscheck(spark, sf_dir))

@@ -318,3 +318,15 @@ def test_records_to_tables(spark):
     assert b.regulations.first()["source_pages"] == "4-5"
     assert tuple(b.articles.select("no", "sub_no").first()) == (3, 2)
     assert b.attachments.first()["lines"] == ["a"] and b.addenda.count() == 1
+
+
+def test_loaded_articles_are_numbered_and_statuses_counted(spark):
+    from lexispan.schemas import REGULATION_RECORD
+
+    art = ("c", None, None, "3", "", "x", "b")
+    recs = [(s, "A", None, "1", "t", "t", "2001.1.1", [], n, [art] * n, [], [], []) for s, n in ((1, 2), (2, 0), (3, 3))]
+    b = dml.load_records(spark.createDataFrame(recs, REGULATION_RECORD))
+    assert sorted(r["id"] for r in b.articles.collect()) == [1, 2, 3, 4, 5]
+    rows = spark.createDataFrame([("gap",), ("gap",), (None,)], "status string")
+    assert {(r["status"], r["n"]) for r in reconcile.status_counts(rows).collect()} == {("gap", 2), (None, 1)}
+    assert reconcile.status_counts(rows.limit(0)).count() == 0

@@ -190,3 +190,14 @@ def test_prose_with_markers(spark):
     anchors = spark.createDataFrame([("d", 0, 0, "end")], "doc string, page int, tbl int, anchor string")
     out = layout.prose_with_markers(placed, marks, anchors).orderBy("key", "side")
     assert [r["text"] for r in out.collect()] == ["one two", "end", "[T]"]
+
+
+def test_pages_are_assigned_to_the_entry_that_covers_them(spark):
+    starts = spark.createDataFrame([("d", 3), ("d", 3), ("d", 6), ("d", None), ("e", 2)], "doc string, start int")
+    ranges = segment.page_ranges(starts, "doc", "start", F.lit(8))
+    pages = spark.createDataFrame([("d", p) for p in (1, 3, 5, 5, 6, 8, 9, None)] + [("f", 3), (None, 3)], "doc string, page int")
+    got = segment.assign_pages(pages, ranges, "doc").collect()
+    assert sorted(((r["doc"], r["page"], r["start"], r["end"]) for r in got), key=str) == sorted(
+        [("d", 1, None, None), ("d", 3, 3, 5), ("d", 5, 3, 5), ("d", 5, 3, 5), ("d", 6, 6, 8), ("d", 8, 6, 8), ("d", 9, None, None), ("d", None, None, None), ("f", 3, None, None), (None, 3, None, None)], key=str)
+    assert segment.assign_pages(pages.limit(0), ranges, "doc").count() == 0
+    assert segment.assign_pages(pages, ranges.limit(0), "doc").where("start IS NULL").count() == pages.count()
