@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
+from lexispan.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -58,6 +58,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str, model_path: str = bpe_codec.MODEL_PATH) -> DataFrame:
+    with open(model_path, "rb") as f:  # the driver's own file; the model travels with the tasks
+        model = bpe_codec.load_model(f.read())
+    coded = bpe_codec.decode_documents(bpe_codec.encode_documents(documents(spark, sf_dir), model), model)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_substring_dedup,
         op10_best_fit_packing,
+        op11_bpe_codec,
     )
 }
 
