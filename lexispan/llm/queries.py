@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, substring_dedup, toxicity
+from lexispan.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, spelling, substring_dedup, toxicity
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -65,6 +65,10 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str, model_path: str = bpe_codec
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_best_fit_packing,
         op11_bpe_codec,
+        op12_spelling_variants,
     )
 }
 
