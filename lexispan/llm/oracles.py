@@ -83,4 +83,32 @@ reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT reach.u,
 c AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c"""
 
-ORACLES = {"op1_license_scan": _op1(), "op2_lm_scoring": _OP2, "op3_embedding_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_substring_dedup": _OP9}
+_OP12 = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs), crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM summed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, length(word) AS m, k, word[: k] || word[k + 2 :] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)),
+pairs AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.m = b.m AND a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS form_n FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN other END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS far FROM f UNION ALL SELECT c.word, f.form, far + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, last.root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN (SELECT word, arg_max(root, far) AS root FROM chain GROUP BY word) last USING (word)"""
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS N, sum(len(t))::BIGINT AS L FROM d),
+b AS (SELECT row_number() OVER () AS b, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM benchmark),
+p AS (SELECT b, item_id, unnest(t) AS term FROM b),
+tf AS (SELECT r, doc_id, long, term, count(*) AS tf FROM (SELECT r, doc_id, len(t)::BIGINT AS long, unnest(t) AS term FROM d) SEMI JOIN p USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, N),
+scores AS (SELECT b, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * long * N) // L)))))::BIGINT AS score
+  FROM tf JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10"""
+
+ORACLES = {"op1_license_scan": _op1(), "op2_lm_scoring": _OP2, "op3_embedding_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_substring_dedup": _OP9, "op12_spelling_variants": _OP12, "op13_lexical_search": _OP13}

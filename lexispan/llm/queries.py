@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, spelling, substring_dedup, toxicity
+from lexispan.llm import bpe_codec, embedding_dedup, exact_dedup, lexical_search, license_scan, lm_scoring, minhash_dedup, packing, sentencepiece_codec, sharding, spelling, substring_dedup, toxicity
 from lexispan.llm.common import documents
 from lexispan.llm.oracles import ORACLES
 
@@ -69,6 +69,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_best_fit_packing,
         op11_bpe_codec,
         op12_spelling_variants,
+        op13_lexical_search,
     )
 }
 
