@@ -476,6 +476,8 @@ def share_lexicon(df: DataFrame, content: bytes) -> str:
     """Have Spark send the lexicon to every machine that runs tasks, also to those that
     join later; the name of the file there."""
     name = f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}"
+    if os.path.exists(SparkFiles.get(name)):  # the same words as in an earlier call
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="lexispan-"), name)  # the driver serves it from here
     with open(path, "wb") as f:
         f.write(content)

@@ -138,3 +138,9 @@ def test_frequent_words(spark, model):
     assert {bytes(r["word"]): r["n"] for r in counts.collect()} == {b"a": 1, b" a": 1, b" b": 2, b" c": 4, b"c": 1}
     assert sorted(B.frequent_words(counts)) == [b" b", b" c"] and B.frequent_words(counts, 1) == [b" c"] and B.frequent_words(counts, 0) == []
     assert B.frequent_words(counts.where(F.lit(False))) == []
+
+
+def test_the_same_lexicon_is_shared_once(spark):
+    content = B.compile_lexicon({b"once": [1]})
+    df = spark.range(1)
+    assert B.share_lexicon(df, content) == B.share_lexicon(df, content)
