@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -23,3 +25,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several outputs read, in the shared folder that
+    ``spark.checkpoint.dir`` names. Where it is unset, one machine takes a new folder; a
+    cluster is refused, since its machines share none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lexispan-checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
