@@ -51,7 +51,7 @@ TABLE_ROW, TABLE_DIVIDER = r"^\|.*\|$", r"^\|[\s:|-]+\|$"
 PAGED = Grammar("paged")
 MARKDOWN = Grammar("markdown", **_LOOSE, title="glued", listed_dates=False, spaced_dates=True, dates_anywhere=True, addenda_opens_body=False, keep_separators=False, worded_dates=True)
 WRAPPED = MARKDOWN._replace(dialect="wrapped", unit=rf"{CLAUSE}|^[<\[]별지서식", spaced_dates=False, keep_separators=True, separators_close=True)
-PLAIN = WRAPPED._replace(dialect="plain", date_line=r"(?!)()()")
+PLAIN = WRAPPED._replace(dialect="plain", date_line=r"^$()()")
 LEGACY = MARKDOWN._replace(dialect="legacy", table_dates=TABLE_DATES, title="last", worded_dates=False)
 STATUTES = Grammar("statutes", date_line=r"^(제정|개정)\s*([\d.]+)\.?$", unit=CLAUSE, title="glued", listed_dates=False, dates_anywhere=True, addenda_opens_body=False)
 GRAMMARS = (PAGED, MARKDOWN, WRAPPED, PLAIN, LEGACY, STATUTES)

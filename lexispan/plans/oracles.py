@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexispan.plans import extraction
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -313,3 +315,5 @@ SELECT p.doc, page, start, "end" FROM p LEFT JOIN e ON e.doc = p.doc AND page BE
     "trigram_postings": f"SELECT unnest({_shingles('text')}) AS gram, item_id FROM benchmark",
     "status_histogram": f"SELECT status, count(*)::BIGINT AS n FROM ({ORACLES['committee_crosscheck']}) GROUP BY 1",
 }
+
+ORACLES |= extraction.ORACLES

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
 from lexispan.operators import catalog, dml, history, layout, reconcile, render, segment, similar, spacing
+from lexispan.plans import extraction
 from lexispan.plans.tables import book, dotted, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,3 +797,6 @@ def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.status_counts(committee_crosscheck(spark, sf_dir))
+
+
+QUERIES |= extraction.QUERIES
