@@ -254,6 +254,58 @@ def merge_headers(rows: DataFrame, order: list[str], start: str, structural: str
     return out.select("doc", "_at.*", "line")
 
 
+def merge_ahead(rows: DataFrame, order: list[str], fragment: str, whole: list[str], reach: int = 3) -> DataFrame:
+    """Join a heading that is torn over a line and the next one to ``reach`` lines: as soon
+    as a ``fragment`` line and those after it, put together, make one of the ``whole``
+    patterns, they become one line. Lines are consumed from the top, so a line that an
+    earlier heading took begins none. Result: ``doc``, the order columns, stripped ``line``.
+
+    Of a fragment only its own span is looked at; spans that overlap form chains, and only
+    within a chain, which is short, does one choice depend on the one before.
+    """
+    by = Window.partitionBy("doc").orderBy(*order)
+    rows = rows.select("doc", *order, T.strip(F.col("line")).alias("line")).withColumn("_n", F.row_number().over(by))
+    joined = [F.col("line")]
+    for k in range(1, reach + 1):
+        joined.append(F.concat(joined[-1], F.lead("line", k).over(by)))
+    span, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for k in range(reach, 0, -1):
+        found = F.lit(False)
+        for pattern in whole:
+            found = found | T.matches(joined[k], pattern)
+        span, text = F.when(found, k).otherwise(span), F.when(found, joined[k]).otherwise(text)
+    is_fragment = T.matches(F.col("line"), fragment)
+    rows = rows.withColumn("_end", F.when(is_fragment, F.col("_n") + span)).withColumn("_text", text)
+    open_ = rows.where("_end IS NOT NULL").select("doc", "_n", "_end")
+    order_n = Window.partitionBy("doc").orderBy("_n")
+    reached = F.max("_end").over(order_n.rowsBetween(Window.unboundedPreceding, -1))
+    open_ = open_.withColumn("_fresh", F.coalesce(F.col("_n") > reached, F.lit(True)).cast("int"))
+    open_ = open_.withColumn("_chain", F.sum("_fresh").over(order_n.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = open_.groupBy("doc", "_chain").agg(F.array_sort(F.collect_list(F.struct("_n", "_end"))).alias("c"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("taken"))
+    free = lambda acc, x: F.when(x["_n"] > acc["end"], F.struct(x["_end"].alias("end"), F.concat(acc["taken"], F.array(x["_n"])).alias("taken"))).otherwise(acc)
+    taken = chains.select("doc", F.explode(F.aggregate("c", start, free, lambda acc: acc["taken"])).alias("_n")).withColumn("_takes", F.lit(True))
+    rows = rows.join(taken, ["doc", "_n"], "left")
+    covered = F.max(F.when(F.col("_takes"), F.col("_end"))).over(order_n.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_covered", covered).where("_n > coalesce(_covered, 0)")
+    return rows.select("doc", *order, F.when(F.col("_takes"), F.col("_text")).otherwise(F.col("line")).alias("line"))
+
+
+def join_split_word(rows: DataFrame, order: list[str], first: str = "부", second: str = "칙") -> DataFrame:
+    """A word that stands on two lines becomes one line at the first one's place."""
+    by = Window.partitionBy("doc").orderBy(*order)
+    s = T.strip(F.col("line"))
+    rows = rows.withColumn("_begins", (s == first) & F.coalesce(T.strip(F.lead("line").over(by)) == second, F.lit(False)))
+    rows = rows.withColumn("_ends", F.coalesce(F.lag("_begins").over(by), F.lit(False))).where("NOT _ends")
+    return rows.withColumn("line", F.when(F.col("_begins"), F.lit(first + second)).otherwise(F.col("line"))).drop("_begins", "_ends")
+
+
+def renumbered(rows: DataFrame, keys: list[Column | str], name: str = "line_no") -> DataFrame:
+    """Lines of each document numbered from 1 by ``keys``, so that steps which insert, move
+    or join lines can follow each other on one plain order column."""
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy("doc").orderBy(*keys))).drop(name).withColumnRenamed("_at", name)
+
+
 def blocks(rows: DataFrame, order: list[str], header: str, skip: str | None = None) -> DataFrame:
     """Split at header lines: ``doc, block, title, content``; what precedes the first
     header goes, and so do lines that match ``skip``."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.operators import records
+from lexispan.operators import boxed, records, segment
 from lexispan.plans.tables import table
 
 #: What line items say, by part number; q is the quantity, f the return flag.
@@ -66,13 +66,54 @@ def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extracted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the urgent and high orders as table of contents, and quality flags."""
-    toc = table(spark, sf_dir, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')")
-    toc = toc.select(F.col("o_custkey").alias("doc"), "o_orderkey", F.col("o_orderstatus").alias("l0"), F.lit(None).cast("string").alias("l1"), F.concat(F.lit("규정 "), "o_orderstatus").alias("title"))
-    out = records.extract_book(_pages(spark, sf_dir), toc, ["o_orderkey"])
+    out = records.extract_book(_pages(spark, sf_dir), _toc(spark, sf_dir), ["o_orderkey"])
     return out.select("doc", "seq", "l0", "toc_title", "index_no", F.array_join("pdf_pages", ",").alias("pdf_pages"), "zero_articles", "glued_dates", "title_mismatch", *_flat(out))
 
 
-QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book)}
+def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urgent and high orders as a book's table of contents."""
+    toc = table(spark, sf_dir, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    return toc.select(F.col("o_custkey").alias("doc"), "o_orderkey", F.col("o_orderstatus").alias("l0"), F.lit(None).cast("string").alias("l1"), F.concat(F.lit("규정 "), "o_orderstatus").alias("title"))
+
+
+def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Books whose every seventh page has a table over its second and third line."""
+    pages = _pages(spark, sf_dir).select("doc", (F.col("page_idx") + 1).alias("page"), "text")
+    tabled = pages.where("page % 7 = 0")
+    lines = tabled.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
+    words = lines.select("doc", "page", "line", F.posexplode(F.filter(F.split("_text", " "), lambda w: w != "")).alias("k", "word"))
+    words = words.select("doc", "page", (F.col("k") * 10.0).alias("x0"), (F.col("line") * 10.0).alias("y0"), (F.col("k") * 10.0 + 9).alias("x1"), (F.col("line") * 10.0 + 9).alias("y1"), "word", F.lit(0).alias("block"), "line")
+    cell = F.col("page").cast("string")
+    rows = F.array(F.array(cell, F.lit("a<b")), F.array(F.lit(None).cast("string"), F.lit("x")))
+    box = lambda x: F.lit(float(x))
+    tables = tabled.select("doc", "page", F.lit(0).alias("tbl"), box(-5).alias("x0"), box(40).alias("y0"), box(1e6).alias("x1"), box(59).alias("y1"), rows.alias("rows"), F.concat(F.lit("/forms/p"), cell, F.lit(".pdf")).alias("source_url"))
+    return boxed.patch_book(pages, words, tables, _toc(spark, sf_dir), ["o_orderkey"])
+
+
+def patched_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books extracted with the tables of their pages as markup."""
+    out, _ = _patched(spark, sf_dir)
+    return out.select("doc", "seq", "l0", "toc_title", "index_no", F.array_join("pdf_pages", ",").alias("pdf_pages"), *_flat(out))
+
+
+def table_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which regulation each page with a table belongs to."""
+    _, owners = _patched(spark, sf_dir)
+    return owners.select("page.doc", "page.page", "seq")
+
+
+def headings_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' lines with torn headings put together: of each line only a part stands."""
+    words = F.element_at(F.array(*[F.lit(x) for x in _TORN]), (F.col("l_partkey") % len(_TORN) + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), *_ORDER, words.alias("line"))
+    loose = records.MARKDOWN
+    out = segment.merge_ahead(lines, _ORDER, r"^제\s*\d*\s*$", [loose.chapter, loose.section, loose.subsection])
+    return segment.join_split_word(out, _ORDER)
+
+
+_TORN = ["제", "제 1", "2", "장", "장총칙", "절 목적", "관", "부", "칙", " 제3 ", "본문", "제"]
+
+QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book, patched_book, table_owners, headings_ahead)}
 
 
 # --- SQL ------------------------------------------------------------------------------
@@ -142,15 +183,37 @@ i3 AS (SELECT *, max(y) OVER (PARTITION BY doc, run ORDER BY page_idx ROWS BETWE
 i4 AS (SELECT *, sum((y IS NOT NULL AND (restart OR coalesce(y > m, false)))::INT) OVER (PARTITION BY doc ORDER BY page_idx)::BIGINT AS island FROM i3),
 islands AS (SELECT * FROM i4 WHERE island > 0),
 heads AS (SELECT doc || '/' || island AS key, doc, island, first(y ORDER BY page_idx) AS index_no, {_SPACE("first(header ORDER BY page_idx)")} AS first_header, string_agg((page_idx + 1)::VARCHAR, ',' ORDER BY page_idx) AS pdf_pages FROM islands GROUP BY ALL),
-ln AS (SELECT doc || '/' || island AS doc, row_number() OVER (PARTITION BY doc, island ORDER BY page_idx, {", ".join(_ORDER)}) AS pos, page_idx, trim(line) AS s FROM islands JOIN worded ON l_orderkey = page_idx),
+LINES
 docs AS (SELECT key AS doc, 'paged' AS dialect, NULL::VARCHAR AS title_hint FROM heads),
 {_RECORDS}"""
 
+_PLAIN_LINES = f"""ln AS (SELECT doc || '/' || island AS doc, row_number() OVER (PARTITION BY doc, island ORDER BY page_idx, {", ".join(_ORDER)}) AS pos, page_idx, trim(line) AS s FROM islands JOIN worded ON l_orderkey = page_idx),"""
+_TABLE_LINES = rf"""w0 AS (SELECT doc || '/' || island AS doc, page_idx, (page_idx + 1) % 7 = 0 AS boxed, 2 + row_number() OVER (PARTITION BY page_idx ORDER BY {", ".join(_ORDER)}) AS i, line FROM islands JOIN worded ON l_orderkey = page_idx),
+w1 AS (SELECT *, CASE WHEN boxed THEN trim(regexp_replace(line, ' +', ' ', 'g')) ELSE trim(line) END AS s FROM w0),
+w2 AS (SELECT doc, page_idx, sum(len(string_split(s, ' '))) FILTER (i = 4) AS c4, coalesce(sum(len(string_split(s, ' '))) FILTER (i = 5), 0) AS c5 FROM w1 WHERE boxed AND i IN (4, 5) GROUP BY ALL),
+w3 AS (SELECT doc, page_idx, i, 1 AS side, s FROM w1 WHERE NOT boxed OR i NOT IN (4, 5)
+  UNION ALL SELECT doc, page_idx, CASE WHEN (c4 + c5) // 2 < c4 THEN 4 ELSE 5 END, 0, '<div class="article-table-wrap"><table class="inline-table"><tbody><tr><td>' || (page_idx + 1) || '</td><td>a&lt;b</td></tr><tr><td></td><td>x</td></tr></tbody></table>'
+    || '<a class="table-src-link" href="/forms/p' || (page_idx + 1) || '.pdf" target="_blank">원본 페이지 보기 (PDF)</a></div>' FROM w2),
+ln AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_idx, i, side) AS pos, page_idx, s FROM w3),"""
+_ENTRIES = """toc AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, o_orderstatus AS l0, '규정 ' || o_orderstatus AS toc_title FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY island) AS seq FROM heads)"""
+_BOOK, _PATCHED = _BOOK.replace("LINES", _PLAIN_LINES), _BOOK.replace("LINES", _TABLE_LINES)
+
 ORACLES = {
     "parsed_dialects": f"WITH {_WORDED}, ln AS (SELECT l_suppkey AS doc, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_ORDER)}) AS pos, NULL::INT AS page_idx, trim(line) AS s FROM worded), {_DIALECT_DOCS}, {_RECORDS} SELECT * FROM rec",
     "snapshot_records": f"WITH {_BOOK} SELECT heads.doc, island, index_no, first_header, pdf_pages, rec.* EXCLUDE (doc) FROM heads JOIN rec ON rec.doc = key",
-    "extracted_book": f"""WITH {_BOOK}, toc AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, o_orderstatus AS l0, '규정 ' || o_orderstatus AS toc_title FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
-z AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY island) AS seq FROM heads)
+    "extracted_book": f"""WITH {_BOOK}, {_ENTRIES}
 SELECT z.doc, seq::INT AS seq, l0, toc_title, index_no::VARCHAR AS index_no, pdf_pages, article_count = 0 AS zero_articles, regexp_matches(parsed_title, '[0-9]') AND amend_dates = '' AS glued_dates,
   NOT contains({_BARE("parsed_title")}, {_BARE("toc_title")}) AND NOT contains({_BARE("toc_title")}, {_BARE("parsed_title")}) AS title_mismatch, rec.* EXCLUDE (doc) FROM z JOIN toc USING (doc, seq) JOIN rec ON rec.doc = z.key""",
+    "patched_book": f"WITH {_PATCHED}, {_ENTRIES} SELECT z.doc, seq::INT AS seq, l0, toc_title, index_no::VARCHAR AS index_no, pdf_pages, rec.* EXCLUDE (doc) FROM z JOIN toc USING (doc, seq) JOIN rec ON rec.doc = z.key",
+    "table_owners": f"""WITH {_BOOK}, {_ENTRIES} SELECT pg.doc, page_idx + 1 AS page, (SELECT min(seq)::INT FROM z JOIN toc USING (doc, seq) JOIN islands i USING (doc, island) WHERE z.doc = pg.doc AND i.page_idx = pg.page_idx) AS seq FROM pg WHERE (page_idx + 1) % 7 = 0""",
+    "headings_ahead": rf"""WITH RECURSIVE l0 AS (SELECT l_suppkey AS doc, {", ".join(_ORDER)}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(_ORDER)}) AS n, trim([{", ".join(map(_text, _TORN))}][l_partkey % {len(_TORN)} + 1]) AS s FROM lineitem),
+l1 AS (SELECT *, s || lead(s, 1) OVER w AS j1, j1 || lead(s, 2) OVER w AS j2, j2 || lead(s, 3) OVER w AS j3 FROM l0 WINDOW w AS (PARTITION BY doc ORDER BY n)),
+cand AS (SELECT doc, n, CASE WHEN regexp_matches(j1, '^제\s*\d+\s*[장절관]') THEN 1 WHEN regexp_matches(j2, '^제\s*\d+\s*[장절관]') THEN 2 WHEN regexp_matches(j3, '^제\s*\d+\s*[장절관]') THEN 3 END AS k, CASE k WHEN 1 THEN j1 WHEN 2 THEN j2 ELSE j3 END AS t
+  FROM l1 WHERE regexp_matches(s, '^제\s*\d*\s*$') AND k IS NOT NULL),
+pick AS (SELECT doc, min(n) AS n FROM cand GROUP BY doc UNION ALL SELECT p.doc, (SELECT min(c.n) FROM cand c WHERE c.doc = p.doc AND c.n > p.n + (SELECT d.k FROM cand d WHERE d.doc = p.doc AND d.n = p.n)) FROM pick p WHERE p.n IS NOT NULL),
+took AS (SELECT cand.* FROM pick JOIN cand USING (doc, n)), gone AS (SELECT doc, n + i AS n FROM took, range(1, 4) r(i) WHERE i <= k),
+l2 AS (SELECT l0.* EXCLUDE (s), coalesce(t, s) AS s FROM l0 LEFT JOIN took USING (doc, n) ANTI JOIN gone USING (doc, n)),
+l3 AS (SELECT *, s = '부' AND coalesce(lead(s) OVER w = '칙', false) AS first, s = '칙' AND coalesce(lag(s) OVER w = '부', false) AS second FROM l2 WINDOW w AS (PARTITION BY doc ORDER BY n))
+SELECT doc, {", ".join(_ORDER)}, CASE WHEN first THEN '부칙' ELSE s END AS line FROM l3 WHERE NOT second""",
 }
