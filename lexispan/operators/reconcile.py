@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
+from lexispan.session import checkpointed
 
 # Words of old/new comparison tables.
 OLD_HEADERS = ("현행규정", "현행학칙", "현 행")
@@ -77,19 +78,34 @@ def covered_by(events: DataFrame, hits: DataFrame, key: str, start: str, end: Co
 
 
 def next_edition(events: DataFrame, editions: DataFrame, at: str, edition: str, tolerance_days: int, key: str | None = None) -> DataFrame:
-    """Forward as-of join: adds the first edition on or after each event, null beyond
-    the tolerance. Events and editions are merged into one ordered list per key and
-    looked ahead in it, so no event meets more than its own key's rows."""
-    from pyspark.sql import Window
-
+    """Forward as-of join: adds ``next``, the first edition on or after each event, null
+    beyond the tolerance.
+
+    What comes next depends on the time alone, so distinct times (of each key) are merged
+    with the editions and looked ahead in, and the answers are joined back to the events.
+    Without a key the times are dealt out in ranges; each range looks ahead in itself, and
+    the first edition of the ranges after it (one row a range) is carried in.
+    """
     keys = [key] if key else []
-    left = events.withColumn("_t", F.col(at)).withColumn("_e", F.lit(None).cast(editions.schema[edition].dataType)).withColumn("_is", F.lit(0))
-    right = editions.select(*keys, F.col(edition).alias("_t"), F.col(edition).alias("_e"), F.lit(1).alias("_is"))
-    rows = left.unionByName(right, allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys).orderBy("_t", "_is").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first("_e", ignorenulls=True).over(ahead)).where("_is = 0")
-    near = F.date_diff(F.col("next"), F.col("_t")) <= tolerance_days
-    return rows.withColumn("next", F.when(near, F.col("next"))).drop("_t", "_e", "_is")
+    times = events.select(*keys, F.col(at).alias("_t"), F.lit(None).cast(editions.schema[edition].dataType).alias("_e")).where("_t IS NOT NULL").distinct()
+    rows = times.unionByName(editions.select(*keys, F.col(edition).alias("_t"), F.col(edition).alias("_e")).where("_t IS NOT NULL").distinct())
+    if key:
+        ahead = Window.partitionBy(key).orderBy("_t", F.col("_e").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+        found = rows.withColumn("next", F.first("_e", ignorenulls=True).over(ahead))
+    else:
+        # kept, so that ranges are the same wherever they are read
+        rows = checkpointed(rows.repartitionByRange("_t").withColumn("_range", F.spark_partition_id()))
+        ahead = Window.partitionBy("_range").orderBy("_t", F.col("_e").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+        later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+        firsts = rows.groupBy("_range").agg(F.min("_e").alias("_first"))  # at most spark.sql.shuffle.partitions rows
+        carried = firsts.select("_range", F.min("_first").over(later).alias("_carried"))
+        found = rows.join(F.broadcast(carried), "_range").withColumn("next", F.coalesce(F.first("_e", ignorenulls=True).over(ahead), "_carried"))
+    found = found.where("_e IS NULL").select(*[F.col(k).alias(f"_{k}") for k in keys], "_t", "next")
+    found = found.where(F.date_diff(F.col("next"), F.col("_t")) <= tolerance_days)
+    same = F.col(at) == F.col("_t")
+    for k in keys:
+        same = same & events[k].eqNullSafe(F.col(f"_{k}"))
+    return events.join(found, same, "left").drop("_t", *[f"_{k}" for k in keys])
 
 
 def crosscheck(committee: DataFrame, regulations: DataFrame, revisions: DataFrame, months: int = 9, institution: str = "") -> DataFrame:
@@ -115,11 +131,8 @@ def fill_gaps(checked: DataFrame, changes: DataFrame, editions: DataFrame, exist
     numbered = F.transform(rows, lambda x, i: F.struct(*[x[f].alias(f) for f in fields], i.cast("int").alias("ordinal")))
     full = full.groupBy("record_id").agg(numbered.alias("changes"))
     gaps = checked.where("status = 'gap'").select("record_id", F.col("regulation_id").alias("regulation_seq"), "session_date")
-    # editions are one list for all records: a few dates, checked before they are sent
-    dates = editions.select("edition").distinct().orderBy("edition")
-    gaps = gaps.join(F.broadcast(dates.agg(F.array_sort(F.collect_set("edition")).alias("_all"))), how="cross")
-    nxt = F.try_element_at(F.filter("_all", lambda d: d >= F.col("session_date")), F.lit(1))
-    gaps = gaps.withColumn("_e", nxt).drop("_all").where(F.date_diff("_e", "session_date") <= tolerance_days)
+    gaps = next_edition(gaps, editions.select("edition"), "session_date", "edition", tolerance_days)
+    gaps = gaps.withColumnRenamed("next", "_e").where("_e IS NOT NULL")
     gaps = gaps.withColumn("revised_at", F.date_format("_e", "yyyy.MM.dd"))
     gaps = gaps.join(existing.select("regulation_seq", "revised_at"), ["regulation_seq", "revised_at"], "left_anti").join(full, "record_id")
     gaps = first_wins(gaps, ["regulation_seq", "revised_at"], ["session_date", "record_id"])

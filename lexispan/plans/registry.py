@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
-from lexispan.operators import catalog, dml, history, layout, reconcile, render, segment, similar, spacing
+from lexispan.operators import catalog, dml, history, layout, markup, reconcile, render, segment, similar, spacing
 from lexispan.plans import extraction
 from lexispan.plans.tables import book, dotted, table
 
@@ -511,8 +511,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.concat(F.lit("<tr><td>"), F.col("role"), F.lit("</td><td>"), T.html_escape(F.col("text")), F.lit("<table><tr><td>x</td></tr></table></td></tr>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))), lambda x: x["c"]), "")
     made = turns.groupBy("conv_id").agg(F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
-    out = made.select("conv_id", F.posexplode(render.html_cells("html")).alias("row", "cells"))
-    return out.select("conv_id", "row", F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", "|")).alias("cells_md5"))
+    return markup.grid(made, "conv_id", "html").select("conv_id", "row", F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", "|")).alias("cells_md5"))
 
 
 @query

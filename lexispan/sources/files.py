@@ -11,10 +11,11 @@ from pyspark.sql.types import StructType
 
 from lexispan import schemas
 from lexispan.functions import text as T
+from lexispan.session import checkpointed
 
 _NAME = "_metadata.file_name"
 _PATH = "_metadata.file_path"
-ARRAY_ROWS = 100_000  # rows that one JSON array may have
+ARRAY_ROWS = 100_000  # rows in one file of a JSON array
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -23,15 +24,29 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One JSON document that is an array of all rows; more than ARRAY_ROWS rows are
-    refused, since one task makes the document."""
-    if df.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
-        raise ValueError(f"more than {ARRAY_ROWS} rows: write them as JSON lines")
-    rows = F.collect_list(F.struct(F.struct(*order or [F.lit(0)]).alias("at"), F.struct(*df.columns).alias("row")))
-    if order:
-        rows = F.array_sort(rows, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
-    one = df.agg(F.transform(rows, lambda x: x["row"]).alias("rows")).select(F.to_json("rows").alias("value"))
-    one.coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array of all rows, one row a line, in the files of ``path`` by name: up to
+    ARRAY_ROWS rows in one file, which is a JSON document then, more in several, which are
+    one when put together. Each task writes its range of the order; only the first and the
+    last row know that they carry a bracket."""
+    rows = checkpointed(df)
+    parts = max(1, -(-rows.count() // ARRAY_ROWS))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else rows.repartition(parts)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    # places ascend with the partitions; kept, so that they are the same when written
+    rows = checkpointed(rows.select(text.alias("value"), F.monotonically_increasing_id().alias("_at")))
+    first, last = rows.agg(F.min("_at"), F.max("_at")).first()
+    if first is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    begin, end = F.when(F.col("_at") == first, "[").otherwise(","), F.when(F.col("_at") == last, "]").otherwise("")
+    rows.select(F.concat(begin, "value", end).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_written_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``write_json_array`` wrote, however many files they fill."""
+    text = spark.read.text(path).where("value <> '[]'")
+    bare = F.regexp_replace(F.regexp_replace("value", r"^[\[,]", ""), r"\}\]$", "}")
+    return text.select(F.from_json(bare, schema).alias("r")).select("r.*")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -80,14 +95,19 @@ def read_plain_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown_lines(spark: SparkSession, path: str) -> DataFrame:
     """``doc, line_no, line`` of converted documents: heading marks stripped, blank
     lines dropped, each HTML table kept whole as one wrapped line. Tables are parted
-    from the text around them before anything is split at line ends."""
+    from the text around them before anything is split at line ends. A document laid out
+    in one frame of tables gives its cells' lines instead."""
+    from lexispan.operators import markup
+
     text = spark.read.text(path, wholetext=True).select(F.col(_PATH).alias("doc"), "value")
+    framed = markup.framed_lines(text, "doc", "value")
+    text = text.where(~markup.is_framed(F.col("value")))
     table = r"(?is)<table\b.*?</table>"
     around = F.transform(F.split("value", table, -1), lambda s: F.transform(F.split(s, "\r?\n"), lambda x: T.strip(F.regexp_replace(x, r"^\s*#{1,6}\s*", ""))))
     wrap = lambda t: F.concat(F.lit('<div class="article-table-wrap">'), F.regexp_replace(t, "(?i)^<table", '<table class="inline-table"'), F.lit("</div>"))
     tables = F.transform(F.regexp_extract_all("value", F.lit(table), F.lit(0)), lambda t: F.array(wrap(t)))
     parts = F.flatten(F.zip_with(around, tables, lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<string>")))))
-    return text.select("doc", F.posexplode(F.filter(parts, lambda x: x != "")).alias("line_no", "line"))
+    return text.select("doc", F.posexplode(F.filter(parts, lambda x: x != "")).alias("line_no", "line")).unionByName(framed)
 
 
 def read_editions(spark: SparkSession, path: str, first: str, last: str, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -121,7 +141,7 @@ def read_archive(spark: SparkSession, path: str, sessions: str = "202", suffix:
     from lexispan.operators.reconcile import stage_rank
 
     text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col(_PATH).alias("p"), "value")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getName()
+    root = path.rstrip("/").rsplit("/", 1)[-1]
     below = F.split(F.regexp_replace(F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B"))), rf"^.*?/\Q{root}\E/", ""), "/")
     rows = text.select(F.get(below, F.lit(0)).alias("session"), F.when(F.size(below) > 2, F.get(below, F.lit(1))).otherwise("").alias("stage"), F.element_at(below, -1).alias("file"), F.col("value").alias("content"))
     rows = rows.where(F.col("session").startswith(sessions) & F.lower("file").endswith(suffix))
