@@ -239,8 +239,8 @@ c AS (SELECT pair, had.n - coalesce(has.n, 0) AS n FROM had LEFT JOIN has USING
 r AS (SELECT doc, x0, y0, word, k, y0 AS anchor, 0 AS n FROM w WHERE k = 1
   UNION ALL SELECT w.doc, w.x0, w.y0, w.word, w.k, CASE WHEN abs(w.y0 - r.anchor) > 3 THEN w.y0 ELSE r.anchor END, r.n + (abs(w.y0 - r.anchor) > 3)::INT FROM r JOIN w ON w.doc = r.doc AND w.k = r.k + 1)
 SELECT doc, n AS "row", string_agg(word, ' ' ORDER BY x0, y0, word) AS text, min(y0) AS y0 FROM r GROUP BY doc, n""",
-    "best_match": f"""WITH a AS (SELECT item_id, {_shingles(_BARE("text"))} AS n FROM benchmark), d AS (SELECT doc_id AS tbl, floor(doc_id / 100)::BIGINT AS page, {_BARE("text")} AS t FROM documents),
-s AS (SELECT item_id, page, tbl, {_containment("n", "t")} AS score FROM a CROSS JOIN d),
+    "best_match": f"""WITH a AS (SELECT item_id, length(text) // 100 AS low, length(text) // 2 AS high, {_shingles(_BARE("text"))} AS n FROM benchmark), d AS (SELECT doc_id AS tbl, length(text) // 100 AS page, {_BARE("text")} AS t FROM documents),
+s AS (SELECT item_id, page, tbl, {_containment("n", "t")} AS score FROM a JOIN d ON page BETWEEN low AND high),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page, tbl) = 1)
 SELECT a.item_id AS attachment, page, tbl, round(score, 6) AS score FROM a LEFT JOIN (SELECT * FROM b WHERE score >= 0.5) b USING (item_id)""",
     "best_match_all": f"""WITH a AS (SELECT item_id, {_shingles(_BARE("text"))} AS n FROM benchmark), d AS (SELECT doc_id AS tbl, {_BARE("text")} AS t FROM documents),

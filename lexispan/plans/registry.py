@@ -461,11 +461,11 @@ def spacing_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item against every document; a page holds a hundred consecutive
-    ids, and an item may lie on any page."""
-    one, first, last = F.lit(0), F.lit(-(2**62)), F.lit(2**62)
-    items = table(spark, sf_dir, "benchmark").select(one.alias("doc"), F.col("item_id").alias("attachment"), first.alias("start_page"), last.alias("end_page"), "text")
-    docs = table(spark, sf_dir, "documents").select(one.alias("doc"), F.floor(F.col("doc_id") / 100).alias("page"), F.col("doc_id").alias("tbl"), "text")
+    """Every benchmark item against the documents that may hold it: a document's page is
+    its length in hundreds, and an item's pages run from its own length to fifty times it."""
+    one, size = F.lit(0), F.length("text")
+    items = table(spark, sf_dir, "benchmark").select(one.alias("doc"), F.col("item_id").alias("attachment"), F.floor(size / 100).alias("start_page"), F.floor(size / 2).alias("end_page"), "text")
+    docs = table(spark, sf_dir, "documents").select(one.alias("doc"), F.floor(size / 100).alias("page"), F.col("doc_id").alias("tbl"), "text")
     out = similar.best_match(items, docs)
     return out.select("attachment", "page", "tbl", F.round("score", 6).alias("score"))
 

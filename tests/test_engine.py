@@ -111,7 +111,9 @@ def test_best_match_anywhere(spark):
     assert got == {250: (901, 1.0), 251: (None, None), 252: (None, None), 253: (None, None), 254: (3, 0.5)}
 
 
-def test_best_match_meets_every_table_in_range(spark):
+@pytest.mark.parametrize("sent", [similar.BROADCAST_ROWS, 0])
+def test_best_match_meets_every_table_in_range(spark, monkeypatch, sent):
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", sent)
     """Against every pair: random texts, repeated keys, other books and empty tables."""
     import random
 
