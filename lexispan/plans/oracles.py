@@ -316,4 +316,20 @@ SELECT p.doc, page, start, "end" FROM p LEFT JOIN e ON e.doc = p.doc AND page BE
     "status_histogram": f"SELECT status, count(*)::BIGINT AS n FROM ({ORACLES['committee_crosscheck']}) GROUP BY 1",
 }
 
+#: Token diff by the whole table of common lengths: rows from the last old token upwards,
+#: then the walk from the beginning.
+_DIFF = rf"""WITH RECURSIVE p AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS old, text AS new FROM conversations),
+t AS (SELECT conv_id, turn, regexp_extract_all(old, '\S+|\s+') AS a, regexp_extract_all(new, '\S+|\s+') AS b FROM p WHERE old IS NOT NULL),
+r AS (SELECT conv_id, turn, a, b, len(a) AS i, list_transform(range(len(b) + 1), lambda j: 0) AS below FROM t
+  UNION ALL SELECT conv_id, turn, a, b, i - 1, list_reverse(list_reduce(list_prepend([0], list_transform(range(len(b), 0, -1), lambda j: [CASE WHEN b[j] = a[i] THEN below[j + 1] + 1 ELSE below[j] END])),
+    lambda acc, x: list_append(acc, greatest(acc[-1], x[1])))) FROM r WHERE i > 0),
+w AS (SELECT conv_id, turn, 0 AS i, 0 AS j, 0 AS k, ''::VARCHAR AS kind FROM t
+  UNION ALL SELECT w.conv_id, w.turn, w.i + (step <> 'ins')::INT, w.j + (step <> 'del')::INT, w.k + 1, step FROM (
+    SELECT w.conv_id, w.turn, w.i, w.j, w.k, CASE WHEN w.i < len(here.a) AND w.j < len(here.b) AND here.a[w.i + 1] = here.b[w.j + 1] THEN 'same' WHEN w.j = len(here.b) OR (w.i < len(here.a) AND next.below[w.j + 1] >= here.below[w.j + 2]) THEN 'del' ELSE 'ins' END AS step
+    FROM w JOIN r here ON here.conv_id = w.conv_id AND here.turn = w.turn AND here.i = w.i LEFT JOIN r next ON next.conv_id = w.conv_id AND next.turn = w.turn AND next.i = w.i + 1 WHERE w.i < len(here.a) OR w.j < len(here.b)) w)
+SELECT t.conv_id, t.turn, md5(coalesce(string_agg(CASE kind WHEN 'del' THEN '<span class="diff-del">' || x || '</span>' ELSE x END, '' ORDER BY k) FILTER (kind <> 'ins'), '')) AS old_md5,
+  md5(coalesce(string_agg(CASE kind WHEN 'ins' THEN '<span class="diff-ins">' || y || '</span>' ELSE y END, '' ORDER BY k) FILTER (kind <> 'del'), '')) AS new_md5, count(*) FILTER (kind = 'del')::INT AS n_deleted
+FROM t LEFT JOIN (SELECT w.*, replace(replace(replace(t.a[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, replace(replace(replace(t.b[j], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS y FROM w JOIN t USING (conv_id, turn) WHERE k > 0) s USING (conv_id, turn) GROUP BY t.conv_id, t.turn"""
+
 ORACLES |= extraction.ORACLES
+ORACLES["token_lcs_diff"] = _DIFF
