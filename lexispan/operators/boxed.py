@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
 from lexispan.operators import layout, records, segment, similar
+from lexispan.session import checkpointed
 
 # Headings of standalone statutes, letter-spaced over several lines.
 CHAPTER_ALONE, CHAPTER_TITLED, SECTION_ALONE = r"^제\s*(\d+)\s*장\s*$", r"^제\s*(\d+)\s*장\s+(.+)$", r"^제\s*(\d+)\s*절\s*$"
@@ -83,7 +84,7 @@ def extract_statutes(pages: DataFrame, words: DataFrame, tables: DataFrame, titl
         moved = segment.relocate(lines, "line_no", moving, anchor, T.matches(s, STRUCTURAL))
         lines = segment.renumbered(moved.drop("line_no"), ["place"]).drop("place")
     dated = T.matches(T.strip(F.col("line")), records.STATUTES.date_line)
-    lines = lines.select("doc", "line_no", "line")
+    lines = checkpointed(lines.select("doc", "line_no", "line"))  # read twice
     lines = whole_headings(lines.where(~dated)).unionByName(lines.where(dated))
     docs = titles.select("doc", F.lit(records.STATUTES.dialect).alias("dialect"), F.lit(None).cast("string").alias("title_hint"))
     found = records.parse_records(lines, docs).drop("attachments")

@@ -113,7 +113,33 @@ def headings_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TORN = ["제", "제 1", "2", "장", "장총칙", "절 목적", "관", "부", "칙", " 제3 ", "본문", "제"]
 
-QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book, patched_book, table_owners, headings_ahead)}
+#: What line items say in a statute, by part number.
+_SAID = ["'제 ' || q || ' 장'", "'총'", "'칙'", "'부'", "'제' || q || '장  ' || f", "'제' || q || '절'", "'제' || q || '조(' || f || ') 이'", "''", "'제정 2001.' || q || '.3.'", "'개정 2002.' || q", "'① ' || f", "f || '  ' || q", "'(' || f || ') ' || q", "f", "'학칙은 다.'", "'제5조'"]
+_STATUTE = "CASE l_partkey % 16 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_SAID)) + " END"
+_ANCHOR = r"^제\s*5\s*조"
+
+
+def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as standalone statutes of seven pages: two pages have a table over their
+    second and third line, one of which belongs to article 5, and the last page continues
+    the last table."""
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER, F.col("l_quantity").cast("int").cast("string").alias("q"), F.col("l_returnflag").alias("f"))
+    of = items.withColumn("said", F.expr(_STATUTE)).groupBy(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"))
+    pages = of.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, "said"))), lambda x: x["said"]), "\n").alias("text"))
+    tabled = pages.where("page IN (2, 3, 4)")
+    lines = tabled.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
+    words = lines.select("doc", "page", "line", F.posexplode(F.filter(F.split("_text", " "), lambda w: w != "")).alias("k", "word"))
+    words = words.select("doc", "page", (F.col("k") * 10.0).alias("x0"), (F.col("line") * 10.0).alias("y0"), (F.col("k") * 10.0 + 9).alias("x1"), (F.col("line") * 10.0 + 9).alias("y1"), "word", F.lit(0).alias("block"), "line")
+    row = lambda *cs: F.array(*[F.lit(c) for c in cs])
+    rows = F.when(F.col("page") == 2, F.array(row("가", "나"), row("다", "라"))).when(F.col("page") == 3, F.array(row("이동", "45"))).otherwise(F.array(row("총", "칙")))
+    tables = tabled.select("doc", "page", F.lit(0).alias("tbl"), F.lit(-5.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(1e6).alias("x1"), F.lit(29.0).alias("y1"), rows.alias("rows"))
+    titles = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), (F.col("s_suppkey") + 120).alias("seq"), F.col("s_name").alias("toc_title"))
+    moving = F.contains("line", F.lit("<table")) & F.contains("line", F.lit("이동"))
+    out = boxed.extract_statutes(pages, words, tables, titles, moving, F.coalesce(F.col("line").rlike(_ANCHOR), F.lit(False)))
+    return out.select("doc", "seq", "toc_title", F.array_join("table_pages", ",").alias("table_pages"), *_flat(out)[:-1])
+
+
+QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book, patched_book, table_owners, headings_ahead, statutes)}
 
 
 # --- SQL ------------------------------------------------------------------------------
@@ -197,6 +223,35 @@ w3 AS (SELECT doc, page_idx, i, 1 AS side, s FROM w1 WHERE NOT boxed OR i NOT IN
 ln AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_idx, i, side) AS pos, page_idx, s FROM w3),"""
 _ENTRIES = """toc AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, o_orderstatus AS l0, '규정 ' || o_orderstatus AS toc_title FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
 z AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY island) AS seq FROM heads)"""
+_STRUCT = "|".join(x.replace("(?:", "(") for x in (boxed.STRUCTURAL,))
+_MARKUP = lambda rows: '<div class="article-table-wrap"><table class="inline-table"><tbody>' + rows + "</tbody></table></div>"
+
+
+def _merged(source: str, out: str, alone: str, word: str) -> str:
+    """Headings that stand alone take the lines up to the next structural or blank one."""
+    return rf"""{out}0 AS (SELECT *, regexp_matches(trim(s), '{alone}') AS head, regexp_matches(trim(s), '{alone}') OR regexp_matches(trim(s), '{_STRUCT}') OR trim(s) = '' AS stop FROM {source}),
+{out}1 AS (SELECT *, sum(stop::INT) OVER {_RUN} AS part FROM {out}0), {out}2 AS (SELECT *, first_value(head) OVER w AS headed, row_number() OVER w AS n FROM {out}1 WINDOW w AS (PARTITION BY doc, part ORDER BY pos)),
+{out} AS (SELECT doc, min(pos) AS pos, CASE WHEN headed THEN '제' || regexp_extract(trim(first(s ORDER BY pos)), '{alone}', 1) || '{word} ' || coalesce(string_agg(trim(s), '' ORDER BY pos) FILTER (n > 1), '') ELSE first(s ORDER BY pos) END AS s
+  FROM {out}2 GROUP BY doc, part, headed, CASE WHEN headed THEN 0 ELSE n END)"""
+
+
+_STATUTES = rf"""s0 AS (SELECT l_suppkey AS doc, l_linenumber AS page, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY {", ".join(_ORDER)}) - 1 AS i, {_STATUTE} AS line FROM (SELECT *, l_quantity::INT::VARCHAR AS q, l_returnflag AS f FROM lineitem)),
+s1 AS (SELECT *, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS c FROM s0),
+more AS (SELECT doc, CASE WHEN NOT ends_with(x, '다.') THEN replace(x, chr(10), '<br>') END AS t FROM (SELECT doc, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS x FROM s0 WHERE page = 7 GROUP BY doc)),
+box AS (SELECT doc, page, coalesce(sum(c) FILTER (i = 1), 0) AS c1, coalesce(sum(c) FILTER (i = 2), 0) AS c2 FROM s1 WHERE page IN (2, 3) GROUP BY ALL),
+s2 AS (SELECT doc, page, i, 1 AS side, line AS s FROM s1 WHERE page NOT IN (2, 3, 7) OR (page = 7 AND doc IN (SELECT doc FROM more WHERE t IS NULL)) UNION ALL SELECT doc, page, i, 1, trim(regexp_replace(line, ' +', ' ', 'g')) FROM s1 WHERE page IN (2, 3) AND i NOT IN (1, 2) AND c > 0
+  UNION ALL SELECT doc, page, CASE WHEN (c1 + c2) // 2 < c1 THEN 1 ELSE 2 END, 0, CASE page WHEN 2 THEN '{_MARKUP("<tr><td>가</td><td>나</td></tr><tr><td>다</td><td>라</td></tr>")}' ELSE '{_MARKUP("<tr><td>이동@</td><td>45</td></tr>").replace("@", "' || coalesce('<br>' || t, '') || '")}' END FROM box JOIN more USING (doc) WHERE c1 + c2 > 0),
+s3 AS (SELECT doc, s, row_number() OVER (PARTITION BY doc ORDER BY page, i, side) AS at0, contains(s, '<table') AND contains(s, '이동') AS m, regexp_matches(trim(s), '{_STRUCT}') AS st FROM s2),
+s4 AS (SELECT *, min(at0) FILTER (NOT m AND regexp_matches(s, '{_ANCHOR}')) OVER (PARTITION BY doc) AS a FROM s3),
+s5 AS (SELECT *, min(at0) FILTER (NOT m AND st AND at0 > a) OVER (PARTITION BY doc) AS z FROM s4),
+s6 AS (SELECT doc, s, row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN m THEN coalesce(z, 1e18) ELSE at0 END, (NOT m)::INT, at0) AS pos FROM s5 WHERE NOT m OR a IS NOT NULL),
+body AS (SELECT * FROM s6 WHERE NOT regexp_matches(trim(s), '{records.STATUTES.date_line}')),
+{_merged("body", "ch", boxed.CHAPTER_ALONE, "장")}, {_merged("ch", "se", boxed.SECTION_ALONE, "절")},
+p0 AS (SELECT *, trim(s) = '부' AND coalesce(lead(trim(s)) OVER w = '칙', false) AS one, trim(s) = '칙' AND coalesce(lag(trim(s)) OVER w = '부', false) AS two FROM se WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+p1 AS (SELECT doc, pos, CASE WHEN one THEN '부칙' ELSE s END AS s FROM p0 WHERE NOT two),
+ln AS (SELECT doc, pos, NULL::INT AS page_idx, trim(CASE WHEN regexp_matches(trim(s), '{boxed.CHAPTER_TITLED}') THEN regexp_replace(trim(s), '{boxed.CHAPTER_TITLED}', '제\1장 \2') ELSE s END) AS s FROM p1
+  UNION ALL SELECT doc, pos, NULL, trim(s) FROM s6 WHERE regexp_matches(trim(s), '{records.STATUTES.date_line}')),
+docs AS (SELECT s_suppkey AS doc, 'statutes' AS dialect, NULL::VARCHAR AS title_hint FROM supplier), {_RECORDS}"""
 _BOOK, _PATCHED = _BOOK.replace("LINES", _PLAIN_LINES), _BOOK.replace("LINES", _TABLE_LINES)
 
 ORACLES = {
@@ -206,6 +261,7 @@ ORACLES = {
 SELECT z.doc, seq::INT AS seq, l0, toc_title, index_no::VARCHAR AS index_no, pdf_pages, article_count = 0 AS zero_articles, regexp_matches(parsed_title, '[0-9]') AND amend_dates = '' AS glued_dates,
   NOT contains({_BARE("parsed_title")}, {_BARE("toc_title")}) AND NOT contains({_BARE("toc_title")}, {_BARE("parsed_title")}) AS title_mismatch, rec.* EXCLUDE (doc) FROM z JOIN toc USING (doc, seq) JOIN rec ON rec.doc = z.key""",
     "patched_book": f"WITH {_PATCHED}, {_ENTRIES} SELECT z.doc, seq::INT AS seq, l0, toc_title, index_no::VARCHAR AS index_no, pdf_pages, rec.* EXCLUDE (doc) FROM z JOIN toc USING (doc, seq) JOIN rec ON rec.doc = z.key",
+    "statutes": f"WITH {_STATUTES} SELECT s_suppkey AS doc, s_suppkey + 120 AS seq, s_name AS toc_title, '2,3' AS table_pages, rec.* EXCLUDE (doc, attachments) FROM rec JOIN supplier ON s_suppkey = rec.doc",
     "table_owners": f"""WITH {_BOOK}, {_ENTRIES} SELECT pg.doc, page_idx + 1 AS page, (SELECT min(seq)::INT FROM z JOIN toc USING (doc, seq) JOIN islands i USING (doc, island) WHERE z.doc = pg.doc AND i.page_idx = pg.page_idx) AS seq FROM pg WHERE (page_idx + 1) % 7 = 0""",
     "headings_ahead": rf"""WITH RECURSIVE l0 AS (SELECT l_suppkey AS doc, {", ".join(_ORDER)}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(_ORDER)}) AS n, trim([{", ".join(map(_text, _TORN))}][l_partkey % {len(_TORN)} + 1]) AS s FROM lineitem),
 l1 AS (SELECT *, s || lead(s, 1) OVER w AS j1, j1 || lead(s, 2) OVER w AS j2, j2 || lead(s, 3) OVER w AS j3 FROM l0 WINDOW w AS (PARTITION BY doc ORDER BY n)),
