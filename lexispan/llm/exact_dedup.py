@@ -110,10 +110,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = probed.where("maybe_repeated").select("doc_id", "text_sha256", "n_points")
-    # max keeps the longest original; of equally long ones the smallest id (a null id sorts last)
-    best = F.max(F.struct("n_points", F.col("doc_id").isNotNull(), (-F.col("doc_id")).alias("neg"))).alias("best")
+    # min keeps the longest original; of equally long ones the smallest id (a null id sorts last)
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best")
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), best)
-    groups = groups.select("text_sha256", "group_size", (-F.col("best.neg")).alias("keep_id"))
+    groups = groups.select("text_sha256", "group_size", F.col("best.id").alias("keep_id"))
     groups = checkpointed(groups)
     # fewer than HOT_GROUPS groups can hold a HOT_GROUPS-th of all rows: those few are
     # broadcast, so no digest's rows meet in one task; the others shuffle
@@ -150,10 +150,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     through = probed.where(~F.col("maybe_repeated")).select("row")
     again = probed.where("maybe_repeated")
     rank = F.struct(
-        F.coalesce(F.length(F.col(f"row.`{text_col}`")), F.lit(0)).alias("n"),
-        F.col(f"row.`{id_col}`").isNotNull().alias("has"),
-        (-F.col(f"row.`{id_col}`")).alias("neg"),
+        (-F.coalesce(F.length(F.col(f"row.`{text_col}`")), F.lit(0))).alias("n"),
+        F.col(f"row.`{id_col}`").isNull().alias("none"),
+        F.col(f"row.`{id_col}`").alias("id"),
     )
     # partial aggregation keeps one row of each digest in every task before the shuffle
-    best = again.groupBy("text_sha256").agg(F.max_by("row", rank).alias("row"))
+    best = again.groupBy("text_sha256").agg(F.min_by("row", rank).alias("row"))
     return through.unionByName(best.select("row")).select("row.*")

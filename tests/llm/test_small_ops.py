@@ -312,3 +312,13 @@ def test_pack(spark):
     assert ids == set(range(len(ids)))
     assert packing.pack(empty(spark)).count() == 0
     assert packing.pack(docs(spark, ["a b", "a b", None], [None, None, 1])).count() == 3
+
+
+@pytest.mark.parametrize("kind,ids", [("long", [-(2**63), 5, 2**63 - 1, None, -(2**63)]), ("string", ["b", "a", "c", None, "b"])])
+def test_exact_dedup_of_any_ids(spark, kind, ids):
+    df = spark.createDataFrame(list(zip(ids, ["x y", "xy", "x  y", "x  y", "z"], strict=True)), f"doc_id {kind}, text string")
+    got = {(r["doc_id"], r["group_size"]): r["keep_id"] for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {(ids[0], 4): ids[2], (ids[1], 4): ids[2], (ids[2], 4): ids[2], (None, 4): ids[2], (ids[4], 1): ids[4]}
+    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(df).collect()) == sorted([(ids[2], "x  y"), (ids[4], "z")])
+    tie = spark.createDataFrame([(ids[1], "x y"), (ids[0], "x y")], f"doc_id {kind}, text string")
+    assert {r["keep_id"] for r in exact_dedup.exact_groups(tie).collect()} == {min(ids[:2])}
