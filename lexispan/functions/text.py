@@ -24,6 +24,7 @@ RUNNING_HEADER = r"^(\d+)\.\s*(.+)$"
 PAGE_FOOTER = r"^-\s*\d+\s*-$"
 DIVIDER = r"^[ⅠⅡⅢⅣ]\."
 AMENDMENT_TAG = r"\(([^()]*?(?:개정|신설|삭제|폐지)[^()]*?)\)"
+GLUED_ADDENDA = r"(다\.)(부칙)"
 TAG_DATE = r"\d{4}\.\s?\d{1,2}\.\s?\d{1,2}"
 OWN_TITLE = r"^제\s*\d+\s*조(?:\s*의\s*\d+)?\s*\(([^)]*)\)"
 TABLE_MARKER = "[표 - 별표 참조]"
@@ -214,6 +215,13 @@ def list_repairs(c: Column) -> Column:
     return F.replace(out, F.lit("**"), F.lit(""))
 
 
+def whole_lines(c: Column) -> Column:
+    """The lines of a converted line: bold marks gone, list numbers repaired, and an addenda
+    marker that the conversion glued to the sentence before it on a line of its own."""
+    parts = F.split(F.regexp_replace(F.replace(c, F.lit("**"), F.lit("")), GLUED_ADDENDA, "$1\n$2"), "\n")
+    return F.transform(parts, list_repairs)
+
+
 def highlight_amendments(c: Column) -> Column:
     return F.regexp_replace(c, r"([(\[])([^()\[\]]*?(?:개정|신설|삭제|폐지)[^()\[\]]*?)([)\]])", '<span class="amend-tag">$1$2$3</span>')
 

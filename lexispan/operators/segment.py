@@ -291,6 +291,13 @@ def merge_ahead(rows: DataFrame, order: list[str], fragment: str, whole: list[st
     return rows.select("doc", *order, F.when(F.col("_takes"), F.col("_text")).otherwise(F.col("line")).alias("line"))
 
 
+def repaired_lines(rows: DataFrame, order: list[str], name: str = "line_no") -> DataFrame:
+    """Converted lines as their sources had them (:func:`text.whole_lines`): ``doc``, the
+    line's number from 1 in its document, ``line``."""
+    parts = rows.select("doc", *order, F.posexplode(T.whole_lines(F.col("line"))).alias("_part", "line"))
+    return parts.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy(*order, "_part")).alias(name), "line")
+
+
 def join_split_word(rows: DataFrame, order: list[str], first: str = "부", second: str = "칙") -> DataFrame:
     """A word that stands on two lines becomes one line at the first one's place."""
     by = Window.partitionBy("doc").orderBy(*order)

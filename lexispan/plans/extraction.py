@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.operators import boxed, records, segment
+from lexispan.functions import text as T
+from lexispan.operators import boxed, markup, reconcile, records, render, segment
 from lexispan.plans.tables import table
 
 #: What line items say, by part number; q is the quantity, f the return flag.
@@ -139,7 +140,46 @@ def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "seq", "toc_title", F.array_join("table_pages", ",").alias("table_pages"), *_flat(out)[:-1])
 
 
-QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book, patched_book, table_owners, headings_ahead, statutes)}
+def next_edition_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and the next day on which a most urgent, finished one was made, whoever's."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    editions = orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_totalprice > 480000").select(F.col("day").alias("edition"))
+    out = reconcile.next_edition(orders.select("o_orderkey", "day"), editions, "day", "edition", 20)
+    return out.select("o_orderkey", F.date_format("next", "yyyy-MM-dd").alias("next"))
+
+
+def framed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages in one frame of tables, a row a turn with a small table inside,
+    taken apart to lines."""
+    turns = table(spark, sf_dir, "conversations")
+    row = F.concat(F.lit("<tr><td>"), F.col("role"), F.lit("</td><TD a='1'>"), T.html_escape(F.col("text")), F.lit("<table><tr><td>x</td></tr></table><br>end </td></tr>\n"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"]), "")
+    made = turns.groupBy("conv_id").agg(F.concat(F.lit(" <table>\n<tr><th><table>"), rows, F.lit("</table></th></tr> </table> ")).alias("html"))
+    return markup.framed_lines(made, "conv_id", "html").select("conv_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
+
+
+_CONVERTED = ["'**제' || q || '조** ' || f", "'1. ' || q || '. ' || f", "'- ① ' || f", "f || ' 한다.부칙'", "'1.  ' || q || '.' || f", "'다.부칙다.부칙'", "q", "' - ②'"]
+
+
+def repaired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' lines with the marks that a converter leaves behind, repaired."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), *_ORDER, F.col("l_quantity").cast("int").cast("string").alias("q"), F.col("l_returnflag").alias("f"))
+    said = "CASE l_partkey % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_CONVERTED)) + " END"
+    return segment.repaired_lines(items.withColumn("line", F.expr(said)), _ORDER)
+
+
+def clause_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with circled clause marks and item numbers in place of short words."""
+    text = F.col("text")
+    for word, mark in _CLAUSES.items():
+        text = F.regexp_replace(text, f" {word} ", f" {mark} ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return docs.select("doc_id", F.md5(render.format_body("text")).alias("html_md5"), F.md5(render.display_body("text")).alias("shown_md5"))
+
+
+_CLAUSES = {"the": "①", "der": "①", "la": "②", "of": "1.", "and": "[ 2. ]", "et": "12.", "die": "3.", "en": "(4. x)"}
+
+QUERIES = {f.__name__: f for f in (parsed_dialects, snapshot_records, extracted_book, patched_book, table_owners, headings_ahead, statutes, next_edition_any, framed_lines, repaired_lines, clause_format)}
 
 
 # --- SQL ------------------------------------------------------------------------------
@@ -254,7 +294,40 @@ ln AS (SELECT doc, pos, NULL::INT AS page_idx, trim(CASE WHEN regexp_matches(tri
 docs AS (SELECT s_suppkey AS doc, 'statutes' AS dialect, NULL::VARCHAR AS title_hint FROM supplier), {_RECORDS}"""
 _BOOK, _PATCHED = _BOOK.replace("LINES", _PLAIN_LINES), _BOOK.replace("LINES", _TABLE_LINES)
 
+def _format(text: str) -> str:
+    """Clause and item marks of a text, as HTML and as lines to edit. Bracketed spans become
+    one character, words are looked at one by one, and the spans are put back."""
+    brackets = r"[(\[][^()\[\]]*[)\]]"
+    back = lambda c: f"(SELECT array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(held[i], '')), '') FROM (SELECT string_split({c}, chr(57344)) AS p))"
+    return rf"""WITH d AS (SELECT doc_id, {text} AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, '{brackets}') AS held, regexp_extract_all(regexp_replace(text, '{brackets}', chr(57344), 'g'), '\S+|\s+') AS t FROM d),
+u AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS x, len(t) AS n FROM m),
+k AS (SELECT *, CASE WHEN regexp_matches(x, '^[①-⑳]$') THEN 'c' WHEN regexp_matches(x, '^[1-9][0-9]?\.$') AND i > 1 AND i < n THEN 'n' END AS kind FROM u),
+s AS (SELECT *, kind = 'n' AND coalesce(bool_or(kind = 'c') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS nested FROM k),
+o AS (SELECT *, coalesce(last_value(CASE WHEN kind IS NOT NULL THEN nested END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS open FROM s),
+h AS (SELECT doc_id, string_agg(CASE WHEN kind IS NULL THEN x ELSE CASE WHEN open THEN '</span>' ELSE '' END || CASE WHEN nested THEN '<span class="list-indent">' || x ELSE '<br><span class="hang-marker">' || x || '</span>' END END, '' ORDER BY i)
+    || CASE WHEN coalesce(last(nested ORDER BY i) FILTER (kind IS NOT NULL), false) THEN '</span>' ELSE '' END AS html,
+  string_agg(CASE WHEN kind IS NULL THEN x WHEN nested THEN chr(10) || '  ' || x ELSE chr(10) || x END, '' ORDER BY i) AS shown FROM o GROUP BY doc_id)
+SELECT doc_id, md5({back("regexp_replace(coalesce(html, ''), '^<br>', '')")}) AS html_md5, md5({back("regexp_replace(coalesce(shown, ''), '^' || chr(10), '')")}) AS shown_md5 FROM m LEFT JOIN h USING (doc_id)"""
+
+
+_MARKED = "coalesce(text, '')"
+for _word, _mark in _CLAUSES.items():
+    _MARKED = f"regexp_replace({_MARKED}, ' {_word} ', ' {_mark} ', 'g')"
+_REPAIRED = "CASE l_partkey % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_CONVERTED)) + " END"
+
 ORACLES = {
+    "body_format": _format("coalesce(text, '')"),
+    "clause_format": _format(_MARKED),
+    "next_edition_any": """WITH e AS (SELECT DISTINCT o_orderdate::DATE AS e FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_totalprice > 480000),
+n AS (SELECT o_orderkey, o_orderdate::DATE AS d, e FROM orders ASOF LEFT JOIN e ON o_orderdate::DATE <= e) SELECT o_orderkey, CASE WHEN e - d <= 20 THEN strftime(e, '%Y-%m-%d') END AS next FROM n""",
+    "framed_lines": r"""WITH t AS (SELECT conv_id, turn, role, string_split(text || ' x end', chr(10)) AS l, text FROM conversations),
+p AS (SELECT conv_id, turn, 0 AS a, 0::BIGINT AS k, role AS line FROM conversations UNION ALL SELECT conv_id, turn, 1, unnest(range(len(l))), unnest(l) FROM (SELECT conv_id, turn, list_concat(string_split(text || '   x   ', chr(10)), ['end']) AS l FROM conversations)),
+q AS (SELECT conv_id, turn, a, k, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM p)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, a, k) - 1 AS line_no, md5(line) AS line_md5 FROM q WHERE line <> ''""",
+    "repaired_lines": rf"""WITH l AS (SELECT l_suppkey AS doc, {", ".join(_ORDER)}, string_split(regexp_replace(replace(line, '**', ''), '(다\.)부칙', '\1' || chr(10) || '부칙', 'g'), chr(10)) AS p FROM (SELECT *, {_REPAIRED} AS line FROM (SELECT *, l_quantity::INT::VARCHAR AS q, l_returnflag AS f FROM lineitem))),
+u AS (SELECT doc, {", ".join(_ORDER)}, unnest(range(len(p))) AS k, unnest(p) AS s FROM l)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY {", ".join(_ORDER)}, k)::INT AS line_no, regexp_replace(regexp_replace(s, '^1\.\s+(\d+\.\s)', '\1'), '^-\s*([①-⑳])', '\1') AS line FROM u""",
     "parsed_dialects": f"WITH {_WORDED}, ln AS (SELECT l_suppkey AS doc, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_ORDER)}) AS pos, NULL::INT AS page_idx, trim(line) AS s FROM worded), {_DIALECT_DOCS}, {_RECORDS} SELECT * FROM rec",
     "snapshot_records": f"WITH {_BOOK} SELECT heads.doc, island, index_no, first_header, pdf_pages, rec.* EXCLUDE (doc) FROM heads JOIN rec ON rec.doc = key",
     "extracted_book": f"""WITH {_BOOK}, {_ENTRIES}
