@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.operators.catalog import Book
+from lexispan.session import checkpointed
 
 
 def insert_chronologically(rows: DataFrame, new: DataFrame, key: str, date: str) -> DataFrame:
@@ -96,15 +97,18 @@ def save_revision(book: Book, regulation_id: int, revised_at: str, edits: DataFr
     return new, changes
 
 
-def numbered(df: DataFrame, key: str, order: list[str], cells: int = 256) -> DataFrame:
-    """Adds gapless ``number`` from 1: rows are numbered inside hash cells of their key,
-    and a running sum over the cells' counts (one row a cell) gives each cell's start,
-    so no task sees all rows."""
-    df = df.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"))
+def numbered(df: DataFrame, key: str, order: list[str], per_cell: int = 100_000) -> DataFrame:
+    """Adds gapless ``number`` from 1: rows are numbered inside hash cells of their key and
+    order, of about ``per_cell`` rows, and a running sum over the cells' counts (one row a
+    cell) gives each cell's start, so no task sees all rows. The input is kept first, since
+    it is read for the counts and for the rows."""
+    df = checkpointed(df)
+    cells = max(1, -(-df.count() // per_cell))
+    df = df.withColumn("_cell", F.pmod(F.xxhash64(key, *order), F.lit(cells)).cast("int"))
     counts = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_start"))
     df = df.withColumn("_at", F.row_number().over(Window.partitionBy("_cell").orderBy(key, *order)))
-    return df.join(F.broadcast(starts), "_cell").withColumn("number", F.col("_start") + F.col("_at")).drop("_cell", "_at", "_start")
+    return df.join(starts, "_cell").withColumn("number", F.col("_start") + F.col("_at")).drop("_cell", "_at", "_start")
 
 
 def seed_entries(book: Book) -> DataFrame:

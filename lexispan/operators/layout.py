@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def word_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Rows of words (``doc, page, x0, y0, word``): a row takes words whose y lies
-    within the tolerance of its first word's; adds the row's text in x order. The fold
-    carries the row's anchor over the page's words, which are one page's worth."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("rows"))
-
-    def step(acc, w):
-        new = acc["anchor"].isNull() | (F.abs(w["y0"] - acc["anchor"]) > tolerance)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(new, w["y0"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["rows"], F.array(n)).alias("rows"))
-
-    pages = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "word"))).alias("w"))
-    pages = pages.withColumn("r", F.aggregate("w", start, step, lambda acc: acc["rows"]))
-    rows = pages.select("doc", "page", F.explode(F.arrays_zip("w", "r")).alias("z")).select("doc", "page", F.col("z.r").alias("row"), "z.w.*")
+    within the tolerance of its first word's; adds the row's text in x order. A fold over
+    a page's sorted heights finds where rows begin; words are then ranked by those."""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("rows"))
+
+    def step(acc, y):
+        new = acc["anchor"].isNull() | (F.abs(y - acc["anchor"]) > tolerance)
+        return F.when(new, F.struct(y.alias("anchor"), F.concat(acc["rows"], F.array(y)).alias("rows"))).otherwise(acc)
+
+    heights = words.groupBy("doc", "page").agg(F.array_sort(F.collect_set("y0")).alias("ys"))
+    begun = heights.select("doc", "page", F.explode(F.aggregate("ys", start, step, lambda acc: acc["rows"])).alias("y0"))
+    rows = words.select("doc", "page", "y0", "x0", "word", F.lit(1).alias("_is")).unionByName(begun.withColumn("_is", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy("doc", "page").orderBy("y0", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("row", (F.sum(1 - F.col("_is")).over(by) - 1).cast("int")).where("_is = 1")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "word"))), lambda x: x["word"]), " ")
     return rows.groupBy("doc", "page", "row").agg(text.alias("text"), F.min("y0").alias("y0"))
 

@@ -34,15 +34,22 @@ def last_stage(records: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return out.select(*keys, "r.*")
 
 
-def unique_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, id_col: str) -> DataFrame:
+def unique_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, id_col: str, listed: bool = True) -> DataFrame:
     """Match only where exactly one right row has the key: adds ``match_id`` and
-    ``match_status`` (``MATCHED``, ``AMBIGUOUS: ids`` or ``NO MATCH``)."""
-    ids = right.groupBy(right_key.alias("_key")).agg(F.array_sort(F.collect_list(id_col)).alias("_ids"))
+    ``match_status`` (``MATCHED``, ``AMBIGUOUS: ids`` or ``NO MATCH``). Without ``listed``
+    ambiguous rows don't name the ids, and only a count and one id a key are joined: a key
+    that very many rows share on both sides would write its ids into each of them."""
+    grouped = right.groupBy(right_key.alias("_key"))
+    if listed:
+        ids = grouped.agg(F.array_sort(F.collect_list(id_col)).alias("_ids"))
+        n, one, named = F.coalesce(F.size("_ids"), F.lit(0)), F.get("_ids", F.lit(0)), F.array_join(F.col("_ids").cast("array<string>"), ",")
+        status = F.concat(F.lit("AMBIGUOUS: "), named)
+    else:
+        ids = grouped.agg(F.count(id_col).alias("_n"), F.min(id_col).alias("_ids"))
+        n, one, status = F.coalesce("_n", F.lit(0)), F.col("_ids"), F.lit("AMBIGUOUS")
     out = left.withColumn("_key", left_key).join(ids, "_key", "left")
-    n = F.coalesce(F.size("_ids"), F.lit(0))
-    text = F.concat(F.lit("AMBIGUOUS: "), F.array_join(F.col("_ids").cast("array<string>"), ","))
-    status = F.when(n == 1, "MATCHED").when(n > 1, text).otherwise("NO MATCH")
-    return out.withColumn("match_status", status).withColumn("match_id", F.when(n == 1, F.get("_ids", F.lit(0)))).drop("_key", "_ids")
+    status = F.when(n == 1, "MATCHED").when(n > 1, status).otherwise("NO MATCH")
+    return out.withColumn("match_status", status).withColumn("match_id", F.when(n == 1, one)).drop("_key", "_ids", "_n")
 
 
 def comparison_changes(records: DataFrame, content_col: str = "content") -> DataFrame:
@@ -112,7 +119,7 @@ def crosscheck(committee: DataFrame, regulations: DataFrame, revisions: DataFram
     """Committee records (``record_id, session_date, title``) against the revisions in
     the months after their meeting: unmatched, covered or gap."""
     regs = regulations.where(F.col("status") == T.IN_FORCE)
-    out = unique_match(committee, regs, T.archive_key(F.col("title"), institution), T.archive_key(F.col("title"), institution), "id")
+    out = unique_match(committee, regs, T.archive_key(F.col("title"), institution), T.archive_key(F.col("title"), institution), "id", listed=False)
     out = out.withColumnRenamed("match_id", "regulation_id").drop("match_status")
     dated = revisions.select("regulation_id", T.text_date(F.col("revised_at")).alias("at"))
     out = covered_by(out, dated, "regulation_id", "session_date", T.add_months_28(F.col("session_date"), months), "at", "record_id")

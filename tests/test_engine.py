@@ -236,7 +236,7 @@ def test_save_and_seed(spark):
 
 def test_numbers_are_gapless(spark):
     df = spark.createDataFrame([(k % 17, str(k)) for k in range(90)], "k int, v string")
-    rows = dml.numbered(df, "k", ["v"], cells=5).collect()
+    rows = dml.numbered(df, "k", ["v"], per_cell=20).collect()
     assert sorted(r["number"] for r in rows) == list(range(1, 91))
 
 
