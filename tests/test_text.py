@@ -103,3 +103,14 @@ def test_full_text(spark):
 def test_python_and_spark_white_space_agree(spark):
     s = " a　b  c\t\n"
     assert one(spark, s, T.normalize_ws) == re.sub(r"\s+", " ", s).strip()
+
+
+def test_converted_and_stored_lines(spark):
+    lines = ["1.  2. 둘", "11. 2. 셋", " 1. 2. x", "- ① 항", "-②", "**굵게** 1. 2. y", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, s string")
+    got = [r["v"] for r in df.select("k", T.list_repairs(F.col("s")).alias("v")).orderBy("k").collect()]
+    assert got == ["2. 둘", "11. 2. 셋", " 1. 2. x", "① 항", "②", "굵게 1. 2. y", None]
+    glued = spark.createDataFrame([("**시행한다.부칙** 1조",), ("이 부칙",)], "s string").select(T.whole_lines(F.col("s")).alias("v"))
+    assert sorted(r["v"] for r in glued.collect()) == [["시행한다.", "부칙 1조"], ["이 부칙"]]
+    stored = spark.createDataFrame([(" 제1조\n\n  가\t나 ",), ("",)], "s string").select(T.stored_body(F.col("s")).alias("v"))
+    assert sorted(r["v"] for r in stored.collect()) == ["", "제1조 가 나"]
