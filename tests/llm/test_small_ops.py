@@ -134,11 +134,40 @@ def test_slices_keep_the_filter_sharp(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MAX_BITS", 32768)
     df = docs(spark, [f"only {k}" for k in range(8000)] + ["twice"] * 2)
     digests = exact_dedup.digest(df)
-    probed = exact_dedup._probed(digests, 8002)
+    probed = exact_dedup._probe(digests, *exact_dedup.repeat_filter(digests, 8002))
     assert probed.count() == 8002 and 2 <= probed.where("maybe_repeated").count() < 400
     assert sorted(r["text"] for r in exact_dedup.exact_dedup(df).collect()) == sorted([f"only {k}" for k in range(8000)] + ["twice"])
 
 
+@pytest.mark.parametrize("bits", [None, 32768])
+def test_unique_texts_never_shuffle(spark, monkeypatch, bits):
+    """Neither with one bitmap nor with several slices do rows meet an exchange before the
+    filter has told which of them may repeat."""
+    plans = []
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    if bits:
+        monkeypatch.setattr(exact_dedup, "MAX_BITS", bits)
+    checkpointed = exact_dedup.checkpointed
+    monkeypatch.setattr(exact_dedup, "checkpointed", recorded)
+    texts = [f"text {k % 4500}" for k in range(9000)] + [f"alone {k}" for k in range(500)]
+    df = docs(spark, texts).withColumnRenamed("lang", "text_sha256")
+    row = df.select(F.struct("doc_id", "text").alias("row"), F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+    repeated = df.where("text LIKE 'text%'").select(F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256")).distinct()
+    probed = exact_dedup._probed_rows(row, repeated)
+    assert {r["row"]["text"] for r in probed.where("NOT maybe_repeated").collect()} <= {f"alone {k}" for k in range(500)}
+    assert probed.count() == 9500 and probed.where("maybe_repeated").count() < 9100
+    plans.append(probed._jdf.queryExecution().executedPlan().toString())
+    wide = [p for p in plans if re.search(r"maybe_repeated", p)]
+    assert wide and not any(re.search(r"Exchange (hash|range|RoundRobin)partitioning.*\n.*\brow#", p) or "SortMergeJoin" in p for p in wide)
+    assert len(plans) == (5 if bits else 1)
+    out = exact_dedup.exact_dedup(df)
+    assert out.columns == df.columns and sorted(r["text"] for r in out.collect()) == sorted(set(texts))
+
+
 def test_exact_dedup_keeps_rows_whole(spark):
     df = docs(spark)
     out = exact_dedup.exact_dedup(df)
