@@ -14,9 +14,9 @@ dealt into hash cells of bounded size and packed cell by cell, longest first:
 * at the end every bin is downsized to the smallest permitted length that holds
   its contents.
 
-A sequence costs its length plus a fixed overhead a sequence. Where every length is twice
-the one before, two bins of one size cost more than one of the next, so the largest
-floor wins but for small cells; other lengths and mixes have other winners.
+A sequence costs its length, a fixed overhead and ``length² / attention``, the work of
+attention in tokens' worth: long sequences hold more pieces without a rest, short ones
+cost less for each token, so the permitted sizes compete.
 """
 
 from __future__ import annotations
@@ -32,17 +32,23 @@ from lexispan.llm.common import WORD, cells_for, checkpointed
 
 CAPACITIES = (256, 512, 1024, 2048)
 SEQUENCE_OVERHEAD = 32
+ATTENTION_LENGTH = 12_288  # a sequence this long costs twice its tokens: six times a model width of 2,048
 PIECES_PER_CELL = 50_000
 
 
-def best_packing(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD):
+def sequence_cost(length, overhead: int = SEQUENCE_OVERHEAD, attention: int = ATTENTION_LENGTH):
+    """Cost of sequences of ``length`` (a number or an array), in tokens."""
+    return overhead + length + length * length / attention
+
+
+def best_packing(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, attention: int = ATTENTION_LENGTH):
     """The cheapest of the packings that the opening policies give, as :func:`best_fit`
     returns it; of equally cheap ones the first (least cost a token, then larger floors)."""
-    made = [best_fit(lengths, capacities, overhead, floor) for floor in (None, *sorted(capacities, reverse=True))]
-    return min(made, key=lambda p: int(p[2].sum()) + overhead * len(p[2]))
+    made = [best_fit(lengths, capacities, overhead, floor, attention) for floor in (None, *sorted(capacities, reverse=True))]
+    return min(made, key=lambda p: float(sequence_cost(p[2], overhead, attention).sum()))
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, floor: int | None = None):
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, floor: int | None = None, attention: int = ATTENTION_LENGTH):
     """(bin of each piece, offset in its bin, capacity of each bin after downsizing).
 
     ``lengths`` are packed in descending order, ties in the given order; every
@@ -65,7 +71,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
         else:
             fits = caps[bisect.bisect_left(caps, n) :]
             if floor is None:
-                r = min(fits, key=lambda c: ((c + overhead) / min(c, left), c))
+                r = min(fits, key=lambda c: (sequence_cost(c, overhead, attention) / min(c, left), c))
             else:
                 r = next(c for c in fits if c >= min(floor, caps[-1]))
             b = len(used)
@@ -93,7 +99,7 @@ def pieces(df: DataFrame, longest: int, id_col: str = "doc_id", text_col: str =
     return rows.withColumn("length", F.least(F.lit(longest).cast("long"), F.col("n_words") - F.col("first_word")))
 
 
-def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = SEQUENCE_OVERHEAD, id_col: str = "doc_id", text_col: str = "text", attention: int = ATTENTION_LENGTH) -> DataFrame:
     """``doc_id, piece, first_word, length, bin_id, bin_offset, capacity, bin_used``.
 
     Lengths are words (maximal runs without white space). Texts without words (null
@@ -109,7 +115,7 @@ def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("content", "ascending"), ("piece", "ascending")])
-        bins, offsets, final = best_packing(table["length"].to_numpy(), capacities, overhead)
+        bins, offsets, final = best_packing(table["length"].to_numpy(), capacities, overhead, attention)
         used = np.bincount(bins, weights=table["length"].to_numpy(), minlength=len(final)).astype(np.int64)
         out = table.select(["doc_id", "piece", "first_word", "length", "cell"])
         for name, values in (("bin", bins), ("bin_offset", offsets), ("capacity", final[bins]), ("bin_used", used[bins])):

@@ -261,14 +261,14 @@ def test_shards(spark):
 # --- packing
 
 
-def slow_best_fit(lengths, caps, overhead):
+def slow_best_fit(lengths, caps, overhead, attention):
     bins, left = [], sum(lengths)
     for n in sorted(lengths, reverse=True):
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
             b = min(fits, key=lambda b: b[0] - b[1])
         else:
-            c = min((c for c in caps if c >= n), key=lambda c: ((c + overhead) / min(c, left), c))
+            c = min((c for c in caps if c >= n), key=lambda c: ((c + overhead + c * c / attention) / min(c, left), c))
             b = [c, 0]
             bins.append(b)
         b[1] += n
@@ -280,21 +280,22 @@ def test_best_fit_equals_the_slow_version():
     rng = np.random.default_rng(5)
     for _ in range(40):
         lengths = rng.integers(1, 65, rng.integers(1, 120))
-        bins, offsets, final = packing.best_fit(lengths, (8, 16, 64), 4)
-        assert sorted(final.tolist()) == slow_best_fit(lengths.tolist(), (8, 16, 64), 4)
+        attention = int(rng.choice([20, 100, 10_000]))
+        bins, offsets, final = packing.best_fit(lengths, (8, 16, 64), 4, None, attention)
+        assert sorted(final.tolist()) == slow_best_fit(lengths.tolist(), (8, 16, 64), 4, attention)
         for b in range(len(final)):
             own = np.flatnonzero(bins == b)
             spans = sorted((offsets[k], offsets[k] + lengths[k]) for k in own)
             assert spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= final[b]
 
 
-def optimum(lengths, caps, overhead):
+def optimum(lengths, caps, overhead, attention):
     """Least cost of all ways to put a few pieces into bins."""
     best = [float("inf")]
 
     def put(k, bins):
         if k == len(lengths):
-            best[0] = min(best[0], sum(min(c for c in caps if c >= b) + overhead for b in bins))
+            best[0] = min(best[0], sum(c + overhead + c * c / attention for c in (min(c for c in caps if c >= b) for b in bins)))
             return
         for j in range(len(bins)):
             if bins[j] + lengths[k] <= caps[-1]:
@@ -310,11 +311,11 @@ def test_sizes_are_chosen_jointly():
     winners, exact, close = set(), 0, 0
     for _ in range(60):
         lengths = rng.integers(1, 11, 7)
-        caps, overhead = ((6, 10), (4, 7, 10), (5, 10))[rng.integers(3)], int(rng.integers(0, 3))
-        bins, _, final = packing.best_packing(lengths, caps, overhead)
-        cost = lambda f: int(f.sum()) + overhead * len(f)
-        least = optimum(lengths.tolist(), caps, overhead)
-        single = [cost(packing.best_fit(lengths, caps, overhead, f)[2]) for f in (None, *caps)]
+        caps, overhead, attention = ((6, 10), (4, 7, 10), (5, 10))[rng.integers(3)], int(rng.integers(0, 3)), int(rng.choice([30, 10_000]))
+        bins, _, final = packing.best_packing(lengths, caps, overhead, attention)
+        cost = lambda f: round(float((f + overhead + f * f / attention).sum()), 6)
+        least = round(optimum(lengths.tolist(), caps, overhead, attention), 6)
+        single = [cost(packing.best_fit(lengths, caps, overhead, f, attention)[2]) for f in (None, *caps)]
         assert least <= cost(final) == min(single)
         assert (np.bincount(bins, weights=lengths) <= final).all()
         exact += cost(final) == least
@@ -324,6 +325,12 @@ def test_sizes_are_chosen_jointly():
     assert exact >= 40 and close == 60 and winners == {True, False}
     # small sizes win here: (6 + 1) * 4 is less than 10 + 10 + 6 + 3
     assert sorted(packing.best_packing(np.array([6, 6, 4, 3, 3]), (6, 10), 1)[2].tolist()) == [6, 6, 6, 6]
+    # and on a larger cell of mixed lengths no size takes all at the production cost
+    lengths = np.clip(rng.lognormal(5, 1, 3000).astype(np.int64), 1, 2048)
+    final = packing.best_packing(lengths)[2]
+    assert len(set(final.tolist())) >= 3 and np.bincount(final).max() < 0.9 * len(final)
+    dear = packing.best_fit(lengths, floor=2048)[2]
+    assert packing.sequence_cost(final).sum() < packing.sequence_cost(dear).sum()
 
 
 def test_pack(spark):
