@@ -12,8 +12,9 @@ aggregated marginals to its score.
 
 Scoring (Spark): forward-backward marginals over all tokens of whole texts, batch by
 batch in Arrow; marginals above one half give the offending character offsets. Texts of
-more than ``STRETCH`` tokens are scored in stretches, each with ``MARGIN`` tokens of
-context on either side, so that one long text is as cheap a token as many short ones.
+more than ``STRETCH`` tokens are cut into columns that are worked on side by side, and the
+messages of the chain are carried across them exactly: each column's transfer matrix gives
+what enters it from both sides. So one long text is as cheap a token as many short ones.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ PIECE_CHARS = 20_000  # labelled texts are cut into pieces of this length for fi
 LEXICON = 5000  # most words with a weight of their own
 ENDINGS = 500  # most endings of other words with a weight of their own
 GAP = 2  # tokens between two strong words that belong to their span
-STRETCH, MARGIN = 2048, 32  # tokens of a long text scored at a time, and their context
+STRETCH = 2048  # tokens of a text above which it is cut into columns
+COLUMN = 256  # tokens of a column
 SEGMENT = 128  # tokens of a training sequence
 SEQUENCES = 2048  # training sequences worked on at a time
 SLICE_BYTES = 4 << 20  # text scored at a time
@@ -225,29 +227,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
 def _scored(coded: list[np.ndarray], model: Model, spans: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """(features of each text; if asked for, which tokens of each are toxic)."""
-    parts, owner, begin, inner = [], [], [], []
-    for k, ids in enumerate(coded):
-        for at in range(0, max(len(ids), 1), STRETCH):
-            a, z = max(0, at - MARGIN), min(len(ids), at + STRETCH + MARGIN)
-            parts.append(ids[a:z])
-            owner.append(k)
-            begin.append(at)
-            inner.append((at - a, min(at + STRETCH, len(ids)) - a))
-    inner = np.array(inner, np.int64).reshape(-1, 2)
+    length = np.array([len(ids) for ids in coded], np.int64)
     most, total = np.zeros(len(coded)), np.zeros(len(coded))
     over = [np.zeros(len(ids), bool) for ids in coded] if spans else []
-    for which, p in _tagged(parts, model):
-        step = np.arange(len(p))[:, None]
-        p = np.where((step >= inner[which, 0]) & (step < inner[which, 1]), p, 0.0)
-        text = np.array([owner[k] for k in which])
+    for text, begin, p in _tagged(coded, length, model):
         np.maximum.at(most, text, p.max(axis=0, initial=0.0))
         np.add.at(total, text, p.sum(axis=0))
         hit = p > 0.5
         for j in np.flatnonzero(hit.any(axis=0)) if spans else ():
-            k = which[j]
-            a, z = inner[k]
-            over[owner[k]][begin[k] : begin[k] + z - a] = hit[a:z, j]
-    length = np.array([len(ids) for ids in coded])
+            own = over[text[j]][begin[j] : begin[j] + len(p)]
+            own[:] = hit[: len(own), j]
     return np.stack([np.ones(len(coded)), most, np.log1p(total), total / np.maximum(length, 1)], axis=1), over
 
 
@@ -255,23 +244,81 @@ def _score(features: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features @ model.layer, -30, 30)))
 
 
-def _tagged(coded: list[np.ndarray], model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which sequences, their marginals), some at a time."""
-    by_length = np.argsort([len(x) for x in coded], kind="stable")
+def _tagged(coded: list[np.ndarray], length: np.ndarray, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which texts, first token, marginals) of some texts or columns of long texts at a time."""
+    by_length = np.argsort(length, kind="stable")
+    by_length, long = by_length[length[by_length] <= STRETCH], np.flatnonzero(length > STRETCH)
     at = 0
-    while at < len(coded):
+    while at < len(by_length):
         end = at + 1
-        while end < len(coded) and (end + 1 - at) * len(coded[by_length[end]]) <= CELLS:
+        while end < len(by_length) and (end + 1 - at) * length[by_length[end]] <= CELLS:
             end += 1
         which = by_length[at:end]
-        rows = [coded[k] for k in which]
-        length = np.array([len(x) for x in rows])
-        if length.max():
-            p, _, _ = marginals(_pad(rows, 0), length, model.emission, model.start, model.transition)
-        else:
-            p = np.zeros((1, len(rows)))
-        yield which, p
+        if length[which].max():
+            p, _, _ = marginals(_pad([coded[k] for k in which], 0), length[which], model.emission, model.start, model.transition)
+            yield which, np.zeros(len(which), np.int64), p
         at = end
+    if len(long):
+        yield from _long_tagged(coded, long, model)
+
+
+def _long_tagged(coded: list[np.ndarray], long: np.ndarray, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As :func:`_tagged`, by columns of ``COLUMN`` tokens: their transfer matrices first,
+    from these the messages that enter each column, then the marginals inside."""
+    n_columns = np.array([-(-len(coded[k]) // COLUMN) for k in long])
+    text = np.repeat(long, n_columns)
+    begin = np.concatenate([np.arange(n) * COLUMN for n in n_columns])
+    size = np.minimum(np.array([len(ids) for ids in coded], np.int64)[text] - begin, COLUMN)
+    m, none = np.exp(model.transition), model.emission.shape[1] - 1
+    blocks = [slice(a, a + max(1, CELLS // COLUMN)) for a in range(0, len(text), max(1, CELLS // COLUMN))]
+
+    def weights(block: slice) -> np.ndarray:
+        """Weight of the toxic state for each token, time x columns."""
+        around = np.full((COLUMN + 2, len(text[block])), none, np.int32)  # one more token on either side
+        for j, (k, a, n) in enumerate(zip(text[block], begin[block], size[block], strict=True)):
+            low, high = max(a - 1, 0), min(a + n + 1, len(coded[k]))
+            around[low - a + 1 : high - a + 1, j] = coded[k][low:high]
+        return np.exp(model.emission[0][around[1:-1]] + model.emission[1][around[:-2]] + model.emission[2][around[2:]])
+
+    def moved(x: np.ndarray, t: int, r: np.ndarray, block: slice) -> np.ndarray:
+        """Forward message(s) ``x`` (states last but one axis) taken over token ``t``."""
+        y = np.stack([x[..., 0, :] * m[0, 0] + x[..., 1, :] * m[1, 0], x[..., 0, :] * m[0, 1] + x[..., 1, :] * m[1, 1]], axis=-2)
+        if t == 0:  # nothing leads to a text's first token
+            y = np.where(begin[block] == 0, x, y)
+        y[..., 1, :] *= r[t]
+        y /= y.reshape(-1, y.shape[-1]).sum(axis=0)
+        return np.where(t < size[block], y, x)
+
+    transfer = np.empty((len(text), 2, 2))
+    for block in blocks:
+        r = weights(block)
+        x = np.repeat(np.eye(2)[:, :, None], r.shape[1], axis=2)
+        for t in range(COLUMN):
+            x = moved(x, t, r, block)
+        transfer[block] = np.moveaxis(x, 2, 0)
+    left, right = np.empty((len(text), 2)), np.empty((len(text), 2))
+    for k in range(len(text)):
+        x = np.array([1.0, np.exp(model.start)]) if begin[k] == 0 else left[k - 1] @ transfer[k - 1]
+        left[k] = x / x.sum()
+    for k in range(len(text) - 1, -1, -1):
+        last = k + 1 == len(text) or begin[k + 1] == 0
+        x = np.ones(2) if last else transfer[k + 1] @ right[k + 1]
+        right[k] = x / x.sum()
+    for block in blocks:
+        r = weights(block)
+        forward = np.empty((COLUMN, 2, r.shape[1]))
+        x = left[block].T
+        for t in range(COLUMN):
+            x = forward[t] = moved(x, t, r, block)
+        b, p = right[block].T, np.zeros(r.shape)
+        for t in range(COLUMN - 1, -1, -1):
+            live = t < size[block]
+            both = forward[t] * b
+            p[t] = np.where(live, both[1] / (both[0] + both[1]), 0.0)
+            c0, c1 = b[0], b[1] * r[t]
+            c = np.stack([m[0, 0] * c0 + m[0, 1] * c1, m[1, 0] * c0 + m[1, 1] * c1])
+            b = np.where(live, c / c.sum(axis=0), b)
+        yield text[block], begin[block], p
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:

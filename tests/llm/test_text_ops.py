@@ -406,6 +406,21 @@ def test_neighbours_weigh_in():
         assert p[:n, col] == pytest.approx(mass / total) and z[col] == pytest.approx(math.log(total))
 
 
+def test_columns_carry_the_whole_chain(monkeypatch):
+    """Strong transitions, so that far tokens matter: columns and blocks change nothing."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model({}, {}, rng.normal(size=(3, 6)) * 0.3, 1.5, np.array([[6.0, 0.0], [0.0, 6.0]]), np.array([-1.0, 2, 0.5, 1]))
+    coded = [rng.integers(0, 5, n).astype(np.int32) for n in (0, 3, 9, 16, 17, 40, 63, 200)]
+    whole, flags = toxicity._scored(coded, model, spans=True)
+    monkeypatch.setattr(toxicity, "STRETCH", 8)
+    monkeypatch.setattr(toxicity, "COLUMN", 8)
+    for cells in (8, 64, 1 << 19):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        cut, cut_flags = toxicity._scored(coded, model, spans=True)
+        assert np.allclose(cut, whole, rtol=0, atol=1e-12)
+        assert all((a == b).all() for a, b in zip(flags, cut_flags, strict=True))
+
+
 def test_long_texts_are_scored_in_stretches(monkeypatch):
     texts, labels = toxic_corpus()
     model = toxicity.fit(texts, np.array(labels))
@@ -417,7 +432,7 @@ def test_long_texts_are_scored_in_stretches(monkeypatch):
     monkeypatch.setattr(toxicity, "STRETCH", 10**9)
     whole, at_once = toxicity._scored(coded, model, spans=True)
     assert len(coded[0]) > 4096 and over[0].sum() > 10
-    assert (over[0] == at_once[0]).all() and np.allclose(parts, whole, atol=1e-6)
+    assert (over[0] == at_once[0]).all() and np.allclose(parts, whole, rtol=0, atol=1e-9)
     huge = "fine words here " * 400_000  # 6 MB, read without a list of its words
     assert len(code.of(huge)) == 1_200_000 and (code.of(huge)[:3] == code.of("fine words here")).all()
 
