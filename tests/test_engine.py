@@ -135,6 +135,27 @@ def test_best_match_meets_every_table_in_range(spark, monkeypatch, sent):
     assert similar.best_match(a.limit(0), t).count() == 0
 
 
+def test_best_match_query_meets_shorter_and_longer_documents(spark, tmp_path):
+    """No document is out of reach for its length: item 1 lies in one a third as long, item 2
+    in one far longer, item 3 in none."""
+    import duckdb
+
+    import __spark_entry__
+
+    rng = random.Random(8)
+    text = lambda n, of: "".join(rng.choices(of, k=n))
+    a, b = text(60, "abcdefgh"), text(20, "ijklmnop")
+    spark.createDataFrame([(1, a + " " * 150), (2, b), (3, "0123456789")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(5, text(90, "qrst")), (250, a), (301, a + a), (470, text(1500, "uvwx") + b), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["best_match"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 250, 1.0), (2, 4, 470, 1.0), (3, None, None, None)]
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(db.execute(__spark_entry__.oracle_sql()["best_match"]).fetchall()) == got
+
+
 def test_history(spark):
     def snap(date, *regs):
         return (date, "f", [(t, len(a), [("c", None, None, *x) for x in a]) for t, a in regs])
