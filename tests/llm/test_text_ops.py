@@ -304,6 +304,21 @@ def test_texts_that_share_an_id_are_judged_alone(spark):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in rows) == Counter({(1, 1, 2): 1, (7, 1, 2): 1, (7, 7, 2): 3, (9, 7, 2): 1})
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Stars that point to their least vertex are done; anything else takes rounds."""
+    from lexispan.llm import components as C
+
+    rounds = []
+    meet = C._meet
+    monkeypatch.setattr(C, "_meet", lambda *x: rounds.append(1) or meet(*x))
+    kind = "u long, v long"
+    stars = [(5, 1), (1, 6), (6, 1), (9, -3), (8, -3), (2, 2)]
+    assert dict(C.components(spark.createDataFrame(stars, kind)).collect()) == {1: 1, 5: 1, 6: 1, -3: -3, 8: -3, 9: -3} and not rounds
+    assert not C.components(spark.createDataFrame([], kind)).collect() and not rounds
+    assert dict(C.components(spark.createDataFrame([(1, 2), (2, 3)], kind)).collect()) == {1: 1, 2: 1, 3: 1} and len(rounds) == 2
+    assert dict(C.components(spark.createDataFrame([(7, 4), (7, 5)], kind)).collect()) == {4: 4, 5: 4, 7: 4}
+
+
 def test_components(spark):
     from lexispan.llm.components import components
 
