@@ -80,6 +80,60 @@ def test_tables_meet_the_recall():
     assert abs((np.floor(b / E.WIDTH) == np.floor((0.5 * a + b) / E.WIDTH)).mean() - E.collision(0.5)) < 0.01
 
 
+def test_rounds_write_no_more_than_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(E, "ROUND_BYTES", 1, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x[3000:] = x[:1000] + rng.normal(scale=0.25, size=(1000, 64))
+    x = x.astype(np.float32)
+    df = vectors(spark, [(i, v, 1, 0, "x") for i, v in enumerate(x.tolist())]).select("vec_id", "embedding")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    got = {r["vec_id"]: r["n_links"] for r in E.near_vectors(df).collect()}
+    assert max(n for k, n in written().items() if k not in before) <= 2 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 1000 and all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_keys_are_the_same_in_any_company():
+    rng = np.random.default_rng(5)
+    for dim in (3, 64, 700):
+        p = E.plan(10**6)
+        rows = E._scaled(rng.normal(size=(300, dim)).astype(np.float32) * np.float32(1e-30))
+        scale = E._scale(rows)
+        keys, corners = E._keys(rows, p), E._corners(rows, scale, 2, p)
+        for i in (0, 7, 299):
+            assert (E._keys(rows[i : i + 1], p) == keys[i]).all() and (E._corners(rows[i : i + 1], E._scale(rows[i : i + 1]), 2, p) == corners[i]).all()
+
+
+def test_inner_tables_meet_the_recall():
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((50_000, 16))
+    b = 0.9 * a + math.sqrt(0.19) * rng.standard_normal(a.shape)
+    i, j, at = np.abs(a).argmax(axis=1), np.abs(b).argmax(axis=1), np.arange(len(a))
+    assert abs(((i == j) & (a[at, i] * b[at, j] > 0)).mean() - E.corner(16, 0.9)) < 0.01
+    for n in (1, 3000, 10**5, 10**7, 10**9):
+        p = E.plan(n)
+        inner = 1 - (1 - E.corner(p.lines, 0.9) ** p.sets) ** p.inner
+        assert 1 - (1 - E.collision(math.sqrt(0.2)) ** p.k * inner) ** p.tables >= E.RECALL
+
+
+def test_blocks_meet_once():
+    """Around the ring of a bucket's blocks every two meet in one task."""
+    for blocks in range(1, 9):
+        met = []
+        for _, least, most in [t for r in E._rounds([(0, blocks, 100)], 150) for t in r]:
+            for offset in range(least, most + 1):
+                met += {tuple(sorted((side, (side + offset) % blocks))) for side in range(blocks)}
+        assert sorted(met) == [(i, j) for i in range(blocks) for j in range(i, blocks)]
+
+
 pieces = pytest.mark.skipif(not os.path.exists(S.MODEL_PATH), reason="no vocabulary file")
 HARD = ["", " ", "  a  b ", "日本語テスト", "a\x00b", "x" * 700, " " * 50 + "z", "\n\n\t", "é✓①" * 40, "ab" * 400 + "の" * 5, "don't stop, now!", "▁x▁"]
 
